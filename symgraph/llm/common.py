@@ -57,3 +57,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def ascii_lower(column):
     """Lower-cases A-Z only, unlike lower(), which changes all of Unicode."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def frequent(df: DataFrame, count_col: str, limit: int) -> DataFrame:
+    """The rows of df with the highest counts, at most limit of them.
+
+    All rows from some count upwards come in, so ties never split at random.  The
+    driver only sees a histogram of the counts' logarithms.
+    """
+    step = F.floor(F.log2(F.col(count_col)) * 8)
+    least = None
+    total = 0
+    for row in sorted(df.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        total += row["count"]
+        if total > limit:
+            break
+        least = row["step"]
+    return df.filter(F.lit(False)) if least is None else df.filter(step >= least)

@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import html_text, quality_rules, secret_scan, url_filter
+from symgraph.llm import html_text, language_id, quality_rules, secret_scan, sentencepiece_codec, url_filter
 from symgraph.llm.common import table, tuned
 
 
+def piece_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(tuned(spark), sf_dir, "documents")
+    return sentencepiece_codec.digests(sentencepiece_codec.encode(docs, piece_model()))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are keyed by the shared integer ids: a page is good if its id is labelled so."""
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
@@ -16,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.RULES, outcomes)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(tuned(spark), sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
@@ -28,5 +43,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(tuned(spark), sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_url_filter, op6_quality_rules, op7_secret_scan, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_url_filter, op5_language_id, op6_quality_rules, op7_secret_scan, op10_html_text)}
 ORACLES = {"op3_url_filter": url_filter.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
