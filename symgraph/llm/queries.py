@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import html_text, language_id, quality_rules, secret_scan, sentencepiece_codec, url_filter
+from symgraph.llm import html_text, language_id, quality_rules, secret_scan, sentencepiece_codec, source_mix, url_filter, vector_search
 from symgraph.llm.common import table, tuned
 
 
@@ -27,6 +27,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"), url_filter.RULES, outcomes)
 
 
+def op4_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(tuned(spark), sf_dir, "documents"))
 
@@ -39,9 +43,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(tuned(spark), sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mix.mix(table(tuned(spark), sf_dir, "documents"))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(tuned(spark), sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_url_filter, op5_language_id, op6_quality_rules, op7_secret_scan, op10_html_text)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_url_filter, op4_vector_search, op5_language_id, op6_quality_rules, op7_secret_scan, op9_source_mix, op10_html_text)}
 ORACLES = {"op3_url_filter": url_filter.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
