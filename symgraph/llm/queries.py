@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import html_text, language_id, quality_rules, secret_scan, sentencepiece_codec, source_mix, url_filter, vector_search
+from symgraph.llm import html_text, language_id, quality_rules, secret_scan, sentencepiece_codec, source_mix, substring_dedup, url_filter, vector_search
 from symgraph.llm.common import table, tuned
 
 
@@ -20,6 +20,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode(docs, piece_model()))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = substring_dedup.dedup(table(tuned(spark), sf_dir, "documents"))
+    return d.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are keyed by the shared integer ids: a page is good if its id is labelled so."""
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1).otherwise(0)
@@ -51,5 +56,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(tuned(spark), sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_url_filter, op4_vector_search, op5_language_id, op6_quality_rules, op7_secret_scan, op9_source_mix, op10_html_text)}
-ORACLES = {"op3_url_filter": url_filter.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_url_filter, op4_vector_search, op5_language_id, op6_quality_rules, op7_secret_scan, op9_source_mix, op10_html_text)}
+ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_url_filter": url_filter.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
