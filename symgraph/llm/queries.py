@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import html_text, language_id, quality_rules, secret_scan, sentencepiece_codec, source_mix, substring_dedup, url_filter, vector_search
+from symgraph.llm import html_text, jaccard_join, language_id, quality_rules, secret_scan, sentencepiece_codec, source_mix, substring_dedup, url_filter, vector_search
 from symgraph.llm.common import table, tuned
 
 
@@ -48,6 +48,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(table(tuned(spark), sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(tuned(spark), sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(tuned(spark), sf_dir, "documents"))
 
@@ -56,5 +60,5 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(tuned(spark), sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_url_filter, op4_vector_search, op5_language_id, op6_quality_rules, op7_secret_scan, op9_source_mix, op10_html_text)}
-ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_url_filter": url_filter.ORACLE, "op6_quality_rules": quality_rules.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_url_filter, op4_vector_search, op5_language_id, op6_quality_rules, op7_secret_scan, op8_jaccard_join, op9_source_mix, op10_html_text)}
+ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_url_filter": url_filter.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE}
