@@ -4,29 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from symgraph.llm import quality_rules, secret_scan
+from symgraph.llm import jaccard_join, quality_rules, secret_scan, sentencepiece_codec, source_mix
 from symgraph.llm.common import table, tuned, written
+from symgraph.llm.queries import piece_model
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; failing lines of the others go too."""
     return quality_rules.clean(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that of the smallest id."""
+    tuned(spark)
+    return jaccard_join.representatives(docs)
+
+
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay; their secrets are replaced."""
     tuned(spark)
     return secret_scan.redact(docs)
 
 
-STAGES = [("quality rules", rules), ("secret scan", secrets)]
-#: SentencePiece ids cannot be expressed in SQL.
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents stay, in the order of the mixture."""
+    tuned(spark)
+    return source_mix.in_order(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the decoded text."""
+    tuned(spark)
+    return sentencepiece_codec.digests(sentencepiece_codec.encode(docs, piece_model()))
+
+
+STAGES = [
+    ("quality rules", rules),
+    ("n-gram Jaccard join", near_copies),
+    ("secret scan", secrets),
+    ("mixing sources to target weights", mixture),
+    ("SentencePiece encoding", encoding),
+]
+#: The segmentation of the last stage cannot be expressed in SQL; tests/llm compares
+#: the whole pipeline with a plain Python version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to documents; each result is written and read again."""
+    """Applies the stages to documents; each result but the last is written and read again."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = written(docs, f"stage-{name.replace(' ', '-')}")
+            docs = written(docs, f"stage-{i + 1}")
     return docs

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from symgraph.llm.common import cut, frequent, written
 from symgraph.llm.components import components
 from symgraph.llm.substring_dedup import Words
-from symgraph.llm.tokens import R1, R2, Codes, Sums, mixed, packed, runs, slices
+from symgraph.llm.tokens import R1, R2, Codes, Sums, mixed, packed, runs, slices, unpacked
 
 SHINGLE, PERCENT = 5, 75
 #: Tokens in more than COMMON places are moved back, at most HEAVY per round.
@@ -126,6 +126,9 @@ def unique(items: np.ndarray) -> np.ndarray:
 
 
 def batch(buckets: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
+    if "node" in rows.dtype.names:
+        order = np.argsort(rows["node"], kind="stable")
+        buckets, rows = buckets[order], rows[order]
     ids, blobs = packed(buckets.astype(np.int64), rows)
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "items"])
 
@@ -161,7 +164,7 @@ def common_tokens(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> tuple[n
                 yield batch(out["token"] % np.uint64(n_buckets), out)
 
     def total(t: pa.Table) -> pa.Table:
-        rows = np.frombuffer(b"".join(t.column("items").to_pylist()), COUNT)
+        rows = unpacked(t.column("items").to_pylist(), COUNT)
         rows = rows[np.argsort(rows["token"], kind="stable")]
         first = runs(rows["token"])
         n = np.add.reduceat(rows["n"].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
@@ -205,7 +208,7 @@ def filings(docs: DataFrame, heavy: np.ndarray, small: int, n_buckets: int) -> D
                 yield batch(bucket % np.uint64(n_buckets), items)
 
     def shared(t: pa.Table) -> pa.Table:
-        items = unique(np.frombuffer(b"".join(t.column("items").to_pylist()), ITEM))
+        items = unique(unpacked(t.column("items").to_pylist(), ITEM))
         first = runs(items["token"])
         many = np.repeat(np.diff(np.concatenate([first, [len(items)]])) > 1, np.diff(np.concatenate([first, [len(items)]])))
         items = items[many | (items["sure"] == 1)]

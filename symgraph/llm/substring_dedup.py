@@ -16,7 +16,7 @@ NEAR = 8 neighbouring names the one with the smallest hash is an anchor, so two
 windows share an anchor.
 
 Spark groups the anchors by name.  Documents that share one with another document
-hash their windows around it (two 64-bit hashes of the 50 words); Spark groups these
+hash their windows around it (96 bits of two hashes of the 50 words); Spark groups these
 by hash, and a window is removed if the same window starts in a document with a
 smaller id.  Anchors only choose what is compared; equality is that of the windows.
 
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.tokens import R1, R2, Codes, Sums, mixed, packed, runs, slices
+from symgraph.llm.tokens import R1, R2, Codes, Sums, mixed, packed, runs, slices, unpacked
 
 WINDOW, LEVELS, SPAN, NEAR = 50, 2, 9, 8
 #: Characters of text per bucket, and buckets there are at least.
@@ -47,8 +47,8 @@ BUCKET_CHARS, MIN_BUCKETS = 16 << 20, 48
 SALTS = [np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0x5851F42D4C957F2D)]
 PAIR = np.uint64(0x9FB21C651E98DF25)
 
-#: An anchor or window on its way: name or hash (two), id, key and place of the row.
-ITEM = np.dtype([("a", "<u8"), ("b", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("sure", "u1")])
+#: An anchor or window on its way: name or hash (96 bits), id, key and place of the row.
+ITEM = np.dtype([("a", "<u8"), ("b", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("at", "<u4"), ("sure", "u1")])
 PACKED = "bucket int, items binary"
 PLACES = "key long, places binary"
 
@@ -167,7 +167,11 @@ def removed_windows(items: np.ndarray) -> np.ndarray:
 
 def sent(items: np.ndarray, n_buckets: int) -> pa.RecordBatch:
     """Items by bucket: of the name or, if it is sure already, of the row."""
-    bucket = np.where(items["sure"] == 1, mixed(items["key"].astype(np.uint64)), items["a"]) % np.uint64(n_buckets)
+    items = items[np.lexsort((items["at"], items["key"]))]
+    settled = items["sure"] == 1
+    place = items["key"].astype(np.uint64)
+    bucket = np.where(settled, mixed(place), items["a"]) % np.uint64(n_buckets)
+    items["a"][settled] = items["b"][settled] = items["doc"][settled] = 0  # no longer needed
     buckets, blobs = packed(bucket.astype(np.int64), items)
     return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "items"])
 
@@ -176,7 +180,7 @@ def met(df: DataFrame, judge: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """key, places: for every row all places that judge leaves, over all buckets."""
 
     def run(t: pa.Table) -> pa.Table:
-        items = judge(np.frombuffer(b"".join(t.column("items").to_pylist()), ITEM))
+        items = judge(unpacked(t.column("items").to_pylist(), ITEM))
         items = items[np.lexsort((items["at"], items["key"]))]
         first = runs(items["key"])
         ends = [*first[1:], len(items)]
