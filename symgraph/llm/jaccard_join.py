@@ -41,8 +41,7 @@ from pyspark.sql import functions as F
 
 from symgraph.llm.common import cut, frequent, written
 from symgraph.llm.components import components
-from symgraph.llm.substring_dedup import Words
-from symgraph.llm.tokens import R1, R2, Codes, Sums, mixed, packed, runs, slices, unpacked
+from symgraph.llm.tokens import R1, R2, Sums, Words, mixed, packed, runs, slices, unpacked
 
 SHINGLE, PERCENT = 5, 75
 #: Tokens in more than COMMON places are moved back, at most HEAVY per round.
@@ -62,8 +61,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 class Sets:
     """The shingle sets of some texts: tokens by row and value, sizes and nodes by row."""
 
-    def __init__(self, texts: list[bytes], codes: Codes):
-        w = Words([t.lower() for t in texts], codes)  # bytes: A-Z only
+    def __init__(self, texts: list[bytes]):
+        w = Words(texts, lower=True)
         n = len(w.codes)
         sums = Sums(w.codes, R1)
         ends = w.starts + w.sizes
@@ -97,10 +96,14 @@ def within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
 def filed(s: Sets, heavy: np.ndarray, small: int) -> np.ndarray:
     """Where the sets are filed: tokens, and for sets of at most small tokens pairs of tokens."""
     common = within(heavy, s.token)
-    order = np.lexsort((s.token, common, s.row))
+    order = np.argsort(s.row * 2 + common, kind="stable")  # by row, then common ones last; by value as before
     token, row, common = s.token[order], s.row[order], common[order]
     size = s.sizes[row]
     rank = np.arange(len(token)) - s.starts[row]
+    once = np.zeros(len(s.sizes), bool)  # equal sets of this batch are filed once
+    once[np.unique(s.nodes, return_index=True)[1]] = True
+    keep = once[row] & (rank < size - least_overlap(size) + 2)
+    token, row, common, size, rank = token[keep], row[keep], common[keep], size[keep], rank[keep]
     first = size - least_overlap(size) + 1  # how many tokens one common token needs
     single = (rank < first) & (size * 100 > small * PERCENT)
     out = [(token[single], row[single], common[single])]
@@ -137,10 +140,9 @@ def sets_of(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, node per row; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for b in batches:
             for at, texts in slices(b.column(1).to_pylist()):
-                s = Sets(texts, codes)
+                s = Sets(texts)
                 nodes = pa.array(s.nodes, pa.int64(), mask=s.sizes == 0)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(s.sizes, pa.int64()), nodes], names=["doc_id", "n_shingles", "node"])
 
@@ -152,10 +154,10 @@ def common_tokens(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> tuple[n
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for b in batches:
             for _, texts in slices(b.column(1).to_pylist()):
-                items = unique(filed(Sets(texts, codes), known.value, 0))
+                items = filed(Sets(texts), known.value, 0)
+                items = items[np.argsort(items["token"], kind="stable")]
                 first = runs(items["token"])
                 out = np.zeros(len(first), COUNT)
                 out["token"] = items["token"][first]
@@ -199,10 +201,9 @@ def filings(docs: DataFrame, heavy: np.ndarray, small: int, n_buckets: int) -> D
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for b in batches:
             for _, texts in slices(b.column(1).to_pylist()):
-                items = unique(filed(Sets(texts, codes), known.value, small))
+                items = filed(Sets(texts), known.value, small)
                 # Common tokens need no bucket: they are shared, and their lists are long.
                 bucket = np.where(items["sure"] == 1, mixed(items["node"].astype(np.uint64)), items["token"])
                 yield batch(bucket % np.uint64(n_buckets), items)
@@ -226,11 +227,10 @@ def node_sets(docs: DataFrame, nodes: DataFrame, all_sets: DataFrame) -> DataFra
     chosen = docs.join(ids, "doc_id").select("doc_id", "text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for b in batches:
             want = b.column(2).to_numpy()
             for at, texts in slices(b.column(1).to_pylist()):
-                s = Sets(texts, codes)
+                s = Sets(texts)
                 rows = [i for i in range(len(texts)) if s.nodes[i] == want[at + i]]
                 yield pa.RecordBatch.from_arrays([pa.array(s.nodes[rows], pa.int64()), pa.array([s.of(i).tobytes() for i in rows], pa.binary())], names=["node", "tokens"])
 

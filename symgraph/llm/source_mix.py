@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 BLOCK_ROWS, SLOTS, MAX_SOURCES = 64, 4096, 1000
 #: Rows that one window partition ranks at most, about.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def quotas(weights: list[float], slots: int) -> list[int]:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.tokens import R1, R2, Codes, Sums, mixed, packed, runs, slices, unpacked
+from symgraph.llm.tokens import R1, R2, Sums, Words, mixed, packed, runs, slices, unpacked
 
 WINDOW, LEVELS, SPAN, NEAR = 50, 2, 9, 8
 #: Characters of text per bucket, and buckets there are at least.
@@ -53,17 +53,6 @@ PACKED = "bucket int, items binary"
 PLACES = "key long, places binary"
 
 
-class Words:
-    """The words of some texts in one sequence."""
-
-    def __init__(self, texts: list[bytes], codes: Codes):
-        self.lists = [t.split() for t in texts]
-        self.sizes = np.array([len(x) for x in self.lists], np.int64)
-        self.starts = np.cumsum(self.sizes) - self.sizes
-        self.codes = np.concatenate([codes.of(x) for x in self.lists]) if len(texts) else np.zeros(0, np.uint64)
-        self.row = np.repeat(np.arange(len(texts)), self.sizes)
-
-
 def symbols(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Names and first words of the symbols after LEVELS rounds of pairing."""
     name, start = w.codes, np.arange(len(w.codes))
@@ -203,21 +192,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
 
     def find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for b in batches:
             ids, keys = b.column(0).to_numpy(), b.column(2).to_numpy()
             for at, texts in slices(b.column(1).to_pylist()):
-                w = Words(texts, codes)
+                w = Words(texts)
                 name, start = anchors(w)
                 row = w.row[start]
                 yield sent(settled_anchors(items_of(name, np.zeros_like(name), at + row, start - w.starts[row], ids, keys)), n_buckets)
 
     def find_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes = Codes()
         for b in batches:
             ids, keys, places = b.column(0).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()
             for at, texts in slices(b.column(1).to_pylist()):
-                w = Words(texts, codes)
+                w = Words(texts)
                 begin = [windows(w, i, places_of(places[at + i])) + w.starts[i] for i in range(len(texts))]
                 begin = np.concatenate(begin)
                 a, c = (Sums(w.codes, r).of(begin, begin + WINDOW) for r in (R1, R2))

@@ -3,31 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
-#: Bytes of text that are worked on at a time, and remembered words.
-SLICE_BYTES, MEMO = 8 << 20, 1 << 20
+#: Bytes of text that are worked on at a time.
+SLICE_BYTES = 2 << 20
 R1, R2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(32)
 
 
-class Codes(dict):
-    """64-bit code of each word, remembered."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > MEMO:
-            self.clear()
-        code = self[word] = xxhash.xxh3_64_intdigest(word)
-        return code
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def slices(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
     """The texts in UTF-8 (null: empty), some MB at a time, with the index of the first."""
     first, part, size = 0, [], 0
@@ -48,21 +34,52 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> SHIFT)
 
 
+@lru_cache(maxsize=4)
+def powers(r: int, n: int) -> np.ndarray:
+    """The first n powers of r modulo 2 ** 64."""
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, r, np.uint64)]))
+
+
 class Sums:
     """Hashes of any stretches of one sequence of codes, all at once."""
 
     def __init__(self, codes: np.ndarray, r: np.uint64):
-        n = len(codes) + 1
-        inverse = np.uint64(pow(int(r), -1, 1 << 64))
-        self.up = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, r, np.uint64)]))
-        down = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse, np.uint64)]))
-        self.sum = np.concatenate([[np.uint64(0)], np.cumsum(codes * down[: n - 1], dtype=np.uint64)])
+        n = len(codes)
+        size = 1 << max(16, n.bit_length())  # few different sizes, so the powers are there already
+        self.up = powers(int(r), size)
+        self.sum = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes * powers(pow(int(r), -1, 1 << 64), size)[:n], out=self.sum[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         size = (end - begin).astype(np.uint64)
         return mixed((self.sum[end] - self.sum[begin]) * self.up[begin] + size)
 
 
+#: A fixed number for each byte, and the bytes that separate words.
+BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
+LOWER = BYTES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]  # A-Z only
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+
+
+class Words:
+    """The words of some texts in one sequence: codes, rows, and sizes and starts by row.
+
+    Words are what ASCII white space separates; a word's code is a 64-bit hash of
+    its bytes, with A-Z as a-z on demand.
+    """
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+        blank = BLANK[data]
+        begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+        end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
+        self.codes = Sums((LOWER if lower else BYTES)[data], R2).of(begin, end)
+        first = np.cumsum([1, *(len(t) + 1 for t in texts)])  # where each text begins
+        self.row = np.searchsorted(first, begin, side="right") - 1
+        self.sizes = np.bincount(self.row, minlength=len(texts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+
 def packed(bucket: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[bytes]]:
     """Rows put together by bucket, as (bucket, bytes).
 
