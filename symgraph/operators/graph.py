@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.schema import DEPENDENCY_KINDS, DEPENDENT_KINDS, EDGE_WEIGHTS, OTHER_WEIGHT
+from symgraph.sources.shared import cut
 
 
 def weight(kind: Column, weights: dict[str, float] | None = None) -> Column:
@@ -43,11 +44,12 @@ def adjacency(edges: DataFrame, direction: str, kinds: Sequence[str] = ()) -> Da
 def hops(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both", kinds: Sequence[str] = ()) -> DataFrame:
     """root, id, hop: smallest number of steps from each root, up to depth."""
     step = adjacency(edges, direction, kinds).select("near", "far").distinct()
-    seen = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("hop"))
+    step = cut(step)
+    seen = cut(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("hop")))
     front = seen
     for h in range(1, depth + 1):
         front = front.join(step, front["id"] == step["near"]).select("root", F.col("far").alias("id"), F.lit(h).alias("hop")).distinct()
-        front = front.join(seen.select("root", "id"), ["root", "id"], "left_anti")
+        front = cut(front.join(seen.select("root", "id"), ["root", "id"], "left_anti").select("root", "id", "hop"))
         seen = seen.unionByName(front)
     return seen
 
@@ -67,7 +69,7 @@ def best_path_score(edges: DataFrame, roots: DataFrame, depth: int, direction: s
     front = best
     for _ in range(depth):
         far = front.join(step, front["id"] == step["near"]).select("root", F.col("far").alias("id"), (F.col("score") * F.col("w")).alias("score"))
-        front = far.groupBy("root", "id").agg(F.max("score").alias("score"))
+        front = cut(far.groupBy("root", "id").agg(F.max("score").alias("score")))
         best = best.unionByName(front)
     return best.groupBy("root", "id").agg(F.max("score").alias("score"))
 
@@ -122,7 +124,7 @@ def hops_over(step: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     front = seen
     for _ in range(max(0, depth)):
         front = front.join(step.select("near", "far").distinct(), F.col("id") == F.col("near")).select("root", F.col("far").alias("id")).distinct()
-        front = front.join(seen, ["root", "id"], "left_anti")
+        front = cut(front.join(seen, ["root", "id"], "left_anti"))
         seen = seen.unionByName(front)
     return seen
 
@@ -153,7 +155,8 @@ def focus(edges: DataFrame, nodes: DataFrame, name_part: str, depth: int) -> Dat
     seen = seeds.withColumn("hop", F.lit(0))
     front = seen
     for h in range(1, depth + 1):
-        front = front.join(step, F.col("id") == F.col("near")).select(F.col("far").alias("id"), F.lit(h).alias("hop")).distinct().join(seen, "id", "left_anti")
+        front = front.join(step, F.col("id") == F.col("near")).select(F.col("far").alias("id"), F.lit(h).alias("hop")).distinct()
+        front = cut(front.join(seen.select("id"), "id", "left_anti").select("id", "hop"))
         seen = seen.unionByName(front)
     none = seeds.agg(F.count("*") == 0).scalar()
     return seen.unionByName(ids.withColumn("hop", F.lit(0)).filter(none))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.text import terms, tokens
 from symgraph.schema import EXPORTED_BONUS, KIND_BONUS, PRIVATE_BONUS, SEARCH_WEIGHTS
+from symgraph.sources.shared import cut
 
 K1, B = 1.2, 0.75
 
@@ -88,7 +89,8 @@ def bonus(query: str) -> Column:
 def search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     """id, tier, score, rank of the best nodes.
 
-    A tier only counts while the ones before have found fewer than limit nodes.
+    A tier only counts while the ones before have found fewer than limit nodes; each
+    is at most some hundred rows, so it is computed once and kept.
     """
     columns = [F.col(c) for c in ("id", "kind", "name", "qualified_name", "visibility", "is_exported")]
     found = terms(query)
@@ -96,9 +98,10 @@ def search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
         return nodes.select("id", F.lit(0).alias("tier"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     nodes = nodes if "is_exported" in nodes.columns else nodes.withColumn("is_exported", F.lit(False))
     first = bm25(nodes, found, SEARCH_WEIGHTS).orderBy(F.desc("score"), "id").limit(max(5 * limit, 100)).select(*columns, "score", F.lit(1).alias("tier"))
+    first = cut(first)
     second = like_tier(nodes, query).join(first.select("id"), "id", "left_anti").orderBy(F.desc("score"), F.length("name"), "id").limit(3 * limit)
     second = second.select(*columns, "score", F.lit(2).alias("tier")).filter(first.agg(F.count("*") < limit).scalar())
-    two = first.unionByName(second)
+    two = cut(first.unionByName(second))
     third = fuzzy_tier(nodes, query, max(2 * limit, 50)).join(two.select("id"), "id", "left_anti")
     third = third.select(*columns, "score", F.lit(3).alias("tier")).filter(two.agg(F.count("*") < limit).scalar() & F.lit(len(query) >= 3))
     ranked = two.unionByName(third).withColumn("score", F.col("score") + bonus(query)).orderBy(F.desc("score"), "tier", "id").limit(limit)

@@ -15,6 +15,7 @@ from symgraph.functions import text as T
 from symgraph.operators import context, graph, lookup, resolve, search, stats
 from symgraph.schema import EDGE_WEIGHTS, OTHER_WEIGHT
 from symgraph.sources import star
+from symgraph.sources.shared import cut
 from symgraph.streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -418,7 +419,7 @@ def search_ranked(spark, sf_dir):
 def structural_search(spark, sf_dir):
     """Ten best nodes, each expanded by a forward walk; neighbours count half."""
     n, e = both(spark, sf_dir)
-    seeds = search.search(n, "nation building")
+    seeds = cut(search.search(n, "nation building"))
     walk = graph.traverse(e, n, seeds.select("id"), max_depth=2, max_nodes=30)
     scored = walk.join(seeds.select(F.col("id").alias("root"), F.col("rank").alias("seed"), F.col("score").alias("own")), "root")
     scored = scored.withColumn("score", F.when(F.col("id") == F.col("root"), F.col("own")).otherwise(F.col("score") * 0.5))
@@ -445,7 +446,7 @@ def ranked_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Documents as files; each line with a search word is a symbol of its source's query."""
     d = read(spark, sf_dir, "documents").withColumn("lines", F.split("text", "\n"))
     files = d.select(F.col("doc_id").cast("string").alias("file_path"), "lines")
-    s = d.select("doc_id", "source", F.posexplode("lines").alias("p", "line")).filter(F.lower("line").contains("nation"))
+    s = d.select("doc_id", "source", F.posexplode("lines").alias("p", "line")).filter(F.lower("line").contains("tionly"))
     return files, s.select(
         F.col("source").alias("query"), F.concat_ws(":", "doc_id", "p").alias("id"), F.concat(F.lit("line"), "p").alias("name"), F.lit("function").alias("kind"),
         F.col("doc_id").cast("string").alias("file_path"), (F.col("p") + 1).alias("start_line"), (F.col("p") + 2).alias("end_line"),
@@ -456,7 +457,7 @@ def ranked_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
 @query(
     """WITH d AS (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents),
     s AS (SELECT doc_id, source, lines, generate_subscripts(lines, 1) - 1 AS p, unnest(lines) AS line FROM d),
-    w AS (SELECT *, p AS first, least(len(lines), p + 2) AS last FROM s WHERE contains(lower(line), 'nation'))
+    w AS (SELECT *, p AS first, least(len(lines), p + 2) AS last FROM s WHERE contains(lower(line), 'tionly'))
     SELECT concat(doc_id, ':', p) AS id, (first + 1)::INT AS from_line, last::INT AS to_line FROM w""",
     views=False,
 )
@@ -488,12 +489,12 @@ def page_links(spark, sf_dir):
 
 
 @query(
-    """SELECT conv_id, turn, role, lead(role) OVER w AS next_role, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
+    """SELECT conv_id, turn, role, lead(role) OVER w AS next_role, coalesce(lead(turn) OVER w, -1) AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     views=False,
 )
 def conversation_next_turn(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
-    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.lead("turn").over(w).alias("next_turn"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.lead("role").over(w).alias("next_role"), F.coalesce(F.lead("turn").over(w), F.lit(-1)).alias("next_turn"))
 
 
 @query(
