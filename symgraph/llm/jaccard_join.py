@@ -19,10 +19,14 @@ that then come first; the most frequent (HEAVY at most, a bound of what is
 broadcast) move to the end of the order.  The order only decides which lists are
 scanned, never which pairs match.
 
-Links are not listed within a group that is connected already.  First, every list
-compares its members with its two extreme ones; the components of these links are
-found; then only members of one list in different components are compared.  Every
-comparison is exact, on whole sets.
+Two sets that match also share enough of these first tokens: with c in common, and r
+tokens of a set behind its first ones, the overlap is at most c plus the larger r.
+Pairs whose c cannot reach the overlap their sizes ask for are never compared.
+
+Links are not listed within a group that is connected already.  First, every long
+list (of a common token) compares its members with its two extreme ones; the
+components of these links are found; then only pairs in different components are
+counted and, if c allows, compared.  Every comparison is exact, on whole sets.
 
 Defined results: texts without words (null, empty) have an empty set and stay alone.
 Fewer than five words are one shingle.  Rows with a null id are grouped by their
@@ -46,7 +50,7 @@ from symgraph.llm.tokens import R1, R2, Sums, Words, mixed, packed, runs, slices
 SHINGLE, PERCENT = 5, 75
 #: Tokens in more than COMMON places are moved back, at most HEAVY per round.
 ROUNDS, COMMON, HEAVY = 2, 16, 1 << 19
-BUCKET_CHARS, MIN_BUCKETS = 16 << 20, 48
+BUCKET_CHARS, MIN_BUCKETS = 6 << 20, 48
 PAIR = np.uint64(0x9FB21C651E98DF25)
 
 COUNT = np.dtype([("token", "<u8"), ("n", "<u4")])
@@ -196,8 +200,31 @@ def boundary(shared: float, longest: int = 64) -> int:
     return best
 
 
+LISTS = "token long, u long, v long, n long, size_u long, size_v long"
+
+
+def counted_pairs(items: np.ndarray) -> np.ndarray:
+    """(u, v, size_u, size_v, n) for the pairs of members of lists, n by how many lists."""
+    first = runs(items["token"])
+    count = np.diff(np.concatenate([first, [len(items)]]))
+    left = np.repeat(count, count) - 1 - (np.arange(len(items)) - np.repeat(first, count))  # members after each
+    a = np.repeat(np.arange(len(items)), left)
+    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(left) - left, left)
+    small = np.minimum(items["size"][a], items["size"][b]).astype(np.int64)
+    ok = small * 100 >= np.maximum(items["size"][a], items["size"][b]).astype(np.int64) * PERCENT
+    a, b = a[ok], b[ok]  # items of a list are in the order of their nodes, so u < v
+    pairs = np.zeros(len(a), np.dtype([("u", "<i8"), ("v", "<i8"), ("size_u", "<i8"), ("size_v", "<i8")]))
+    pairs["u"], pairs["v"], pairs["size_u"], pairs["size_v"] = items["node"][a], items["node"][b], items["size"][a], items["size"][b]
+    order = np.lexsort((pairs["v"], pairs["u"]))
+    pairs = pairs[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs["u"][1:] != pairs["u"][:-1]) | (pairs["v"][1:] != pairs["v"][:-1])
+    first = np.flatnonzero(new)
+    return pairs[first], np.diff(np.concatenate([first, [len(pairs)]]))
+
+
 def filings(docs: DataFrame, heavy: np.ndarray, small: int, n_buckets: int) -> DataFrame:
-    """token, node, size for tokens and pairs under which more than one node is filed."""
+    """Pairs filed together on short lists (u, v, n lists, sizes), and the members of long lists (token, u, size_u)."""
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,14 +238,16 @@ def filings(docs: DataFrame, heavy: np.ndarray, small: int, n_buckets: int) -> D
     def shared(t: pa.Table) -> pa.Table:
         items = unique(unpacked(t.column("items").to_pylist(), ITEM))
         first = runs(items["token"])
-        many = np.repeat(np.diff(np.concatenate([first, [len(items)]])) > 1, np.diff(np.concatenate([first, [len(items)]])))
-        items = items[many | (items["sure"] == 1)]
-        return pa.table([pa.array(signed(items["token"]), pa.int64()), pa.array(items["node"], pa.int64()), pa.array(items["size"].astype(np.int64), pa.int64())], names=["token", "node", "size"])
+        count = np.diff(np.concatenate([first, [len(items)]]))
+        count = np.repeat(count, count)
+        long = items[(items["sure"] == 1) | (count > COMMON)]
+        pairs, n = counted_pairs(items[(items["sure"] == 0) & (count > 1) & (count <= COMMON)])
+        zeros = np.zeros(len(long), np.int64)
+        token = pa.array(np.concatenate([signed(long["token"]), np.zeros(len(pairs), np.int64)]), mask=np.arange(len(long) + len(pairs)) >= len(long))
+        columns = [np.concatenate(x) for x in ((long["node"], pairs["u"]), (zeros, pairs["v"]), (zeros, n), (long["size"].astype(np.int64), pairs["size_u"]), (zeros, pairs["size_v"]))]
+        return pa.table([token, *(pa.array(c, pa.int64()) for c in columns)], names=["token", "u", "v", "n", "size_u", "size_v"])
 
-    rows = docs.mapInArrow(file, PACKED).groupBy("bucket").applyInArrow(shared, "token long, node long, size long")
-    rows = rows.distinct()
-    often = rows.groupBy("token").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    return rows.join(often, "token")
+    return docs.mapInArrow(file, PACKED).groupBy("bucket").applyInArrow(shared, LISTS)
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, all_sets: DataFrame) -> DataFrame:
@@ -256,6 +285,16 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return two.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
+def fewest_common(a, b, small: int):
+    """How many first tokens two sets of sizes a and b that match have in common, at least.
+
+    Small sets are filed under pairs of tokens; they have one pair in common.
+    """
+    behind = lambda n: F.ceil(n * PERCENT / 100) - 1
+    overlap = F.ceil((a + b) * PERCENT / (100 + PERCENT))
+    return F.when((a <= small) & (b <= small), 1).otherwise(F.greatest(F.lit(1), overlap - F.greatest(behind(a), behind(b))))
+
+
 def near(a, b):
     """Whether two sizes allow the similarity."""
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
@@ -270,25 +309,42 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     heavy, shared = np.zeros(0, np.uint64), 0.0
     for _ in range(ROUNDS):
         heavy, shared = common_tokens(docs, heavy, n_buckets)
-    lists = written(filings(docs, heavy, boundary(shared), n_buckets), "lists")
+    small = boundary(shared)
+    lists = written(filings(docs, heavy, small, n_buckets), "lists")
+    members = lists.filter("token is not null").select("token", F.col("u").alias("node"), F.col("size_u").alias("size")).distinct()
+    ends = members.groupBy("token").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).filter("low.node < high.node")
+    members = cut(members.join(ends, "token"))
+
+    # First, members of long lists with their extreme members.
+    star = members.select("node", "size", F.explode(F.array("low", "high")).alias("end")).filter(near(F.col("size"), F.col("end.size")))
+    star = star.filter(F.col("node") != F.col("end.node")).select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")).distinct()
+    # What short lists have in common may be all that is needed, with the long lists' help.
+    on_long = members.groupBy("node").agg(F.count("*").alias("long"))
+    pairs = lists.filter("token is null").groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
+    for end in ("u", "v"):
+        pairs = pairs.join(on_long.select(F.col("node").alias(end), F.col("long").alias(f"long_{end}")), end, "left")
+    help_ = F.coalesce(F.least("long_u", "long_v"), F.lit(0)) * F.when(F.col("long_u").isNull() | F.col("long_v").isNull(), 0).otherwise(1)
+    needed = fewest_common(F.col("size_u"), F.col("size_v"), small)
+    pairs = cut(pairs.filter(F.col("n") + help_ >= needed).select("u", "v", "n", "size_u", "size_v"))
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
     known = docs.filter(F.col("doc_id").isNotNull())
-    tokens = written(node_sets(known, lists.select("node").distinct(), sets), "node-sets")
-
-    # First, members of each list with its extreme members.
-    size = tokens.select("node", (F.octet_length("tokens") / 8).cast("long").alias("size"))
-    ends = lists.select("node", "size", F.explode(F.array("low", "high")).alias("end")).filter("node <> end").distinct()
-    ends = ends.join(size.select(F.col("node").alias("end"), F.col("size").alias("other")), "end").filter(near(F.col("size"), F.col("other")))
-    first = cut(links(ends.select(F.least("node", "end").alias("u"), F.greatest("node", "end").alias("v")).distinct(), tokens))
+    tokens = written(node_sets(known, nodes, sets), "node-sets")
+    first = cut(links(star, tokens))
     roots = components(first)
 
-    # Then members of one list that are not connected yet.
-    placed = lists.select("token", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Then pairs that are not connected yet, with all that they have in common.
+    placed = members.select("token", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token")
     placed = placed.join(open_, "token")
-    other = placed.select("token", F.col("node").alias("node2"), F.col("size").alias("size2"), F.col("root").alias("root2"))
-    pairs = placed.join(other, "token").filter((F.col("root") < F.col("root2")) & near(F.col("size"), F.col("size2")))
-    pairs = pairs.select(F.least("node", "node2").alias("u"), F.greatest("node", "node2").alias("v")).distinct()
-    second = links(pairs, tokens)
+    other = placed.select("token", F.col("node").alias("v"), F.col("size").alias("size_v"), F.col("root").alias("root_v"))
+    more = placed.join(other, "token").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("root_v")) & near(F.col("size"), F.col("size_v")))
+    more = more.groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("n"), F.first("size").alias("size_u"), F.first("size_v").alias("size_v"))
+    every = pairs.unionByName(more).groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
+    every = every.filter(F.col("n") >= needed).select("u", "v")
+    for end in ("u", "v"):
+        every = every.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
+    second = links(every.filter(apart).select("u", "v"), tokens)
     roots = components(first.union(second))
 
     named = sets.filter("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
