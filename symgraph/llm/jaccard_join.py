@@ -23,10 +23,10 @@ Two sets that match also share enough of these first tokens: with c in common, a
 tokens of a set behind its first ones, the overlap is at most c plus the larger r.
 Pairs whose c cannot reach the overlap their sizes ask for are never compared.
 
-Links are not listed within a group that is connected already.  First, every long
-list (of a common token) compares its members with its two extreme ones; the
-components of these links are found; then only pairs in different components are
-counted and, if c allows, compared.  Every comparison is exact, on whole sets.
+Links are not listed within a group that is connected already.  First, in STARS
+rounds, every long list (of a common token) compares its members with one of them,
+and the components of these links are found; then only pairs in different components
+are counted and, if c allows, compared.  Every comparison is exact, on whole sets.
 
 Defined results: texts without words (null, empty) have an empty set and stay alone.
 Fewer than five words are one shingle.  Rows with a null id are grouped by their
@@ -49,7 +49,9 @@ from symgraph.llm.tokens import R1, R2, Sums, Words, mixed, packed, runs, slices
 
 SHINGLE, PERCENT = 5, 75
 #: Tokens in more than COMMON places are moved back, at most HEAVY per round.
-ROUNDS, COMMON, HEAVY = 2, 16, 1 << 19
+ROUNDS, COMMON, HEAVY = 3, 16, 1 << 19
+#: Rounds in which long lists compare their members with one of them.
+STARS = 3
 BUCKET_CHARS, MIN_BUCKETS = 6 << 20, 48
 PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -312,12 +314,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     small = boundary(shared)
     lists = written(filings(docs, heavy, small, n_buckets), "lists")
     members = lists.filter("token is not null").select("token", F.col("u").alias("node"), F.col("size_u").alias("size")).distinct()
-    ends = members.groupBy("token").agg(F.min(F.struct("node", "size")).alias("low"), F.max(F.struct("node", "size")).alias("high")).filter("low.node < high.node")
-    members = cut(members.join(ends, "token"))
+    several = members.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("token")
+    members = cut(members.join(several, "token"))
 
-    # First, members of long lists with their extreme members.
-    star = members.select("node", "size", F.explode(F.array("low", "high")).alias("end")).filter(near(F.col("size"), F.col("end.size")))
-    star = star.filter(F.col("node") != F.col("end.node")).select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")).distinct()
     # What short lists have in common may be all that is needed, with the long lists' help.
     on_long = members.groupBy("node").agg(F.count("*").alias("long"))
     pairs = lists.filter("token is null").groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
@@ -329,23 +328,40 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
     known = docs.filter(F.col("doc_id").isNotNull())
     tokens = written(node_sets(known, nodes, sets), "node-sets")
-    first = cut(links(star, tokens))
-    roots = components(first)
+
+    # First, members of long lists with one of them, another one in each round.
+    found = docs.sparkSession.createDataFrame([], "u long, v long")
+    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    for i in range(STARS):
+        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        first = F.struct(F.xxhash64("node", F.lit(i)), "node", "root", "size")
+        ends = placed.groupBy("token").agg(F.min(first).alias("end"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token", "end")
+        star = placed.join(ends, "token").filter((F.col("root") != F.col("end.root")) & near(F.col("size"), F.col("end.size")))
+        star = star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")).distinct()
+        found = found.union(cut(links(star, tokens)))
+        roots = components(found)
 
     # Then pairs that are not connected yet, with all that they have in common.
-    placed = members.select("token", "node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = members.join(on_long, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     open_ = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token")
     placed = placed.join(open_, "token")
-    other = placed.select("token", F.col("node").alias("v"), F.col("size").alias("size_v"), F.col("root").alias("root_v"))
-    more = placed.join(other, "token").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("root_v")) & near(F.col("size"), F.col("size_v")))
-    more = more.groupBy(F.col("node").alias("u"), "v").agg(F.count("*").alias("n"), F.first("size").alias("size_u"), F.first("size_v").alias("size_v"))
-    every = pairs.unionByName(more).groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
-    every = every.filter(F.col("n") >= needed).select("u", "v")
+    one = placed.select("token", F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("root").alias("root_u"), F.col("long").alias("long_u"))
+    two = placed.select("token", F.col("node").alias("v"), F.col("size").alias("size_v"), F.col("root").alias("root_v"), F.col("long").alias("long_v"))
+    able = F.least("long_u", "long_v") >= needed  # without any help from short lists
+    apart = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & near(F.col("size_u"), F.col("size_v")) & able
+    alone = one.join(two, ["token"]).filter(apart)
+    # Pairs that short lists know get what long lists add to them.
+    helped = pairs.select("u", "v").join(placed.select(F.col("node").alias("u"), "token"), "u").join(placed.select(F.col("node").alias("v"), "token"), ["v", "token"])
+    more = alone.select("u", "v", "size_u", "size_v").join(pairs.select("u", "v"), ["u", "v"], "left_anti").groupBy("u", "v")
+    more = more.agg(F.count("*").alias("n"), F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
+    added = helped.groupBy("u", "v").agg(F.count("*").alias("extra"))
+    pairs = pairs.join(added, ["u", "v"], "left").withColumn("n", F.col("n") + F.coalesce("extra", F.lit(0))).drop("extra")
+    every = pairs.unionByName(more).filter(F.col("n") >= needed).select("u", "v")
     for end in ("u", "v"):
         every = every.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
     apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
     second = links(every.filter(apart).select("u", "v"), tokens)
-    roots = components(first.union(second))
+    roots = components(found.union(second))
 
     named = sets.filter("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
