@@ -161,3 +161,18 @@ def test_streaming_debounce(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(seen) == [("a.py", "delete", "3", 1), ("a.py", "upsert", "2", 2), ("b.py", "upsert", "3", 1)]
+
+
+def test_index(spark, tmp_path):
+    from symgraph.plans import index
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "m.py").write_text(PYTHON)
+    (tmp_path / "src" / "n.py").write_text("from m import h\n\n\ndef caller():\n    return h()\n")
+    index.build(spark, str(tmp_path / "src"), str(tmp_path / "out"))
+    i = index.Index(spark, str(tmp_path / "out"))
+    assert [r.name for r in i.callers("h").collect()] == ["caller"]
+    assert {r.n for r in i.impact("h").collect()} == {1} and i.impact("h").count() == 2
+    assert i.search("caller").first()["name"] == "caller"
+    assert "def caller" in i.context("caller").first().xml
+    assert i.status().first().files == 2
