@@ -40,7 +40,7 @@ def components(edges: DataFrame) -> DataFrame:
     neighbours, then the smaller ones; rounds are logarithmic in the longest chain.
     """
     stars = cut(edges.select("u", "v").mapInArrow(contracted, EDGES))
-    while True:
+    while not finished(stars):
         both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -48,6 +48,12 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = cut(small.union(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
-        rows, nodes = stars.agg(F.count("*"), F.count_distinct("u")).first()
-        if rows == nodes and not stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count():
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def finished(stars: DataFrame) -> bool:
+    """Whether every node has one root, and no root has one itself."""
+    rows, nodes = stars.agg(F.count("*"), F.count_distinct("u")).first()
+    if rows != nodes or not rows:
+        return not rows
+    return stars.join(stars.select(F.col("u").alias("v")), "v", "left_semi").isEmpty()

@@ -337,7 +337,9 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         first = F.struct(F.xxhash64("node", F.lit(i)), "node", "root", "size")
         ends = placed.groupBy("token").agg(F.min(first).alias("end"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token", "end")
         star = placed.join(ends, "token").filter((F.col("root") != F.col("end.root")) & near(F.col("size"), F.col("end.size")))
-        star = star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")).distinct()
+        star = cut(star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")).distinct())
+        if star.isEmpty():  # all that share a long list are connected, or too different in size
+            break
         found = found.union(cut(links(star, tokens)))
         roots = components(found)
 
