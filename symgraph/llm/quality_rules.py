@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import SPACE
+from symgraph.llm.common import SPACE, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -146,7 +146,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of docs."""
     cols = docs.columns
-    d = judged(docs).filter(col("kept"))
+    # Written before it is filtered: Spark would push a filter on the verdict down
+    # through all steps and repeat their expressions many times over.
+    d = written(judged(docs).select(*[F.col(c) for c in cols], col("kept"), col("clean")), "judged").filter(col("kept"))
     text = col("clean")
     out = {"text": text, "n_chars": F.length(text).cast("long")}
     return d.select(*[out[c].alias(c) if c in out else F.col(c) for c in cols])
