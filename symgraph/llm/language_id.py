@@ -2,9 +2,11 @@
 
 The models look at the letters of a word, with marks before and after it, so a
 word's score does not depend on its neighbours: Spark counts the distinct words of
-every language, n-grams come from that table, and prediction scores each distinct
-word of a task once.  All languages share one sorted array of n-gram hashes per
-order, with one column of log probabilities for each language.
+every language, and n-grams come from that table.  Continuation counts, discounts
+and probabilities are joins and aggregates over all n-grams, so each n-gram of the
+documents gets its log probability under each language.  The most frequent n-grams
+go to all tasks as a sorted array of 64-bit hashes, of bounded size; a text's other
+n-grams are joined with the table, so the result never depends on the bound.
 
 A text gets the language of the lowest cross-entropy per letter.  The margin to the
 second best is calibrated by a logistic curve; texts under REJECT are marked as not
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from symgraph.llm.common import frequent, written
 
 ORDER = 4
-#: Bounds: n-grams in the model, documents the calibration looks at, remembered words.
-MAX_GRAMS, CALIBRATION_DOCS, MEMO = 600_000, 2000, 1 << 19
+#: Documents the calibration looks at, remembered words.
+CALIBRATION_DOCS, MEMO = 2000, 1 << 19
+#: Log probabilities, n-grams times languages, that every task gets.
+HEAD = 1 << 22
 REJECT = 0.5
 WORD = re.compile(r"[^\W\d_]+")
 START, END = "\x02", "\x03"
@@ -42,7 +46,7 @@ def words_of(text: str) -> list[str]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """lang, word, n over all labelled texts."""
+    """lang, word, n over all texts; a null lang is counted like the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = defaultdict(Counter)
@@ -87,31 +91,7 @@ def codes_of(text: str) -> np.ndarray:
 
 
 class Model:
-    """Interpolated Kneser-Ney: per order a sorted hash array with a row of log probabilities."""
-
-    def __init__(self, counts: list[tuple[str, str, int]]):
-        self.langs = sorted({lang for lang, _, _ in counts})
-        per = [{g: n for lang, g, n in counts if lang == x} for x in self.langs]
-        self.grams: list = []  # of order 1, 2, ...: hashes, values
-        self.back: list = []  # of contexts of length 1, 2, ...: hashes, log weights
-        levels = [self.smooth(c) for c in per]
-        self.unseen = np.array([np.log(1 / (x["size"] + 1)) + np.log(x["rest"]) for x in levels])
-        for order in range(1, ORDER + 1):
-            grams = sorted(set().union(*(x["p"][order] for x in levels)))
-            values = np.array([[self.logp(x, g) for x in levels] for g in grams]).reshape(len(grams), len(levels))
-            self.grams.append(self.ordered(grams, values, order))
-            if order < ORDER:
-                ctx = sorted(set().union(*(x["weight"][order] for x in levels)))
-                values = np.array([[np.log(x["weight"][order].get(h, 1.0)) for x in levels] for h in ctx]).reshape(len(ctx), len(levels))
-                self.back.append(self.ordered(ctx, values, order))
-
-    @staticmethod
-    def ordered(grams: list[str], values: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-        if not grams:
-            return np.zeros(0, np.uint64), values
-        h = hashes(codes_of("".join(grams)), np.arange(len(grams)) * order + order - 1, order)
-        at = np.argsort(h, kind="stable")
-        return h[at], values[at]
+    """Plain version of one language's model, which the tables equal."""
 
     @staticmethod
     def smooth(full: dict[str, int]) -> dict:
@@ -156,84 +136,163 @@ class Model:
             g = g[1:]
         return out + float(np.log(1 / (level["size"] + 1)))
 
-    @staticmethod
-    def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-        return at, (keys[at] == h) if len(keys) else np.zeros(len(h), bool)
 
-    def scores(self, words: list[str]) -> np.ndarray:
-        """Per word the log probability under each language, and at the end the letters predicted."""
-        out = np.zeros((len(words), len(self.langs) + 1))
-        real = [i for i, w in enumerate(words) if any(map(str.isalpha, w))]
-        if not real or not self.langs:
-            return out
-        padded = [START + words[i] + END for i in real]
-        sizes = np.array([len(w) for w in padded])
-        codes = codes_of("".join(padded))
-        starts = np.cumsum(sizes) - sizes
-        ends = np.setdiff1d(np.arange(len(codes)), starts, assume_unique=True)
-        place = ends - np.repeat(starts, sizes - 1)  # characters before, in the word
-        value = np.zeros((len(ends), len(self.langs)))
-        order = np.minimum(place + 1, ORDER)
-        open_ = np.ones(len(ends), bool)
-        for k in range(ORDER, 0, -1):
-            now = np.flatnonzero(open_ & (order >= k))
-            keys, table = self.grams[k - 1]
-            at, hit = self.find(keys, hashes(codes, ends[now], k))
-            value[now[hit]] += table[at[hit]]
-            open_[now[hit]] = False
-            left = now[~hit]
-            if k > 1 and len(left):
-                keys, table = self.back[k - 2]
-                at, hit = self.find(keys, hashes(codes, ends[left] - 1, k - 1))
-                value[left[hit]] += table[at[hit]]
-        value[open_] += self.unseen
-        out[real, :-1] = np.add.reduceat(value, starts - np.arange(len(real)))
-        out[real, -1] = sizes - 2  # letters, to tell texts without any
-        return out
+def levels(grams: DataFrame, langs: list[str]) -> list[DataFrame]:
+    """By order from 1: at (number of the language), gram, n as Kneser-Ney counts below the full order.
+
+    The n-grams of texts to predict come along, with a null at.
+    """
+    numbers = grams.sparkSession.createDataFrame(list(enumerate(langs)), "at int, lang string")
+    grams = grams.join(F.broadcast(numbers), "lang", "left").select("at", "gram", "n")
+    out: list[DataFrame] = []
+    for order in range(ORDER, 0, -1):
+        now = grams.filter(F.length("gram") == order)  # of full order, or at a word's start, where nothing stands before
+        if out:
+            now = now.union(out[-1].groupBy("at", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("n")))
+        out.append(written(now, f"level-{order}"))
+    return out[::-1]
+
+
+def discounts(counts: list[DataFrame], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By order and language the discount, the sum and the number of the counts."""
+    cut, total, kinds = (np.ones((ORDER, width)) for _ in range(3))
+    for order, df in enumerate(counts):
+        of = df.filter(F.col("at").isNotNull()).groupBy("at")
+        for at, once, twice, n, k in of.agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.sum("n"), F.count("*")).collect():
+            cut[order, at] = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
+            total[order, at], kinds[order, at] = n, k
+    return cut, total, kinds
+
+
+def dense(lists: pa.ListArray, field: str, width: int) -> np.ndarray:
+    """Per row the field of its structs, at the place that the structs name."""
+    out = np.zeros((len(lists), width))
+    flat = lists.flatten()
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    out[rows, flat.field("at").to_numpy(zero_copy_only=False)] = flat.field(field).to_numpy(zero_copy_only=False)
+    return out
+
+
+def gram_scores(grams: DataFrame, langs: list[str]) -> DataFrame:
+    """gram, n, logp: the log probability of each n-gram's last character under each language."""
+    width = len(langs)
+    counts = levels(grams, langs)
+    cut, total, kinds = discounts(counts, width)
+    least = 1 / (kinds[0] + 1)  # of any character
+
+    def smooth(order: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                seen = dense(b.column(2), "n", width)
+                if order == 1:
+                    sums, kinds_, low = total[0], kinds[0], least
+                else:
+                    sums, kinds_ = dense(b.column(3), "total", width), dense(b.column(3), "kinds", width)
+                    low = b.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                share = cut[order - 1]
+                known = (np.maximum(seen - share, 0) + share * kinds_ * low) / np.maximum(sums, 1)
+                p = np.where(sums > 0, known, low)
+                column = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * width, p.ravel())
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), column], names=["gram", "n", "p"])
+
+        return run
+
+    lower, out = None, None
+    for order, df in enumerate(counts, 1):
+        seen = F.collect_list(F.when(F.col("at").isNotNull(), F.struct("at", "n")))
+        now = df.groupBy("gram").agg(F.sum("n").alias("n"), seen.alias("seen"))
+        if order > 1:
+            context = F.substring("gram", 1, order - 1).alias("context")
+            contexts = df.filter(F.col("at").isNotNull()).groupBy("at", context).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            contexts = contexts.groupBy("context").agg(F.collect_list(F.struct("at", "total", "kinds")).alias("sums"))
+            now = now.withColumns({"context": context, "rest": F.substring("gram", 2, order)})
+            now = now.join(contexts, "context", "left").join(lower.select(F.col("gram").alias("rest"), F.col("p").alias("low")), "rest")
+            now = now.select("gram", "n", "seen", "sums", "low")
+        lower = written(now.mapInArrow(smooth(order), "gram string, n long, p array<double>"), f"probabilities-{order}")
+        if order > 1:
+            whole = lower if order == ORDER else lower.filter(F.col("gram").startswith(START))
+            out = whole if out is None else out.union(whole)
+    return out.select("gram", "n", F.transform("p", lambda x: F.log(x)).alias("logp"))
 
 
 class Scorer:
-    """Scores texts, each distinct word once while it is remembered."""
+    """Scores texts by the n-grams of a head table, each distinct word once while it is remembered."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, grams: list[str], logp: np.ndarray):
+        sizes = np.fromiter(map(len, grams), np.int64, len(grams))
+        h = np.zeros(len(grams), np.uint64)
+        ends, codes = np.cumsum(sizes) - 1, codes_of("".join(grams))
+        for order in range(1, ORDER + 1):
+            h[sizes == order] = hashes(codes, ends[sizes == order], order)
+        at = np.argsort(h, kind="stable")
+        self.keys, self.logp = h[at], logp[at]
         self.reset()
 
     def reset(self) -> None:
         self.at: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.model.langs) + 1))
+        self.rows = np.zeros((0, self.logp.shape[1] + 1))
+        self.rare: dict[int, list[str]] = {}
 
-    def __call__(self, texts: list[str]) -> np.ndarray:
-        """Per text the cross-entropies per letter and mark, and at the end the letters."""
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        return at, (self.keys[at] == h) if len(self.keys) else np.zeros(len(h), bool)
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, dict[int, list[str]]]:
+        """Per word the log probability under each language and the letters predicted; its n-grams outside the head."""
+        out, rare = np.zeros((len(words), self.logp.shape[1] + 1)), defaultdict(list)
+        real = [i for i, w in enumerate(words) if any(map(str.isalpha, w))]
+        if not real:
+            return out, rare
+        text = "".join(START + words[i] + END for i in real)
+        sizes = np.array([len(words[i]) + 2 for i in real])
+        codes = codes_of(text)
+        starts = np.cumsum(sizes) - sizes
+        ends = np.setdiff1d(np.arange(len(codes)), starts, assume_unique=True)
+        word = np.repeat(np.arange(len(real)), sizes - 1)
+        order = np.minimum(ends - starts[word] + 1, ORDER)
+        value = np.zeros((len(ends), self.logp.shape[1]))
+        for k in range(2, ORDER + 1):
+            now = np.flatnonzero(order == k)
+            at, hit = self.find(hashes(codes, ends[now], k))
+            value[now[hit]] = self.logp[at[hit]]
+            for i in now[~hit].tolist():
+                rare[real[word[i]]].append(text[ends[i] - k + 1 : ends[i] + 1])
+        out[real, :-1] = np.add.reduceat(value, starts - np.arange(len(real)))
+        out[real, -1] = sizes - 2  # letters, to tell texts without any
+        return out, rare
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, list[int], list[Counter]]:
+        """Per text the log probabilities and the letters, the number of words, and the n-grams outside the head."""
         if len(self.at) > MEMO:
             self.reset()
         at, lists = self.at, [words_of(t) for t in texts]
         new = list(set().union(*lists).difference(at)) if lists else []
-        for w in new:
-            at[w] = len(at)
         if new:
-            self.rows = np.concatenate([self.rows, self.model.scores(new)])
-        out = np.zeros((len(texts), self.rows.shape[1]))
+            rows, rare = self.scores(new)
+            self.rare.update({len(at) + i: x for i, x in rare.items()})
+            for w in new:
+                at[w] = len(at)
+            self.rows = np.concatenate([self.rows, rows])
+        out, left = np.zeros((len(texts), self.rows.shape[1])), [Counter() for _ in texts]
         for i, words in enumerate(lists):
             if words:
-                found = self.rows[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
-                total = found.sum(axis=0)
-                out[i] = total
-                if total[-1]:
-                    out[i, :-1] = -total[:-1] / (total[-1] + len(words))
-        return out
-
-
-def choose(h: np.ndarray, curve: tuple[float, float]) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Best language of each row (-1: none), its margin and its calibrated score."""
-    ce, letters = h[:, :-1], h[:, -1]
-    if not ce.shape[1]:
-        return [-1] * len(h), np.zeros(len(h)), np.zeros(len(h))
+                places = np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+                out[i] = self.rows[places].sum(axis=0)
+                if self.rare:
+                    for x in filter(self.rare.__contains__, places.tolist()):
+                        left[i].update(self.rare[x])
+        return out, list(map(len, lists)), left
+
+
+def choose(total: np.ndarray, n_words: np.ndarray) -> tuple[list[int], np.ndarray]:
+    """Best language of each row (-1: none) by the cross-entropy per letter and mark, and its margin."""
+    logp, letters = total[:, :-1], total[:, -1]
+    if not logp.shape[1]:
+        return [-1] * len(total), np.zeros(len(total))
+    ce = -logp / np.maximum(letters + n_words, 1)[:, None]
     best = np.where(letters > 0, ce.argmin(axis=1), -1)
-    margin = np.partition(ce, 1, axis=1)[:, 1] - ce.min(axis=1) if ce.shape[1] > 1 else np.ones(len(h))
-    score = np.where(letters > 0, 1 / (1 + np.exp(-np.clip(curve[0] * margin + curve[1], -30, 30))), 0.0)
-    return best.tolist(), margin, score
+    margin = np.partition(ce, 1, axis=1)[:, 1] - ce.min(axis=1) if ce.shape[1] > 1 else np.ones(len(ce))
+    return best.tolist(), margin
 
 
 def fitted_curve(rows: list[tuple[float, bool]]) -> tuple[float, float]:
@@ -252,33 +311,52 @@ def fitted_curve(rows: list[tuple[float, bool]]) -> tuple[float, float]:
     return float(max(0.0, w[0])), float(w[1])
 
 
-def predicted(docs: DataFrame, model: Model, curve: tuple[float, float]) -> DataFrame:
-    """doc_id, extra columns, lang_pred, margin, score; docs has doc_id and text first."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, curve))
-    extra = docs.columns[2:]
+def head_table(scores: DataFrame, width: int) -> tuple[list[str], np.ndarray]:
+    """The most frequent n-grams, HEAD log probabilities at most."""
+    found = frequent(scores, "n", HEAD // width).select("gram", "logp").toArrow()
+    logp = found.column("logp").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return found.column("gram").to_pylist(), logp.reshape(-1, width)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, curve = shared.value
-        score = Scorer(model)
-        for b in batches:
-            best, margin, value = choose(score([x or "" for x in b.column(1).to_pylist()]), curve)
-            names = pa.array([model.langs[i] if i >= 0 else "und" for i in best], pa.string())
-            arrays = [b.column(0), *(b.column(c) for c in extra), names, pa.array(margin, pa.float64()), pa.array(value, pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *extra, "lang_pred", "margin", "score"])
 
-    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
-    return docs.mapInArrow(run, f"doc_id long{kept}, lang_pred string, margin double, score double")
+def predicted(docs: DataFrame, scores: DataFrame | None, langs: list[str]) -> DataFrame:
+    """The columns of docs but text, which is the first, and lang_pred and margin."""
+    width = len(langs)
+    shared = docs.sparkSession.sparkContext.broadcast(head_table(scores, width) if width else ([], np.zeros((0, 0))))
+    extra = docs.columns[1:]
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in docs.schema.fields[1:])
 
+    def names(best: list[int]) -> pa.Array:
+        return pa.array([langs[i] if i >= 0 else "und" for i in best], pa.string())
 
-def fit(train: DataFrame) -> tuple[Model, tuple[float, float]]:
-    """Model and calibration from docs with doc_id, text and lang."""
-    train = train.filter(F.col("lang").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    grams = written(gram_counts(word_counts(train)), "grams")
-    model = Model([tuple(r) for r in frequent(grams, "n", MAX_GRAMS).collect()])
-    every = max(1, train.count() // CALIBRATION_DOCS)
-    sample = train.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
-    rows = predicted(sample, model, (1.0, 0.0)).filter("lang_pred <> 'und'").select("margin", F.col("lang_pred") == F.col("lang")).limit(4 * CALIBRATION_DOCS).collect()
-    return model, fitted_curve([tuple(r) for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = Scorer(*shared.value)
+        for b in batches:
+            total, n, rare = score([x or "" for x in b.column(0).to_pylist()])
+            best, margin = choose(total, np.array(n))
+            left = [list(x.items()) or None for x in rare] if width else [None] * len(n)
+            sums = pa.array([t.tolist() if x else None for t, x in zip(total, left, strict=True)], pa.list_(pa.float64()))
+            grams = pa.array([x and [{"gram": g, "n": k} for g, k in x] for x in left], pa.list_(pa.struct([("gram", pa.string()), ("n", pa.int64())])))
+            arrays = [*(b.column(c) for c in extra), names(best), pa.array(margin, pa.float64()), sums, pa.array(n, pa.int64()), grams, b.column("_row")]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*extra, "lang_pred", "margin", "_sums", "_words", "_rare", "_row"])
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total = np.array(b.column("_sums").to_pylist()).reshape(-1, width + 1)
+            total[:, :-1] += np.array(b.column("_more").to_pylist()).reshape(-1, width)
+            best, margin = choose(total, b.column("_words").to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), names(best), pa.array(margin, pa.float64())], names=[*extra, "lang_pred", "margin"])
+
+    first = docs.withColumn("_row", F.monotonically_increasing_id()).mapInArrow(
+        run, f"{kept}lang_pred string, margin double, _sums array<double>, _words long, _rare array<struct<gram: string, n: long>>, _row long"
+    )
+    first = written(first, "texts")
+    done = first.filter(F.col("_rare").isNull()).select(*extra, "lang_pred", "margin")
+    if not width:
+        return done
+    open_ = first.filter(F.col("_rare").isNotNull())
+    grams = open_.select("_row", F.inline("_rare").alias("gram", "n")).join(scores.select("gram", "logp"), "gram")
+    more = grams.groupBy("_row").agg(F.array(*(F.sum(F.col("n") * F.col("logp")[i]) for i in range(width))).alias("_more"))
+    return done.union(open_.drop("_rare").join(more, "_row").mapInArrow(settled, f"{kept}lang_pred string, margin double"))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -287,6 +365,14 @@ def identify(docs: DataFrame) -> DataFrame:
     Learns from the documents that are not held out and have a language.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    model, curve = fit(docs.filter(~held_out))
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out.alias("held_out"))
-    return predicted(d, model, curve).select("doc_id", "held_out", "lang_pred", "score", (F.col("score") >= REJECT).alias("accepted"))
+    d = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.when(~held_out, F.col("lang")).alias("lang"))
+    grams = written(gram_counts(word_counts(d)), "grams")
+    langs = sorted(r.lang for r in grams.filter(F.col("lang").isNotNull()).select("lang").distinct().collect())
+    found = written(predicted(d, gram_scores(grams, langs) if langs else None, langs), "margins")
+    train = found.filter(F.col("lang").isNotNull())
+    every = max(1, train.count() // CALIBRATION_DOCS)
+    sample = train.filter((F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0) & (F.col("lang_pred") != "und"))
+    a, b = fitted_curve([tuple(r) for r in sample.select("margin", F.col("lang_pred") == F.col("lang")).limit(4 * CALIBRATION_DOCS).collect()])
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col("margin") + b))
+    score = F.when(F.col("lang_pred") != "und", 1 / (1 + F.exp(-z))).otherwise(0.0)
+    return found.select("doc_id", "held_out", "lang_pred", score.alias("score"), (score >= REJECT).alias("accepted"))

@@ -200,6 +200,58 @@ def test_kneser_ney_sums_to_one():
             assert sum(seen) <= 1 + 1e-9
 
 
+def labelled(parts, n):
+    import random
+
+    rng = random.Random(6)
+    langs = sorted(parts)
+    return [(i, " ".join("".join(rng.choices(parts[langs[i % len(langs)]], k=rng.randint(1, 4))) for _ in range(rng.randint(1, 30))), langs[i % len(langs)], "s", 1, 1, "") for i in range(n)]
+
+
+@pytest.mark.parametrize("head", [0, 60, 1 << 22])
+def test_kneser_ney_tables_equal_plain(spark, monkeypatch, head):
+    """Log probabilities and predictions are those of the plain models, however few n-grams the head holds."""
+    monkeypatch.setattr(language_id, "HEAD", head)
+    data = labelled({"en": ["the", "ing", "wh", "er"], "de": ["sch", "ung", "ü", "der"], "zh": ["漢", "字", "🎉語", "a"]}, 90) + [(90 + i, t, None, "s", 1, 1, "") for i, t in enumerate(["ünseen wörds", "x", "漢a ² the"])]
+    d = docs(spark, data)
+    grams = language_id.gram_counts(language_id.word_counts(d))
+    full = {}
+    for lang, g, n in grams.collect():
+        full.setdefault(lang, {})[g] = n
+    langs = ["de", "en", "zh"]
+    plain = [language_id.Model.smooth(full[x]) for x in langs]
+    want = {g: [language_id.Model.logp(m, g) for m in plain] for c in full.values() for g in c}
+    got = {r.gram: r for r in language_id.gram_scores(grams, langs).collect()}
+    assert set(got) == set(want)
+    for g, logp in want.items():
+        assert np.allclose(got[g].logp, logp, atol=1e-9) and got[g].n == sum(c.get(g, 0) for c in full.values()), g
+    held = {i for i, *_ in data if zlib.crc32(str(i).encode()) % 5 == 0}
+    train = [(i, t, None if i in held else x, *rest) for i, t, x, *rest in data]
+    full = {}
+    for lang, g, n in language_id.gram_counts(language_id.word_counts(docs(spark, train))).collect():
+        full.setdefault(lang, {})[g] = n
+    plain = [language_id.Model.smooth(full[x]) for x in langs]
+    by = {r.doc_id: r.lang_pred for r in language_id.identify(d).collect()}
+    for i, text, *_ in data:
+        total = np.zeros(3)
+        for w in language_id.words_of(text):
+            if any(map(str.isalpha, w)):
+                w = language_id.START + w + language_id.END
+                total += [sum(language_id.Model.logp(m, w[max(0, at - 3) : at + 1]) for at in range(1, len(w))) for m in plain]
+        assert by[i] == langs[int(np.argmax(total))], i
+
+
+def test_language_of_few_documents_beside_a_large_one(spark):
+    """Nothing is left out of the models, however many n-grams the other language has."""
+    rng = np.random.default_rng(1)
+    many = [" ".join("".join(map(chr, x)) for x in rng.integers(0xAC00, 0xD7A3, (60, 6))) for _ in range(2000)]
+    data = [(i, t, "ko", "s", 1, 1, "") for i, t in enumerate(many)]
+    few = {5000: "abcdefgh", 5001: "ijklmnop", 5002: "qrstuvwx", 5003: "yzäöüß"}
+    data += [(i, t, "xx", "s", 1, 1, "") for i, t in few.items()]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs(spark, data)).collect()}
+    assert {got[i] for i in few} == {"xx"}
+
+
 # 6 Quality rules
 
 
