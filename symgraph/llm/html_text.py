@@ -4,8 +4,8 @@ A page's text is cut into blocks, each with its path of tags from the root.  Per
 path the text length and the punctuation are aggregated as ratios to the number
 of blocks, smoothed over the paths in page order, fused by multiplying them, and
 compared with a threshold from their spread.  The content is the smallest element
-around most of the text of the chosen paths, without what its tags or class names
-mark as menus, adverts, forms, comments and the like.
+around all text of the chosen paths, without what its tags or class names mark as
+menus, adverts, forms, comments and the like.
 
 Defined results: a null or empty page, or one without text, gives an empty string.
 Broken markup never fails: unknown or unclosed tags are closed with their parents.
@@ -48,8 +48,6 @@ BOILER_WORDS = {
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "aside", "nav", "header", "footer", "form", "blockquote"}
 PUNCTUATION = re.compile(r"[.,;:!?…]")
-#: The content element holds so much of the text on the chosen paths.
-SHARE = 0.7
 
 
 def is_boiler(tag: str, attrs: str) -> bool:
@@ -163,7 +161,7 @@ def main_text(page: str | None) -> str:
     spread = (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
     best = max(fused)
     chosen = {p for p, x in zip(size, fused, strict=True) if x >= min(max(mean - spread, 0.25 * mean), best)}
-    # The deepest element around SHARE of the chosen text.
+    # The deepest element around all chosen text: what lies outside is on rejected paths.
     weight: dict[int, int] = {}
     total = 0
     for path, ids, text in found:
@@ -174,7 +172,7 @@ def main_text(page: str | None) -> str:
     inside, depth = 0, -1
     for path, ids, _ in found:
         for d, (tag, x) in enumerate(zip(path, ids, strict=True)):
-            if d > depth and weight.get(x, 0) >= SHARE * total and (tag in CONTAINERS or tag == "#"):
+            if d > depth and weight.get(x, 0) == total and (tag in CONTAINERS or tag == "#"):
                 inside, depth = x, d
     return "\n".join(text for _, ids, text in found if inside in ids)
 

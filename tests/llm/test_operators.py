@@ -423,3 +423,11 @@ def test_html(spark):
     assert got[1].text == want and got[1].n_chars == len(want)
     assert got[2].text == got[3].text == "" and got[5].text == "no tags at all" and got[6].text == "deep"
     assert html_text.extract(pages).count() == len(data) and html_text.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("large", ["<table><tr><td>{}</td></tr></table>", "<ul><li>{}</li></ul>", "<blockquote><p>{}</p></blockquote>", "<section><p>{}</p></section>"])
+def test_html_keeps_what_stands_around_a_large_element(large):
+    intro, end = "An introduction, which says what follows, is here.", "At the end, some words close the article, as usual."
+    inner = "The large element, a quote or a list, holds most of the text, that is three quarters. " * 4
+    page = f"<body><nav>Home</nav><div class=links>x</div><article><h1>Headline</h1><p>{intro}</p>{large.format(inner)}<p>{end}</p></article></body>"
+    assert html_text.main_text(page).split("\n")[-4:] == ["Headline", intro, inner.strip(), end]
