@@ -33,9 +33,14 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text."""
+    """Token counts and digests of the ids and of the decoded text, in the order of the mixture.
+
+    Files lose the order of rows, so it is put back here, on rows without texts.
+    """
     tuned(spark)
-    return sentencepiece_codec.digests(sentencepiece_codec.encode(docs, piece_model()))
+    encoded = sentencepiece_codec.encode(docs, piece_model(), keep=("source",))
+    out = written(sentencepiece_codec.digests(encoded, keep=("source",)), "encoded")
+    return source_mix.in_order(out).drop("source")
 
 
 STAGES = [

@@ -128,9 +128,9 @@ def chunk_table(docs: DataFrame, model: str) -> DataFrame:
     return frequent(counts, "n", HEAD).select("chunk").mapInArrow(run, "chunk string, ids binary, decoded string")
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian 32-bit numbers with begin and end ids) and decoded, per input row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ids (little-endian 32-bit numbers with begin and end ids), decoded and the columns to keep, per input row."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
     rows = [tuple(r) for r in chunk_table(docs, model).collect()]  # at most HEAD
     head = docs.sparkSession.sparkContext.broadcast([(c, bytes(i), d) for c, i, d in rows])
 
@@ -140,16 +140,18 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
-                arrays = [part.column(0), pa.array(ids, pa.binary()), pa.array(codec.decode_last(), pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded"])
+                arrays = [part.column(0), pa.array(ids, pa.binary()), pa.array(codec.decode_last(), pa.string()), *(part.column(c) for c in keep)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded", *keep])
 
-    return docs.mapInArrow(run, "doc_id long, ids binary, decoded string")
+    kept = "".join(f", {f.name} {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return docs.mapInArrow(run, f"doc_id long, ids binary, decoded string{kept}")
 
 
-def digests(encoded: DataFrame) -> DataFrame:
+def digests(encoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *keep,
     )

@@ -3,7 +3,7 @@
 import re
 
 import corpus_pipeline
-from symgraph.llm import secret_scan
+from symgraph.llm import secret_scan, source_mix
 from symgraph.llm.queries import piece_model
 from tests.llm.common import docs, rows
 from tests.llm.test_operators import plain_codes, plain_groups
@@ -33,3 +33,17 @@ def test_stages_return_the_columns_of_documents(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         d = stage(spark, d, "")
         assert d.columns == docs(spark).columns
+
+
+def test_result_is_in_the_order_of_the_mixture(spark, tmp_path, monkeypatch):
+    """Also where the mixture is written as several files of different sizes."""
+    data = [(i, "word " * (1 + i * 7 % 50), "en", "a" if i % 5 else "bc"[i // 5 % 2], 0, 0, "") for i in range(1500)]
+    docs(spark, data).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+        mixed = source_mix.mix(docs(spark, data)).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == [r.doc_id for r in sorted(mixed, key=lambda r: r.position)]
