@@ -15,6 +15,9 @@ SPACE = r"[\x20\x09-\x0D]+"
 #: 10,000 rows could put a gigabyte into one batch.
 ARROW_ROWS = "2000"
 
+#: Rows that a side of a join has at most when it is sent to all tasks.
+BROADCAST_ROWS = 1 << 19
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,11 +32,13 @@ def tuned(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir.
 
-    Only where neither that setting nor a checkpoint folder exists (tests, one
-    machine), a temporary folder is made and set.
+    Only where neither that setting nor a checkpoint folder exists and the session
+    runs on one machine, a temporary folder is made and set; a cluster must name one.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="symgraph-checkpoint-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -54,6 +59,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df, computed once, and marked for broadcast if it has at most BROADCAST_ROWS rows (of a few numbers each)."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ascii_lower(column):
     """Lower-cases A-Z only, unlike lower(), which changes all of Unicode."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -2,7 +2,7 @@
 
 A document's set are the hashes of its distinct 5-word shingles.  Documents with
 equal sets are one node from the start.  All tokens have one global order: those
-found to be common come last, and within both classes the hash decides.  Two sets
+found to be common come last, the rarest of them first; else the hash decides.  Two sets
 of Jaccard similarity 3/4 or more share k of the first n - ceil(3n/4) + k tokens of
 each, whatever the order, so
 
@@ -16,22 +16,29 @@ stops to be cheaper than scanning lists.
 
 Common tokens are counted over all documents in ROUNDS passes, each on the tokens
 that then come first; the most frequent (HEAVY at most, a bound of what is
-broadcast) move to the end of the order.  The order only decides which lists are
-scanned, never which pairs match.
+broadcast) move to the end of the order, by their counts.  So what sets of a group
+of near copies have alone comes first, then what few of them have in common.  The
+order only decides which lists are scanned, never which pairs match.
 
 Two sets that match also share enough of these first tokens: with c in common, and r
 tokens of a set behind its first ones, the overlap is at most c plus the larger r.
-Pairs whose c cannot reach the overlap their sizes ask for are never compared.
+Pairs whose c cannot reach the overlap their sizes ask for are never compared.  A
+member of a list whose own number of common tokens is under what any size on that
+list asks for leaves the list; and each looks for others only on as many of its
+shortest lists as one of those that a pair must share is among.
 
 Links are not listed within a group that is connected already.  First, in STARS
 rounds, every long list (of a common token) compares its members with one of them,
-and the components of these links are found; then only pairs in different components
-are counted and, if c allows, compared.  Every comparison is exact, on whole sets.
+first of all the one that has most in common with others, and the components of
+these links are found; then only pairs in different components are counted and, if c
+allows, compared.  Long lists are cut into parts of about PART members, which meet
+in tasks of their own.  Every comparison is exact, on whole sets.
 
 Defined results: texts without words (null, empty) have an empty set and stay alone.
 Fewer than five words are one shingle.  Rows with a null id are grouped by their
 set only and never name a component.  Rows of one id are judged one by one.  Sets
-and shingles are told apart by 64-bit hashes.
+and shingles are told apart by 64-bit hashes.  Columns other than id and text are
+not read, so their names have no influence.
 """
 
 from __future__ import annotations
@@ -40,18 +47,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import cut, frequent, written
+from symgraph.llm.common import cut, frequent, sized, written
 from symgraph.llm.components import components
 from symgraph.llm.tokens import R1, R2, Sums, Words, mixed, packed, runs, slices, unpacked
 
 SHINGLE, PERCENT = 5, 75
-#: Tokens in more than COMMON places are moved back, at most HEAVY per round.
-ROUNDS, COMMON, HEAVY = 3, 16, 1 << 19
+#: Tokens in more than COMMON places are moved back, at most HEAVY per round.  A round
+#: sees a quarter of a set, so after four all tokens of a group of near copies are known.
+ROUNDS, COMMON, HEAVY = 4, 16, 1 << 19
 #: Rounds in which long lists compare their members with one of them.
 STARS = 3
+#: Members of one part of a long list, about.
+PART = 512
 BUCKET_CHARS, MIN_BUCKETS = 6 << 20, 48
 PAIR = np.uint64(0x9FB21C651E98DF25)
 
@@ -69,15 +79,13 @@ class Sets:
 
     def __init__(self, texts: list[bytes]):
         w = Words(texts, lower=True)
-        n = len(w.codes)
-        sums = Sums(w.codes, R1)
-        ends = w.starts + w.sizes
-        begin = np.flatnonzero(np.arange(n) + SHINGLE <= ends[w.row]) if n else np.zeros(0, np.int64)
-        short = np.flatnonzero((w.sizes > 0) & (w.sizes < SHINGLE))
-        token = np.concatenate([sums.of(begin, begin + SHINGLE), sums.of(w.starts[short], ends[short])])
-        row = np.concatenate([w.row[begin], short])
-        order = np.lexsort((token, row))
-        token, row = token[order], row[order]
+        count = np.where(w.sizes < SHINGLE, w.sizes > 0, w.sizes - SHINGLE + 1)
+        stop = np.cumsum(count)
+        row = np.repeat(np.arange(len(texts)), count)
+        begin = w.starts[row] + np.arange(len(row)) - (stop - count)[row]
+        token = Sums(w.codes, R1).of(begin, begin + np.minimum(w.sizes, SHINGLE)[row])
+        for a, b in zip((stop - count).tolist(), stop.tolist(), strict=True):
+            token[a:b].sort()
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (row[1:] != row[:-1])
         self.token, self.row = token[new], row[new]
@@ -93,27 +101,46 @@ def least_overlap(size: np.ndarray) -> np.ndarray:
     return -(-size * PERCENT // 100)
 
 
-def within(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
-    if not len(sorted_values):
-        return np.zeros(len(x), bool)
-    return sorted_values[np.minimum(np.searchsorted(sorted_values, x), len(sorted_values) - 1)] == x
+class Known:
+    """Counts of common tokens; most others are told from them by a few bits."""
 
+    BITS = np.uint64(64 - 22)
 
-def filed(s: Sets, heavy: np.ndarray, small: int) -> np.ndarray:
+    def __init__(self, common: np.ndarray):
+        self.tokens, self.n = common["token"], common["n"]  # sorted by token
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[self.tokens >> self.BITS] = True
+
+    def counts(self, x: np.ndarray) -> np.ndarray:
+        """How often each token was counted; 0 if it isn't common."""
+        out = np.zeros(len(x), np.int64)
+        at = np.flatnonzero(self.maybe[x >> self.BITS])
+        if len(at):
+            place = np.minimum(np.searchsorted(self.tokens, x[at]), len(self.tokens) - 1)
+            out[at] = np.where(self.tokens[place] == x[at], self.n[place], 0)
+        return out
+
+
+def filed(s: Sets, known: Known, small: int) -> np.ndarray:
     """Where the sets are filed: tokens, and for sets of at most small tokens pairs of tokens."""
-    common = within(heavy, s.token)
-    order = np.argsort(s.row * 2 + common, kind="stable")  # by row, then common ones last; by value as before
-    token, row, common = s.token[order], s.row[order], common[order]
-    size = s.sizes[row]
-    rank = np.arange(len(token)) - s.starts[row]
+    counts = known.counts(s.token)
+    common = counts > 0
+    n_before = np.cumsum(~common) - ~common  # uncommon tokens before each, of its row below
+    n_before -= np.append(n_before, 0)[np.minimum(s.starts, len(common))][s.row]
+    rank = n_before  # of the uncommon ones, by value; the common ones follow by their counts
+    at = np.flatnonzero(common)
+    at = at[np.lexsort((counts[at], s.row[at]))]
+    uncommon, n_common = np.bincount(s.row[~common], minlength=len(s.sizes)), np.bincount(s.row[at], minlength=len(s.sizes))
+    rank[at] = uncommon[s.row[at]] + np.arange(len(at)) - (np.cumsum(n_common) - n_common)[s.row[at]]
     once = np.zeros(len(s.sizes), bool)  # equal sets of this batch are filed once
     once[np.unique(s.nodes, return_index=True)[1]] = True
-    keep = once[row] & (rank < size - least_overlap(size) + 2)
-    token, row, common, size, rank = token[keep], row[keep], common[keep], size[keep], rank[keep]
-    first = size - least_overlap(size) + 1  # how many tokens one common token needs
-    single = (rank < first) & (size * 100 > small * PERCENT)
+    first = s.sizes - least_overlap(s.sizes) + 1  # how many tokens one common token needs
+    keep = once[s.row] & (rank < first[s.row] + 1)
+    token, row, common, rank = s.token[keep], s.row[keep], common[keep], rank[keep]
+    single = (rank < first[row]) & (s.sizes[row] * 100 > small * PERCENT)
     out = [(token[single], row[single], common[single])]
-    last = (rank < first + 1) & (size <= small)  # one more for two common tokens
+    last = np.flatnonzero(s.sizes[row] <= small)  # one more for two common tokens
+    last = last[np.lexsort((rank[last], row[last]))]
     token, row, rank, common = token[last], row[last], rank[last], common[last]
     for back in range(1, small + 1):  # pairs of a token with the one so many places before it
         at = np.flatnonzero(rank >= back)
@@ -143,16 +170,17 @@ def batch(buckets: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node per row; node is null for an empty set."""
+    """doc_id, text_hash, n_shingles, node per row; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at, texts in slices(b.column(1).to_pylist()):
                 s = Sets(texts)
                 nodes = pa.array(s.nodes, pa.int64(), mask=s.sizes == 0)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, len(texts)), pa.array(s.sizes, pa.int64()), nodes], names=["doc_id", "n_shingles", "node"])
+                kept = [b.column(i).slice(at, len(texts)) for i in (0, 2)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(s.sizes, pa.int64()), nodes], names=["doc_id", "text_hash", "n_shingles", "node"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, node long")
 
 
 def common_tokens(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> tuple[np.ndarray, float]:
@@ -160,15 +188,16 @@ def common_tokens(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> tuple[n
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Known(known.value)
         for b in batches:
             for _, texts in slices(b.column(1).to_pylist()):
-                items = filed(Sets(texts), known.value, 0)
+                items = filed(Sets(texts), common, 0)
                 items = items[np.argsort(items["token"], kind="stable")]
                 first = runs(items["token"])
                 out = np.zeros(len(first), COUNT)
                 out["token"] = items["token"][first]
                 out["n"] = np.diff(np.concatenate([first, [len(items)]]))
-                out = out[~within(known.value, out["token"])]
+                out = out[common.counts(out["token"]) == 0]
                 yield batch(out["token"] % np.uint64(n_buckets), out)
 
     def total(t: pa.Table) -> pa.Table:
@@ -183,8 +212,10 @@ def common_tokens(docs: DataFrame, heavy: np.ndarray, n_buckets: int) -> tuple[n
 
     found = written(docs.mapInArrow(count, PACKED).groupBy("bucket").applyInArrow(total, "token long, n long, pairs long"), "common-tokens")
     places, pairs = found.filter("token is null").agg(F.sum("n"), F.sum("pairs")).first()
-    tokens = frequent(found.filter("token is not null"), "n", HEAVY).select("token").toArrow().column(0).to_numpy()
-    return np.union1d(heavy, tokens.astype(np.int64).view(np.uint64)), (pairs or 0) / max(places or 0, 1)
+    rows = frequent(found.filter("token is not null"), "n", HEAVY).select("token", "n").toArrow()
+    more = np.zeros(len(rows), COUNT)
+    more["token"], more["n"] = rows.column(0).to_numpy().astype(np.int64).view(np.uint64), np.minimum(rows.column(1).to_numpy(), 0xFFFFFFFF)
+    return np.sort(np.concatenate([heavy, more]), order="token"), (pairs or 0) / max(places or 0, 1)
 
 
 def boundary(shared: float, longest: int = 64) -> int:
@@ -230,9 +261,10 @@ def filings(docs: DataFrame, heavy: np.ndarray, small: int, n_buckets: int) -> D
     known = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = Known(known.value)
         for b in batches:
             for _, texts in slices(b.column(1).to_pylist()):
-                items = filed(Sets(texts), known.value, small)
+                items = filed(Sets(texts), common, small)
                 # Common tokens need no bucket: they are shared, and their lists are long.
                 bucket = np.where(items["sure"] == 1, mixed(items["node"].astype(np.uint64)), items["token"])
                 yield batch(bucket % np.uint64(n_buckets), items)
@@ -255,7 +287,7 @@ def filings(docs: DataFrame, heavy: np.ndarray, small: int, n_buckets: int) -> D
 def node_sets(docs: DataFrame, nodes: DataFrame, all_sets: DataFrame) -> DataFrame:
     """node, tokens (sorted, as bytes) of the given nodes, each from one document."""
     ids = all_sets.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    chosen = docs.join(ids, "doc_id").select("doc_id", "text", "node")
+    chosen = docs.join(sized(ids), "doc_id").select("doc_id", "text", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,23 +334,53 @@ def near(a, b):
     return F.least(a, b) * 100 >= F.greatest(a, b) * PERCENT
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id per input row."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def least_needed(size, lo, hi, small: int):
+    """What fewest_common() asks for, at least, of a set and any one of a size from lo to hi that is near."""
+    lo = F.least(size, F.greatest(lo, F.ceil(size * PERCENT / 100)))
+    hi = F.greatest(size, F.least(hi, F.floor(size * 100 / PERCENT)))
+    # It rises with the other size up to its own, then falls, but for steps of one.
+    return F.least(fewest_common(size, lo, small), fewest_common(size, hi, small) - 1)
+
+
+def rooted(df: DataFrame, roots: DataFrame, node: str = "node", root: str = "root") -> DataFrame:
+    """df with the root of a node; a node without links is its own."""
+    named = roots.select(F.col("node").alias(node), F.col("root").alias(root))
+    return df.join(named, node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def still_open(members: DataFrame, small: int) -> DataFrame:
+    """The members of lists that join components, without those that have too little in common with any.
+
+    Pairs of different components share no other lists, so the second round, which
+    counts those left only, leaves out more.
+    """
+    for _ in range(2):
+        by_token = F.min("root").alias("a"), F.max("root").alias("b"), F.min("size").alias("lo"), F.max("size").alias("hi"), F.count("*").alias("n")
+        lists = members.groupBy("token").agg(*by_token).filter("a < b").select("token", "lo", "hi", "n")
+        members = members.drop("lo", "hi", "n", "long", "need").join(lists, "token")
+        members = members.withColumn("long", F.count("*").over(Window.partitionBy("node")))
+        members = members.withColumn("need", least_needed(F.col("size"), F.col("lo"), F.col("hi"), small)).filter("long >= need")
+    return cut(members)
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, n_shingles, node, component_id per row of docs (doc_id, text)."""
+    spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = max(MIN_BUCKETS, -(-chars // BUCKET_CHARS))
-    sets = written(sets_of(docs), "sets")
-    heavy, shared = np.zeros(0, np.uint64), 0.0
+    sets = cut(sets_of(docs))
+    heavy, shared = np.zeros(0, COUNT), 0.0
     for _ in range(ROUNDS):
         heavy, shared = common_tokens(docs, heavy, n_buckets)
     small = boundary(shared)
     lists = written(filings(docs, heavy, small, n_buckets), "lists")
     members = lists.filter("token is not null").select("token", F.col("u").alias("node"), F.col("size_u").alias("size")).distinct()
     several = members.groupBy("token").agg(F.min("node").alias("a"), F.max("node").alias("b")).filter("a < b").select("token")
-    members = cut(members.join(several, "token"))
+    members = members.join(several, "token")
+    on_long = cut(members.groupBy("node").agg(F.count("*").alias("long")))
+    members = cut(members.join(on_long, "node"))
 
     # What short lists have in common may be all that is needed, with the long lists' help.
-    on_long = members.groupBy("node").agg(F.count("*").alias("long"))
     pairs = lists.filter("token is null").groupBy("u", "v").agg(F.sum("n").alias("n"), F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
     for end in ("u", "v"):
         pairs = pairs.join(on_long.select(F.col("node").alias(end), F.col("long").alias(f"long_{end}")), end, "left")
@@ -326,56 +388,87 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     needed = fewest_common(F.col("size_u"), F.col("size_v"), small)
     pairs = cut(pairs.filter(F.col("n") + help_ >= needed).select("u", "v", "n", "size_u", "size_v"))
     nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).union(members.select("node")).distinct()
-    known = docs.filter(F.col("doc_id").isNotNull())
-    tokens = written(node_sets(known, nodes, sets), "node-sets")
+    tokens = cut(node_sets(docs.filter(F.col("doc_id").isNotNull()), nodes, sets))
+
+    def ends(df: DataFrame, end: str, *more: str, rank: bool = False) -> DataFrame:
+        return df.select("token", *more, F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("size", "root", "long", *["rank"] * rank)))
+
+    able = F.least("long_u", "long_v") >= needed  # without any help from short lists
+    apart = (F.col("root_u") != F.col("root_v")) & near(F.col("size_u"), F.col("size_v"))
+    pair = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
 
     # First, members of long lists with one of them, another one in each round.
-    found = docs.sparkSession.createDataFrame([], "u long, v long")
-    roots = docs.sparkSession.createDataFrame([], "node long, root long")
+    found = spark.createDataFrame([], "u long, v long")
+    roots = spark.createDataFrame([], "node long, root long")
+    share = F.col("long") / (F.col("size") - F.ceil(F.col("size") * PERCENT / 100) + 1)
     for i in range(STARS):
-        placed = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        first = F.struct(F.xxhash64("node", F.lit(i)), "node", "root", "size")
-        ends = placed.groupBy("token").agg(F.min(first).alias("end"), F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token", "end")
-        star = placed.join(ends, "token").filter((F.col("root") != F.col("end.root")) & near(F.col("size"), F.col("end.size")))
-        star = cut(star.select(F.least("node", "end.node").alias("u"), F.greatest("node", "end.node").alias("v")).distinct())
-        if star.isEmpty():  # all that share a long list are connected, or too different in size
+        placed = still_open(rooted(members, roots), small)
+        chance = F.pmod(F.xxhash64("node", F.lit(i)), F.lit(1 << 20)) / (1 << 20) * i
+        middle = placed.groupBy("token").agg(F.max_by(F.struct("node", "size", "root", "long"), F.struct(share + chance, "node")).alias("end"))
+        star = ends(placed, "u").join(ends(middle.select("token", "end.*"), "v"), "token").filter(apart & able)
+        star = cut(star.select(*pair).distinct())
+        if star.isEmpty():  # all that share a long list are connected, or too different
             break
-        found = found.union(cut(links(star, tokens)))
+        new = cut(links(star, tokens))
+        if i and new.isEmpty():  # what is left hardly links
+            break
+        found = found.union(new)
         roots = components(found)
 
     # Then pairs that are not connected yet, with all that they have in common.
-    placed = members.join(on_long, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = placed.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("token")
-    placed = placed.join(open_, "token")
-    one = placed.select("token", F.col("node").alias("u"), F.col("size").alias("size_u"), F.col("root").alias("root_u"), F.col("long").alias("long_u"))
-    two = placed.select("token", F.col("node").alias("v"), F.col("size").alias("size_v"), F.col("root").alias("root_v"), F.col("long").alias("long_v"))
-    able = F.least("long_u", "long_v") >= needed  # without any help from short lists
-    apart = (F.col("u") < F.col("v")) & (F.col("root_u") != F.col("root_v")) & near(F.col("size_u"), F.col("size_v")) & able
-    alone = one.join(two, ["token"]).filter(apart)
+    placed = still_open(rooted(members, roots), small)
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("n", "token"))
+    left = placed.withColumns({"rank": rank, "parts": F.ceil(F.col("n") / PART).cast("int")})
+    one = ends(left.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")), "u", "part", rank=True)
+    two = ends(left.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))), "v", "part", rank=True)
+    # Of as many lists as a pair must share, one is among the first long - needed + 1 of either, in the order of lists by length.
+    early = (F.col("rank_u") <= F.col("long_u") - needed + 1) & (F.col("rank_v") <= F.col("long_v") - needed + 1)
+    alone = one.join(two, ["token", "part"]).filter((F.col("u") < F.col("v")) & apart & early)
+    alone = alone.groupBy("u", "v").agg(F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
+    own = placed.groupBy("node").agg(F.collect_list("token").alias("tokens"))  # as many as a set has first tokens, at most
+    for end in ("u", "v"):
+        alone = alone.join(own.select(F.col("node").alias(end), F.col("tokens").alias(f"tokens_{end}")), end)
+    alone = alone.withColumn("n", F.size(F.array_intersect("tokens_u", "tokens_v"))).filter(F.col("n") >= needed)
     # Pairs that short lists know get what long lists add to them.
-    helped = pairs.select("u", "v").join(placed.select(F.col("node").alias("u"), "token"), "u").join(placed.select(F.col("node").alias("v"), "token"), ["v", "token"])
-    more = alone.select("u", "v", "size_u", "size_v").join(pairs.select("u", "v"), ["u", "v"], "left_anti").groupBy("u", "v")
-    more = more.agg(F.count("*").alias("n"), F.first("size_u").alias("size_u"), F.first("size_v").alias("size_v"))
+    pairs = rooted(rooted(pairs, roots, "u", "root_u"), roots, "v", "root_v").filter("root_u <> root_v")
+    helped = pairs.select("u", "v").join(members.select(F.col("node").alias("u"), "token"), "u").join(members.select(F.col("node").alias("v"), "token"), ["v", "token"])
     added = helped.groupBy("u", "v").agg(F.count("*").alias("extra"))
-    pairs = pairs.join(added, ["u", "v"], "left").withColumn("n", F.col("n") + F.coalesce("extra", F.lit(0))).drop("extra")
-    every = pairs.unionByName(more).filter(F.col("n") >= needed).select("u", "v")
-    for end in ("u", "v"):
-        every = every.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
-    second = links(every.filter(apart).select("u", "v"), tokens)
-    roots = components(found.union(second))
+    pairs = pairs.join(added, ["u", "v"], "left").withColumn("n", F.col("n") + F.coalesce("extra", F.lit(0))).select("u", "v", "n", "size_u", "size_v")
+    every = pairs.filter(F.col("n") >= needed).select("u", "v").union(alone.select("u", "v")).distinct()
+    roots = components(found.union(cut(links(every, tokens))))
 
-    named = sets.filter("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_node = named.select("node", "root").distinct().join(names, "root").select("node", "component_id")
-    grouped = sets.join(by_node, "node", "left")
-    return grouped.select("doc_id", "n_shingles", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component_id")), F.col("doc_id")).alias("component_id"))
+    by_node = rooted(sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), roots)
+    names = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_node = by_node.join(names, "root").select("node", "component_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
+    return sets.join(by_node, "node", "left").select("doc_id", "text_hash", "n_shingles", "node", F.coalesce(component, F.col("doc_id")).alias("component_id"))
+
+
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id per input row."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return classes(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:
-    """One row of docs per group, that of the smallest id; rows with a null id stay."""
-    g = groups(docs).select("doc_id", "component_id").filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(g, "doc_id", "left_anti").select(*docs.columns)
+    """One row of docs per group: that of the smallest id, and of that id's texts one.
+
+    Rows of empty sets and rows with a null id all stay.
+    """
+    text_hash = F.xxhash64("text")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = cut(classes(known).filter("node is not null and doc_id is not null").select("doc_id", "text_hash", "component_id"))
+    first = rows.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
+    gone = rows.join(first, "component_id").filter("doc_id <> component_id or text_hash <> first").select("doc_id", "text_hash").distinct()
+    gone = sized(gone).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (text_hash == F.col("_hash")), "left_anti")
+    twice = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    # Rows that occur several times are few, or the corpus repeats itself; one of each stays.
+    again = (F.col("doc_id").cast("long") == F.col("_id")) & (text_hash == F.col("_hash"))
+    single = kept.join(twice, again, "left_anti").select(*docs.columns)
+    return single.union(kept.join(twice, again, "left_semi").withColumn("_hash", text_hash).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns))
 
 
 ORACLE = r"""

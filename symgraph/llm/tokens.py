@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Bytes of text that are worked on at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 R1, R2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xCA5A826395121157)
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 SHIFT = np.uint64(32)
@@ -55,10 +55,22 @@ class Sums:
         return mixed((self.sum[end] - self.sum[begin]) * self.up[begin] + size)
 
 
-#: A fixed number for each byte, and the bytes that separate words.
-BYTES = np.random.default_rng(11).integers(0, 1 << 64, 256, np.uint64)
-LOWER = BYTES[np.frombuffer(bytes(range(256)).lower(), np.uint8)]  # A-Z only
-BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: The lowest n bytes of a number, by n.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+SEED, STEP = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949C7DEFA0A5A73)
+
+
+def word_codes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes; data goes on for eight bytes behind the last."""
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the eight bytes from each place on
+    h = size.astype(np.uint64) * STEP + SEED
+    live, k = np.arange(len(begin)), 0
+    while len(live):
+        rest = np.minimum(size[live] - k, 8)
+        h[live] = mixed((h[live] ^ (eight[begin[live] + k] & MASKS[rest])) * STEP)
+        k += 8
+        live = live[size[live] > k]
+    return h
 
 
 class Words:
@@ -69,15 +81,16 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], lower: bool = False):
-        data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
-        blank = BLANK[data]
-        begin = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
-        end = np.flatnonzero(~blank[:-1] & blank[1:]) + 1
-        self.codes = Sums((LOWER if lower else BYTES)[data], R2).of(begin, end)
+        joined = b"\n" + b"\n".join(texts) + b"\n" * 8
+        data = np.frombuffer(joined.lower() if lower else joined, np.uint8)  # lower() of bytes changes A-Z only
+        blank = (data == 0x20) | (data - np.uint8(9) < 5)
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        begin, end = edges[::2], edges[1::2]
+        self.codes = word_codes(data, begin, end - begin)
         first = np.cumsum([1, *(len(t) + 1 for t in texts)])  # where each text begins
-        self.row = np.searchsorted(first, begin, side="right") - 1
-        self.sizes = np.bincount(self.row, minlength=len(texts))
-        self.starts = np.cumsum(self.sizes) - self.sizes
+        at = np.searchsorted(begin, first)
+        self.starts, self.sizes = at[:-1], np.diff(at)
+        self.row = np.repeat(np.arange(len(texts)), self.sizes)
 
 
 def packed(bucket: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[bytes]]:
