@@ -1,104 +1,80 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Every source is cut into blocks of documents.  A source of weight w owns a share w
-of the slots: its k-th block is released at slot floor(k / w) and due by slot
-ceil((k + 1) / w); among the released blocks the earliest deadline goes first.  The
-number of blocks a source has had by slot t then never differs from w * t by one or
-more.  Weights are rounded to multiples of 1 / SLOTS, so a schedule repeats after SLOTS slots: the
-driver plans one period, from the sources' weights and sizes alone, and each
-document computes its slot from its block number.
-
-When a source is used up, a new phase begins in which the others share its weight
-in proportion; all documents stay.
-
-Defined results: a null source is a source of its own.  Repeated rows each get a
-place.  An empty table gives an empty result.  More than MAX_SOURCES sources are
-refused with a ValueError.
+Every source is cut into blocks of documents.  A source owns a share of the slots in
+proportion to its weight; when it is used up, the others go on in proportion, so that
+all documents stay.  That fluid share gives each block its times: it is released at
+the slot in which its share begins, and due by the end of the slot in which it ends;
+among the released blocks the earliest deadline goes first.  The number of blocks a
+source has had by any slot then differs from its share by less than one.
+
+With virtual time v, in which a source of weight w is served w * v blocks until it is
+used up, the slot at v is the sum over all sources of min(blocks, w * v).  Weights are
+taken as exact fractions, so nothing is rounded and nothing adds up.
+
+The driver plans blocks, not documents: blocks are of BLOCK_ROWS documents, or as many
+more as make them BLOCKS at most, beside one for each source, of any number of
+sources.  Every document finds its block from the row counts of hashed buckets.
+
+Defined results: a null source is a source of its own.  A weight that is missing, zero
+or negative counts as the smallest one given, divided by the number of documents, so
+the source comes last.  Repeated rows each get a place.  Equal deadlines go to the
+source first by name, null first.  Rows with a null id come first in their bucket.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from bisect import bisect_right
+from fractions import Fraction
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK_ROWS, SLOTS, MAX_SOURCES = 64, 4096, 1000
+#: Documents of a block, at least, and blocks that are planned, about.
+BLOCK_ROWS, BLOCKS = 64, 1 << 18
 #: Rows that one window partition ranks at most, about.
 BUCKET_ROWS = 2_000
 
 
-def quotas(weights: list[float], slots: int) -> list[int]:
-    """Slots of each source in a period: at least one, by largest remainder."""
+def windows(blocks: list[int], weights: list[Fraction]) -> list[list[tuple[int, int]]]:
+    """Release and deadline of the blocks of each source."""
+    ends = sorted((Fraction(b) / w, b, w) for b, w in zip(blocks, weights, strict=True))
+    until = [e[0] for e in ends]  # virtual times at which sources are used up
+    done = [0, *accumulate(e[1] for e in ends)]
     total = sum(weights)
-    exact = [w / total * slots for w in weights]
-    out = [max(1, int(x)) for x in exact]
-    by_rest = sorted(range(len(exact)), key=lambda i: (int(exact[i]) - exact[i], i))
-    while (left := slots - sum(out)) != 0:
-        if left > 0:
-            for i in by_rest[:left]:
-                out[i] += 1
-        else:
-            most = max(range(len(out)), key=lambda i: (out[i], -i))
-            out[most] -= 1
+    rest = [total, *(total - x for x in accumulate(e[2] for e in ends))]
+    out = []
+    for b, w in zip(blocks, weights, strict=True):
+        at, times = 0, []
+        for k in range(b + 1):
+            v = k / w
+            at = bisect_right(until, v, at)
+            times.append(done[at] + v * rest[at])
+        out.append([(math.floor(t), math.ceil(u)) for t, u in pairwise(times)])
     return out
 
 
-def window(j: int, quota: int, slots: int) -> tuple[int, int]:
-    """Release and deadline of the j-th block of a source with so many slots of a period."""
-    return j * slots // quota, -(-(j + 1) * slots // quota)
-
-
-def period(quota: list[int], slots: int) -> list[list[int]]:
-    """For each source the slots of its blocks in one period, earliest deadline first."""
-    coming = sorted((window(j, q, slots)[0], s, j) for s, q in enumerate(quota) for j in range(q))[::-1]
+def plan(blocks: list[int], weights: list[Fraction]) -> list[np.ndarray]:
+    """For each source the slots, releases and deadlines of its blocks, earliest deadline first."""
+    times = windows(blocks, weights)
+    coming = sorted((release, s, k) for s, rows in enumerate(times) for k, (release, _) in enumerate(rows))[::-1]
+    out = [np.array([(0, *t) for t in rows], np.int64).reshape(-1, 3) for rows in times]
     ready: list[tuple[int, int, int]] = []
-    out: list[list[int]] = [[] for _ in quota]
-    for t in range(slots):
+    for t in range(sum(blocks)):
         while coming and coming[-1][0] <= t:
-            _, s, j = coming.pop()
-            heapq.heappush(ready, (window(j, quota[s], slots)[1], s, j))
-        due, s, _ = heapq.heappop(ready)
-        assert t < due
-        out[s].append(t)
+            _, s, k = coming.pop()
+            heapq.heappush(ready, (times[s][k][1], s, k))
+        _, s, k = heapq.heappop(ready)
+        out[s][k, 0] = t
     return out
 
 
-def plan(blocks: list[int], weights: list[float], slots: int = SLOTS) -> list[list[tuple]]:
-    """For each source its phases: (first block, first slot, quota, slots of the blocks in a period)."""
-    done = [0] * len(blocks)
-    out: list[list[tuple]] = [[] for _ in blocks]
-    now = 0
-    while active := [s for s in range(len(blocks)) if done[s] < blocks[s]]:
-        quota = quotas([weights[s] for s in active], slots)
-        table = period(quota, slots)
-        last = [((blocks[s] - done[s] - 1) // q) * slots + t[(blocks[s] - done[s] - 1) % q] for s, q, t in zip(active, quota, table, strict=True)]
-        length = min(last) + 1 if len(active) > 1 else last[0] + 1
-        for s, q, t in zip(active, quota, table, strict=True):
-            out[s].append((done[s], now, q, t))
-            done[s] += length // slots * q + int(np.searchsorted(t, length % slots))
-        now += length
-    return out
-
-
-def slot_of(phases: list[tuple], block: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    first = np.array([p[0] for p in phases])
-    at = np.searchsorted(first, block, side="right") - 1
-    slot, release, due = (np.zeros(len(block), np.int64) for _ in range(3))
-    for i in np.unique(at):
-        here = at == i
-        begin, start, quota, table = phases[i]
-        k = block[here] - begin
-        base, j = start + k // quota * slots, k % quota
-        slot[here] = base + np.array(table)[j]
-        release[here] = base + j * slots // quota
-        due[here] = base - (-(j + 1) * slots // quota)
-    return slot, release, due
-
-
-def ranked(docs: DataFrame, n_max: int) -> DataFrame:
+def ranked(docs: DataFrame, n_max: int, block_rows: int) -> DataFrame:
     """docs with _block and _row, their place within their source.
 
     Sources are ranked in hashed buckets; only the bucket sizes are summed per source.
@@ -111,7 +87,7 @@ def ranked(docs: DataFrame, n_max: int) -> DataFrame:
     row = F.row_number().over(Window.partitionBy("_source", "_bucket").orderBy("doc_id"))
     d = d.withColumn("_rank", row).join(sizes, ["_source", "_bucket"])
     place = F.col("_before") + F.col("_rank") - 1
-    return d.withColumns({"_block": F.floor(place / BLOCK_ROWS), "_row": place % BLOCK_ROWS}).drop("_rank", "_before", "_bucket")
+    return d.withColumns({"_block": F.floor(place / block_rows), "_row": place % block_rows, "_first": F.lit(block_rows)}).drop("_rank", "_before", "_bucket")
 
 
 def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
@@ -120,13 +96,13 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     weights: target weight by source; else each source weighs its size to the power
     of temperature.
     """
-    sizes = {r["source"]: r["count"] for r in docs.groupBy("source").count().limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    sizes = {r["source"]: r["count"] for r in docs.groupBy("source").count().collect()}
+    total = sum(sizes.values())
+    block_rows = max(BLOCK_ROWS, -(-total // BLOCKS))
     names = sorted(sizes, key=lambda x: (x is not None, x or ""))
-    share = [weights.get(x, 0.0) if weights else sizes[x] ** temperature for x in names]
-    share = [max(x, 1e-9) for x in share]
-    phases = plan([-(-sizes[x] // BLOCK_ROWS) for x in names], share)
+    share = [Fraction(weights.get(x, 0) if weights else sizes[x] ** temperature) for x in names]
+    last = min((x for x in share if x > 0), default=Fraction(1)) / max(1, total)
+    phases = plan([-(-sizes[x] // block_rows) for x in names], [x if x > 0 else last for x in share])
     keys = ["" if x is None else "s" + x for x in names]
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(keys, phases, strict=True)))
 
@@ -134,15 +110,16 @@ def scheduled(docs: DataFrame, weights: dict[str, float] | None = None, temperat
     def slot(source: pd.Series, block: pd.Series) -> pd.DataFrame:
         out = np.zeros((len(source), 3), np.int64)
         for name, at in source.groupby(source).indices.items():
-            out[at] = np.column_stack(slot_of(shared.value[name], block.to_numpy()[at], SLOTS))
+            out[at] = shared.value[name][block.to_numpy()[at]]
         return pd.DataFrame(out, columns=["slot", "release", "deadline"])
 
-    d = ranked(docs, max(sizes.values(), default=0))
+    d = ranked(docs, max(sizes.values(), default=0), block_rows)
     return d.withColumn("_slot", slot("_source", "_block"))
 
 
 def position() -> Column:
-    return F.col("_slot.slot") * BLOCK_ROWS + F.col("_row")
+    """Place in the mixture; a source's last block may leave places free."""
+    return F.col("_slot.slot") * F.col("_first") + F.col("_row")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
@@ -154,7 +131,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     )
 
 
-def in_order(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
-    """All rows of docs, in the order of the mixture."""
-    d = scheduled(docs, weights, temperature)
-    return d.withColumn("_position", position()).orderBy("_position", "doc_id").select(*docs.columns)
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, keep_position: bool = False) -> DataFrame:
+    """All rows of docs, in the order of the mixture, with their position in it if asked for."""
+    d = scheduled(docs, weights, temperature).withColumn("_position", position()).orderBy("_position", "doc_id")
+    return d.select(*docs.columns, *[F.col("_position").alias("position")] * keep_position)
