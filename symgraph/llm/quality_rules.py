@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import SPACE, written
+from symgraph.llm.common import SPACE
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -64,6 +64,12 @@ def line_fails(line: Column) -> Column:
     return (fragment | boilerplate | noise | navigation | shouting) & line.rlike(WORD)
 
 
+def in_runs(items: Column, same: Column) -> Column:
+    """The items that equal the one before or after them; same tells whether each equals the one after it.  Null if there are none."""
+    before = F.concat(F.array(F.lit(False)), F.slice(same, 1, F.size(same) - 1))
+    return F.when(F.array_contains(same, True), F.filter(F.arrays_zip(items.alias("at"), same.alias("x"), before.alias("y")), lambda p: p["x"] | p["y"])["at"])
+
+
 #: Prefix of the columns that judged() adds.
 P = "_line_first_"
 
@@ -87,8 +93,8 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
     d = added(d, {"w": words_of(t), "lines": F.split(t, "\n")})
     d = added(d, {"n_words": F.size(col("w")), "bits": F.length(F.bin(F.size(col("w"))))})
     w, lines, n = col("w"), col("lines"), col("n_words")
-    # One number for each 3-word window: its hash above, its position below.  A
-    # text of 500 words leaves 55 bits to the hash, one of 20,000 words 49.
+    # One number for each 3-word window: its hash above, its position below.  What this
+    # shorter hash takes for equal is compared again by a full one of another seed.
     keys = F.when(
         n >= 3,
         F.expr(f"transform(sequence(0, size({P}w) - 3), i -> shiftleft(xxhash64({P}w[i], {P}w[i + 1], {P}w[i + 2]), {P}bits) | i)"),
@@ -104,7 +110,7 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "s": F.sort_array(keys),
             "good": F.filter(lines, lambda x: ~line_fails(x)),
         },
-    ).drop(P + "t", P + "w", P + "lines")
+    ).drop(P + "t", P + "lines")
     # The windows are sorted by their words' hash, so equal ones are neighbours.
     d = added(
         d,
@@ -116,15 +122,13 @@ def judged(docs: DataFrame, text_col: str = "text") -> DataFrame:
         },
     ).drop(P + "worded", P + "good", P + "n_lines")
     # A window counts if it equals the one before or after it in that order.
-    s, same = col("s"), col("same")
-    before = F.concat(F.array(F.lit(False)), F.slice(same, 1, F.size(same) - 1))
-    repeated = F.when(
-        F.array_contains(same, True),
-        F.filter(F.arrays_zip(s.alias("at"), same.alias("x"), before.alias("y")), lambda p: p["x"] | p["y"])["at"],
-    )
-    d = added(d, {"rep": repeated, "left": F.when(col("n_failed_lines") > 0, n_word_chars(col("clean"))).otherwise(col("word_chars"))}).drop(P + "same", P + "s")
-    covered = F.size(F.array_distinct(F.flatten(F.expr(f"transform({P}rep, p -> transform(array(0, 1, 2), j -> (p & (shiftleft(1L, {P}bits) - 1)) + j))"))))
-    d = added(d, {"covered": covered}).drop(P + "rep", P + "bits")
+    d = added(d, {"maybe": in_runs(col("s"), col("same"))}).drop(P + "same", P + "s")
+    place = f"cast(p & (shiftleft(1L, {P}bits) - 1) as int)"
+    again = F.expr(f"transform({P}maybe, p -> named_struct('h', xxhash64(7, {P}w[{place}], {P}w[{place} + 1], {P}w[{place} + 2]), 'i', {place}))")
+    d = added(d, {"r": F.sort_array(again)})
+    d = added(d, {"same": F.expr(f"zip_with({P}r, slice({P}r, 2, size({P}r)), (x, y) -> x.h <=> y.h)")}).drop(P + "maybe", P + "w", P + "bits")
+    d = added(d, {"rep": in_runs(col("r"), col("same")), "left": F.when(col("n_failed_lines") > 0, n_word_chars(col("clean"))).otherwise(col("word_chars"))}).drop(P + "same", P + "r")
+    d = added(d, {"covered": F.size(F.array_distinct(F.flatten(F.expr(f"transform({P}rep, p -> array(p.i, p.i + 1, p.i + 2))"))))}).drop(P + "rep")
     d = added(d, {"n_repeat_words": F.when(col("covered") > 0, col("covered")).otherwise(0)})
     d = added(d, {"base_failed": (col("n_words") < MIN_WORDS) | (col("n_repeat_words") * 100 > col("n_words") * MAX_REPEAT_PERCENT)})
     return added(d, {"kept": ~col("base_failed") & (col("left") * 100 >= col("word_chars") * MIN_KEPT_PERCENT)})
@@ -146,9 +150,10 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def clean(docs: DataFrame) -> DataFrame:
     """The kept documents with their failing lines removed, in the columns of docs."""
     cols = docs.columns
-    # Written before it is filtered: Spark would push a filter on the verdict down
-    # through all steps and repeat their expressions many times over.
-    d = written(judged(docs).select(*[F.col(c) for c in cols], col("kept"), col("clean")), "judged").filter(col("kept"))
+    # The row number keeps the filter above the projections: pushed down through them,
+    # it would repeat their expressions many times over.
+    d = judged(docs).select(*[F.col(c) for c in cols], col("kept"), col("clean"), F.monotonically_increasing_id().alias(P + "row"))
+    d = d.filter(col("kept") & (col("row") >= 0))
     text = col("clean")
     out = {"text": text, "n_chars": F.length(text).cast("long")}
     return d.select(*[out[c].alias(c) if c in out else F.col(c) for c in cols])
