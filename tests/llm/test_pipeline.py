@@ -5,7 +5,7 @@ import re
 import corpus_pipeline
 from symgraph.llm import secret_scan, source_mix
 from symgraph.llm.queries import piece_model
-from tests.llm.common import docs, rows
+from tests.llm.common import docs, empty, rows
 from tests.llm.test_operators import plain_codes, plain_groups
 
 
@@ -13,7 +13,7 @@ def test_pipeline(spark, tmp_path):
     import sentencepiece
 
     docs(spark).write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: tuple(r) for r in corpus_pipeline.run(spark, str(tmp_path)).drop("position").collect()}
     frame = spark.read.parquet(str(tmp_path / "documents.parquet"))
     kept = [tuple(r) for r in corpus_pipeline.rules(spark, frame, "").collect()]
     assert {r[0] for r in kept} <= {r[0] for r in rows()}
@@ -42,8 +42,13 @@ def test_result_is_in_the_order_of_the_mixture(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+        out = corpus_pipeline.run(spark, str(tmp_path)).collect()
         mixed = source_mix.mix(docs(spark, data)).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert got == [r.doc_id for r in sorted(mixed, key=lambda r: r.position)]
+    assert [(r.doc_id, r.position) for r in out] == [(r.doc_id, r.position) for r in sorted(mixed, key=lambda r: r.position)]
+
+
+def test_empty_table(spark, tmp_path):
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
