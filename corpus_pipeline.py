@@ -1,11 +1,18 @@
-"""Corpus pipeline over the documents table: each stage is one of the operators."""
+"""Corpus pipeline over the documents table: each stage is one of the operators.
+
+Defined results: null and empty texts are rejected by the quality rules, as are texts
+under 50 words.  Of groups of near copies the row of the smallest id stays; rows that
+occur twice are one.  Rows with a null id, a null source or null in any other column
+pass through all stages.  An empty table gives an empty result of the same columns.
+Extra columns pass through all stages but the last, which returns its own.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.llm import jaccard_join, quality_rules, secret_scan, sentencepiece_codec, source_mix
-from symgraph.llm.common import table, tuned, written
+from symgraph.llm.common import cut, table, tuned, written
 from symgraph.llm.queries import piece_model
 
 
@@ -33,14 +40,15 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded text, in the order of the mixture.
+    """Token counts and digests of the ids and of the decoded text, with the position in the mixture, in its order.
 
-    Files lose the order of rows, so it is put back here, on rows without texts.
+    Files lose the order of rows, so each row gets its position again, on rows without
+    texts: it follows from the ids and sources alone.
     """
     tuned(spark)
     encoded = sentencepiece_codec.encode(docs, piece_model(), keep=("source",))
-    out = written(sentencepiece_codec.digests(encoded, keep=("source",)), "encoded")
-    return source_mix.in_order(out).drop("source")
+    out = cut(sentencepiece_codec.digests(encoded, keep=("source",)))
+    return source_mix.in_order(out, keep_position=True).drop("source")
 
 
 STAGES = [
