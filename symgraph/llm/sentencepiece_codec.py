@@ -131,11 +131,10 @@ def chunk_table(docs: DataFrame, model: str) -> DataFrame:
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids (little-endian 32-bit numbers with begin and end ids), decoded and the columns to keep, per input row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *keep)
-    rows = [tuple(r) for r in chunk_table(docs, model).collect()]  # at most HEAD
-    head = docs.sparkSession.sparkContext.broadcast([(c, bytes(i), d) for c, i, d in rows])
+    head = docs.sparkSession.sparkContext.broadcast(chunk_table(docs, model).toArrow())  # at most HEAD rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, head.value)
+        codec = Codec(model, list(zip(*(c.to_pylist() for c in head.value.columns), strict=True)))
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
