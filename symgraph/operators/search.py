@@ -93,7 +93,7 @@ def search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
     is at most some hundred rows, so it is computed once and kept.
     """
     columns = [F.col(c) for c in ("id", "kind", "name", "qualified_name", "visibility", "is_exported")]
-    found = terms(query)
+    found = nodes.sparkSession.range(1).select(terms(F.lit(query))).first()[0]
     if not found:
         return nodes.select("id", F.lit(0).alias("tier"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     nodes = nodes if "is_exported" in nodes.columns else nodes.withColumn("is_exported", F.lit(False))

@@ -9,7 +9,10 @@ per file, so their size is that of a source file.
 
 from __future__ import annotations
 
+import os
+import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -70,20 +73,51 @@ def language() -> Column:
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
-    """path, language, text of the source files under root, without skipped folders."""
+    """path, language, text of the source files under root, without skipped folders.
+
+    Only the part of a path below root decides whether it is skipped.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    files = files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")).withColumn("language", language())
-    below = F.expr(f"substring(path, locate('{root.rstrip('/').rsplit('/', 1)[-1]}/', path))")
-    skipped = "|".join(f"/{d.replace('.', chr(92) + '.')}/" for d in SKIP_DIRS) + r"|/\.[^/]+/"
+    full = [unquote(re.sub("^file:/+", "file:/", x)) for x in files.inputFiles()]  # as the path column has them
+    files = files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    # Spark leaves files without content out of the scan, but not out of the listing.
+    empty = spark.createDataFrame([(x, "") for x in full], "path string, text string").join(files.select("path"), "path", "left_anti")
+    files = files.unionByName(empty).withColumn("language", language())
+    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+    start = re.sub(scheme, "", root)
+    start = (start if start != root or root.startswith("/") else os.path.abspath(root)).rstrip("/")
+    path = F.regexp_replace("path", scheme, "")
+    below = path.substr(F.lit(len(start) + 1), F.length(path))
+    skipped = "|".join(f"/{re.escape(d)}/" for d in SKIP_DIRS) + r"|/\.[^/]+/"
     return files.filter((F.col("language") != "unknown") & ~below.rlike(skipped))
 
 
+#: Text that may go on over lines, in group 1, and what is matched on the
+#: way, in group 2, so that marks in it open nothing.
+SHORT = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"' + r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
+PYTHON_SPANS = r'(?s)(""".*?(?:"""|\z)|' + r"'''.*?(?:'''|\z))|(" + SHORT + r"|#[^\n]*)"
+BRACE_SPANS = r"(?s)(/\*.*?(?:\*/|\z))|(" + SHORT + r"|`[^`]*`|//[^\n]*)"
+
+
+def without_spans(text: Column) -> Column:
+    """The text without long strings (Python) or block comments (others), their line ends kept."""
+    text = F.translate(text, "\x01\x02\x03", "   ")
+    marked = F.when(F.col("language") == "python", F.regexp_replace(text, PYTHON_SPANS, "\x01$1\x02$2\x03")).otherwise(F.regexp_replace(text, BRACE_SPANS, "\x01$1\x02$2\x03"))
+
+    def rest(part: Column) -> Column:
+        ends = F.regexp_replace(F.substring_index(part, "\x02", 1), r"[^\n]+", "")
+        return F.when(part.contains("\x02"), F.concat(ends, F.translate(F.substring_index(part, "\x02", -1), "\x03", ""))).otherwise(part)
+
+    return F.array_join(F.transform(F.split(marked, "\x01"), rest), "")
+
+
 def lines(files: DataFrame) -> DataFrame:
     """path, language, at, line, code (without literals and comments), indent, before, after (depth of braces)."""
-    d = files.select("path", "language", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line")).withColumn("at", F.col("at") + 1)
-    bare = F.regexp_replace("line", LITERAL, '""')
-    bare = F.when(F.col("language") == "python", F.regexp_replace(bare, r"#.*$", "")).otherwise(F.regexp_replace(bare, r"//.*$|/\*.*?\*/", ""))
-    d = d.withColumn("code", bare)
+    both = F.arrays_zip(F.split("text", r"\r?\n").alias("line"), F.split(without_spans(F.col("text")), r"\r?\n").alias("bare"))
+    d = files.select("path", "language", F.posexplode(both).alias("at", "both"))
+    bare = F.regexp_replace("both.bare", LITERAL, '""')
+    bare = F.when(F.col("language") == "python", F.regexp_replace(bare, r"#.*$", "")).otherwise(F.regexp_replace(bare, r"//.*$", ""))
+    d = d.select("path", "language", (F.col("at") + 1).alias("at"), "both.line", bare.alias("code"))
     indent = F.length("code") - F.length(F.ltrim("code"))
     step = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
     after = F.sum(step).over(Window.partitionBy("path").orderBy("at"))
@@ -97,7 +131,7 @@ def first_match(table: dict[str, list[tuple[str, str]]]) -> Column:
     for lang, rules in table.items():
         same = [lang, *[k for k, v in SAME_AS.items() if v == lang]]
         for kind, pattern in rules:
-            text = F.col("line") if lang == "python" else F.col("code")
+            text = F.col("code")
             whens.append(F.when(F.col("language").isin(*same) & text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 1).alias("name"))))
     return F.coalesce(*whens)
 
@@ -162,7 +196,7 @@ def graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = nodes.unionByName(file_node)
 
     # References belong to the innermost kept definition around their line.
-    owners = nodes.groupBy(F.col("file_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("start_line", "end_line", "id", "kind"))).alias("owners"))
+    owners = nodes.groupBy(F.col("file_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("up"), "end_line", "id", "kind"))).alias("owners"))
     owned = lined.join(owners, "path").withColumn(
         "own", F.expr("try_element_at(filter(owners, o -> o.kind = 'file' OR o.start_line <= at AND at <= o.end_line), -1)")
     )

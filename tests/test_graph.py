@@ -87,10 +87,18 @@ def test_traverse_random(spark):
         assert {(r.root, r.id, r.depth, round(r.score, 9), tuple(r.path)) for r in got.collect()} == want
 
 
-def test_terms():
-    assert T.stems("parsing") == {"pars", "parse"} and T.stems("eviction") == {"evict"} and T.stems("running") == {"runn", "runne", "run"}
-    assert T.terms("get the UserService for tokens") == sorted({"userservice", "user", "service", "get", "tokens", "token"} | T.stems("user") | T.stems("service"))
-    assert T.terms("the class of") == []
+def test_terms(spark):
+    stems = lambda x: set(spark.range(1).select(T.stems(F.lit(x))).first()[0])
+    terms = lambda x: spark.range(1).select(T.terms(F.lit(x))).first()[0]
+    want = {
+        "parsing": {"pars", "parse"}, "eviction": {"evict"}, "running": {"runn", "runne", "run"}, "management": {"manage"}, "entries": {"entry"}, "processes": {"process"},
+        "errors": {"error"}, "class": set(), "handled": {"handle", "handl"}, "agreed": set(), "carried": {"carrie", "carri", "carry"}, "builder": {"build", "builde"},
+        "planner": {"plann", "planne", "plan"}, "the": set(), "ties": set(), "seed": set(), "": set(),
+    }
+    assert {x: stems(x) for x in want} == want
+    assert terms("get the UserService for tokens") == sorted({"userservice", "user", "service", "get", "tokens", "token"} | stems("user") | stems("service"))
+    assert terms("HTTPServer parsing_errors") == sorted({"httpserver", "http", "server", "parsing", "errors", "error"}.union(*map(stems, ("httpserver", "server", "parsing"))))
+    assert terms("the class of") == []
 
 
 def test_bm25_equals_fts5(spark):
@@ -151,6 +159,25 @@ def test_code_graph(spark, tmp_path):
     assert {(r.kind, r.target_text) for r in e.filter("kind <> 'contains'").collect()} == {("extends", "B"), ("calls", "g"), ("calls", "k"), ("calls", "A"), ("calls", "fmt.Println"), ("imports", 'import "fmt"')}
 
 
+def test_discovery_below_a_hidden_folder(spark, tmp_path):
+    root = tmp_path / ".data" / "build" / "it's"
+    (root / "src" / "dist").mkdir(parents=True)
+    (root / "src" / "a b.py").write_text("X = 1\n")
+    (root / "src" / "empty.go").write_text("")
+    (root / "src" / "dist" / "no.py").write_text("Y = 1\n")
+    (root / "notes.txt").write_text("")
+    got = {(r.path.rsplit("/", 1)[-1], r.language, r.text) for r in code.discover(spark, str(root)).collect()}
+    assert got == {("a b.py", "python", "X = 1\n"), ("empty.go", "go", "")}
+
+
+def test_text_in_strings_and_comments_is_no_code(spark, tmp_path):
+    (tmp_path / "a.py").write_text('"""Docs.\n\nclass Fake:\n    pass\n"""\n\ndef real():\n    s = """\ndef fake(): pass\n"""\n    return call(s)  # it\'s """ here\n')
+    (tmp_path / "b.go").write_text('package b\n\n/* func no() {\n}\n*/\nfunc yes() {\n\tgo("/*")\n}\n')
+    n, e = code.graph(code.discover(spark, str(tmp_path)))
+    assert {(r.kind, r.name, r.start_line, r.end_line) for r in n.filter("kind <> 'file'").collect()} == {("function", "real", 7, 11), ("function", "yes", 6, 8)}
+    assert {r.target_text for r in e.filter("kind = 'calls'").collect()} == {"call", "go"}
+
+
 def test_streaming_debounce(spark, tmp_path):
     rows = [("a.py", "modified", None, "2024-01-01 00:00:00", "1"), ("a.py", "modified", None, "2024-01-01 00:00:00.5", "2"), ("a.py", "moved", "b.py", "2024-01-01 00:00:05", "3"), ("x.txt", "created", None, "2024-01-01 00:00:05", "4"), ("z.py", "created", None, "2024-01-01 01:00:00", "5")]
     events = spark.createDataFrame(rows, "path string, event_type string, dest_path string, t string, content string").select("path", "event_type", "dest_path", F.to_timestamp("t").alias("ts"), "content")
