@@ -9,6 +9,7 @@ menus, adverts, forms, comments and the like.
 
 Defined results: a null or empty page, or one without text, gives an empty string.
 Broken markup never fails: unknown or unclosed tags are closed with their parents.
+Paths of equal ratio are chosen or rejected together.
 Rows are read one by one; repeated rows repeat their result.
 """
 
@@ -16,7 +17,8 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Set
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,19 +36,20 @@ INLINE = {
 }
 BOILER_TAGS = {
     "head", "nav", "header", "footer", "aside", "form", "script", "style", "noscript", "template", "textarea", "title", "iframe", "svg",
-    "button", "select", "option", "dialog", "menu", "canvas", "object", "audio", "video", "map", "input", "fieldset", "xmp", "noframes",
+    "button", "select", "option", "dialog", "menu", "canvas", "video", "map", "input", "fieldset", "xmp", "noframes",
 }
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar", "toolbar"}
 BOILER_WORDS = {
-    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "banner", "breadcrumb", "breadcrumbs", "byline", "comment",
-    "comments", "commentlist", "consent", "cookie", "cookies", "copyright", "disqus", "footer", "gdpr", "header", "hidden", "login", "masthead", "menu",
-    "menus", "meta", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted",
-    "recommended", "related", "respond", "share", "sharing", "shoutbox", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe",
-    "subscription", "tags", "teaser", "toolbar", "widget", "alert",
+    "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "adsbygoogle", "banner", "breadcrumb", "breadcrumbs", "comment",
+    "comments", "commentlist", "consent", "cookie", "cookies", "disqus", "footer", "gdpr", "header", "hidden", "login", "masthead", "menu",
+    "menus", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "pager", "pagination", "popup", "promo", "promoted",
+    "recommended", "respond", "share", "sharing", "shoutbox", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe",
+    "subscription", "toolbar", "alert",
 }
 #: An opening tag of a key closes an open element of the value, up to a container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINERS = {"ul", "ol", "dl", "table", "div", "section", "article", "main", "body", "aside", "nav", "header", "footer", "form", "blockquote"}
+P_STOPS = CONTAINERS | {"td", "th", "li", "button"}
 PUNCTUATION = re.compile(r"[.,;:!?…]")
 
 
@@ -66,72 +69,105 @@ def is_boiler(tag: str, attrs: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], tuple[int, ...], str]]:
-    """The text blocks outside marked boilerplate: tag path, element numbers on it, text."""
-    out: list = []
-    path, ids, dead = ["#"], [0], [False]  # tags, element numbers, boilerplate or within it
-    text: list[str] = []
-    n, end = 0, len(page)
-
-    def flush() -> None:
-        if text:
-            words = html.unescape("".join(text)).split()
-            text.clear()
-            if words:
-                at = len(path)
-                while path[at - 1] in INLINE:
-                    at -= 1
-                out.append((tuple(path[:at]), tuple(ids[:at]), " ".join(words)))
-
-    def close(at: int) -> None:
-        if any(x not in INLINE for x in path[at:]):
-            flush()
-        del path[at:], ids[at:], dead[at:]
-
-    pos = 0
-    while pos < end:
-        m = TOKEN.match(page, pos)
-        pos = m.end()
-        tag = m[2]
-        if tag is None:
-            if not (m[0].startswith("<!") or m[0].startswith("<?")) and not dead[-1]:
-                text.append(m[0])
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in path:
-                at = len(path) - path[::-1].index(tag) - 1
+class Page:
+    """The text blocks of a page outside marked boilerplate, and the elements they stand in.
+
+    Elements are numbered in page order, 0 being the page itself; each knows its
+    parent, its tag, the number of its tag path and the last element within it.  All
+    steps take time in proportion to the page, however deep its elements are nested.
+    """
+
+    def __init__(self, page: str):
+        self.parent, self.tag, self.path, self.last = [0], ["#"], [0], [0]
+        self.blocks: list[tuple[int, str]] = []  # element, text
+        paths: dict[tuple[int, str], int] = {}
+        stack, dead = [0], [False]  # open elements; boilerplate or within it
+        block = [0]  # by open element the nearest one that is no inline element
+        n_open = Counter(["#"])
+        text: list[str] = []
+
+        def flush() -> None:
+            if text:
+                words = html.unescape("".join(text)).split()
+                text.clear()
+                if words:
+                    self.blocks.append((block[-1], " ".join(words)))
+
+        def close(at: int) -> None:
+            if any(self.tag[x] not in INLINE for x in stack[at:]):
+                flush()
+            for x in stack[at:]:
+                self.last[x] = len(self.tag) - 1
+                n_open[self.tag[x]] -= 1
+            del stack[at:], dead[at:], block[at:]
+
+        def nearest(tag: str, stops: Set[str] = frozenset()) -> int | None:
+            """Place of the innermost open element of the tag, if it is not beyond one of stops."""
+            if not n_open[tag]:
+                return None
+            for at in range(len(stack) - 1, 0, -1):
+                if self.tag[stack[at]] == tag:
+                    return at
+                if self.tag[stack[at]] in stops:
+                    return None
+            return None
+
+        pos, end = 0, len(page)
+        while pos < end:
+            m = TOKEN.match(page, pos)
+            pos = m.end()
+            tag = m[2]
+            if tag is None:
+                if not m[0].startswith(("<!", "<?")) and not dead[-1]:
+                    text.append(m[0])
+                continue
+            tag = tag.lower()
+            if m[1]:
                 # A stray end of an inline or list element does not close its containers.
-                if tag in CONTAINERS or not any(x in CONTAINERS for x in path[at + 1 :]):
+                at = nearest(tag, frozenset() if tag in CONTAINERS else CONTAINERS)
+                if at is not None:
                     close(at)
-            elif tag == "p":
+                elif tag == "p" and not n_open["p"]:
+                    flush()
+                continue
+            if tag == "br":
+                if not dead[-1]:
+                    text.append(" ")
+                continue
+            if tag not in INLINE:
                 flush()
-            continue
-        if tag == "br":
-            if not dead[-1]:
-                text.append(" ")
-            continue
-        if tag not in INLINE:
-            flush()
-            if tag not in VOID and "p" in path and tag not in RAW:
-                at = len(path) - path[::-1].index("p") - 1
-                if not any(x in CONTAINERS or x in ("td", "th", "li", "button") for x in path[at + 1 :]):
+                if tag not in VOID and tag not in RAW and (at := nearest("p", P_STOPS)) is not None:
                     close(at)
-            for i in range(len(path) - 1, 0, -1):
-                if path[i] in CLOSES.get(tag, ()):
-                    close(i)
-                elif path[i] in CONTAINERS:
-                    break
-        if tag in RAW:
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
-            pos = stop.end() if stop else end
-        elif tag not in VOID and not m[3].endswith("/"):
-            n += 1
-            path.append(tag)
-            ids.append(n)
-            dead.append(dead[-1] or is_boiler(tag, m[3]))
-    flush()
-    return out
+                for other in CLOSES.get(tag, ()):
+                    if (at := nearest(other, CONTAINERS)) is not None:
+                        close(at)
+            if tag in RAW:
+                stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, pos)
+                pos = stop.end() if stop else end
+            elif tag not in VOID and not m[3].endswith("/"):
+                x = len(self.tag)
+                self.parent.append(stack[-1])
+                self.tag.append(tag)
+                inline = tag in INLINE
+                self.path.append(self.path[stack[-1]] if inline else paths.setdefault((self.path[stack[-1]], tag), len(paths) + 1))
+                self.last.append(x)
+                stack.append(x)
+                block.append(block[-1] if inline else x)
+                dead.append(dead[-1] or is_boiler(tag, m[3]))
+                n_open[tag] += 1
+        flush()
+        close(0)
+
+    def around(self, weight: list[int]) -> int:
+        """The innermost container that holds all the weight of the elements."""
+        total, sums = sum(weight), list(weight)
+        inside = 0
+        for x in range(len(sums) - 1, 0, -1):  # children come after their parents
+            sums[self.parent[x]] += sums[x]
+        for x in range(1, len(sums)):
+            if sums[x] == total and self.tag[x] in CONTAINERS:
+                inside = x  # those that hold all lie one in the other
+        return inside
 
 
 def smoothed(x: list[float]) -> list[float]:
@@ -143,38 +179,35 @@ def smoothed(x: list[float]) -> list[float]:
     return out
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    if not found:
-        return ""
-    size: dict[tuple, list[int]] = {}
-    for path, _, text in found:
-        s = size.setdefault(path, [0, 0, 0])
+def chosen_paths(page: Page) -> set[int]:
+    """The tag paths whose fused ratio of text and punctuation reaches the threshold."""
+    size: dict[int, list[int]] = {}
+    for x, text in page.blocks:
+        s = size.setdefault(page.path[x], [0, 0, 0])
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += 1
-    by_path = list(size.values())
-    length = smoothed([s[0] / s[2] for s in by_path])
-    marks = smoothed([s[1] / s[2] for s in by_path])
+    length = smoothed([s[0] / s[2] for s in size.values()])
+    marks = smoothed([s[1] / s[2] for s in size.values()])
     fused = [a * (b + 0.1) for a, b in zip(length, marks, strict=True)]
     mean = sum(fused) / len(fused)
     spread = (sum((x - mean) ** 2 for x in fused) / len(fused)) ** 0.5
-    best = max(fused)
-    chosen = {p for p, x in zip(size, fused, strict=True) if x >= min(max(mean - spread, 0.25 * mean), best)}
-    # The deepest element around all chosen text: what lies outside is on rejected paths.
-    weight: dict[int, int] = {}
-    total = 0
-    for path, ids, text in found:
-        if path in chosen:
-            total += len(text)
-            for x in ids:
-                weight[x] = weight.get(x, 0) + len(text)
-    inside, depth = 0, -1
-    for path, ids, _ in found:
-        for d, (tag, x) in enumerate(zip(path, ids, strict=True)):
-            if d > depth and weight.get(x, 0) == total and (tag in CONTAINERS or tag == "#"):
-                inside, depth = x, d
-    return "\n".join(text for _, ids, text in found if inside in ids)
+    threshold = min(max(mean - spread, 0.25 * mean), max(fused))
+    return {p for p, x in zip(size, fused, strict=True) if x >= threshold}
+
+
+def main_text(html_text: str | None) -> str:
+    page = Page(html_text or "")
+    if not page.blocks:
+        return ""
+    chosen = chosen_paths(page)
+    weight = [0] * len(page.tag)
+    for x, text in page.blocks:
+        if page.path[x] in chosen:
+            weight[x] += len(text)
+    # What lies outside the element around all chosen text is on rejected paths.
+    inside = page.around(weight)
+    return "\n".join(text for x, text in page.blocks if inside <= x <= page.last[inside])
 
 
 def extract(pages: DataFrame) -> DataFrame:

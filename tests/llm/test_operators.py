@@ -486,6 +486,39 @@ PAGE = (
 )
 
 
+UNTELLING = (
+    "<body><div><ul><li><a href=a>Start</a></li><li><a href=b>Wetter</a></li><li><a href=c>Sport</a></li></ul></div>"
+    "<section><h2>Ein Titel</h2><p>Ein erster Absatz, der lang genug ist, um als Text zu gelten; er hat auch Satzzeichen.</p>"
+    "<p>Ein zweiter Absatz, ebenso lang, mit Kommas, Punkten und allem, was dazu gehört.</p></section></body>"
+)
+
+
+def test_html_without_telling_names(monkeypatch):
+    """Where no tag or class name tells, the tag paths' ratios decide; with all paths chosen the result is another."""
+    got = html_text.main_text(UNTELLING).split("\n")
+    assert [x[:9] for x in got] == ["Ein Titel", "Ein erste", "Ein zweit"]
+    monkeypatch.setattr(html_text, "chosen_paths", lambda page: set(page.path))
+    assert len(html_text.main_text(UNTELLING).split("\n")) == 6
+
+
+def test_html_keeps_what_an_article_holds():
+    page = "<article><h1>T</h1><p class=byline>By A. Writer, today.</p><p>Text of some length, with marks.</p><div class=related-work>Related work, in full.</div><p class=tags>One, two.</p></article>"
+    assert html_text.main_text(page) == "T\nBy A. Writer, today.\nText of some length, with marks.\nRelated work, in full.\nOne, two."
+
+
+@pytest.mark.parametrize("tag", ["div", "p", "b", "li", "span", "table"])
+def test_html_of_unclosed_elements_takes_time_in_proportion(tag):
+    import time
+
+    def took(n):
+        began = time.perf_counter()
+        assert html_text.main_text(f"<{tag}>x" * n).replace("\n", "").replace(" ", "") == "x" * n
+        return time.perf_counter() - began
+
+    took(1000)
+    assert took(40_000) < 12 * max(took(10_000), 0.02)
+
+
 def test_html(spark):
     want = "Title <here>\nFirst para, with link text & more. Long enough, is it not? Yes it is, really.\nSecond para, also long enough to matter, I think. And more words follow here."
     assert html_text.main_text(PAGE) == want
