@@ -70,3 +70,52 @@ def delete_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[D
     left = edges.join(ids.withColumnRenamed("id", "source_id"), "source_id", "left_anti")
     left = left.join(ids.withColumnRenamed("id", "target_id"), "target_id", "left_anti")
     return nodes.join(ids, "id", "left_anti"), left.select(*edges.columns)
+
+
+def by_ids(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of the ids (column id), each once."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def by_files(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """The nodes of the files (column file_path)."""
+    return nodes.join(files.select("file_path").distinct(), "file_path", "left_semi").select(*nodes.columns)
+
+
+def files_referencing(deps: DataFrame, ids: DataFrame) -> DataFrame:
+    """node_id, file_path: which files refer to the nodes (column id), from the table of dependencies."""
+    return deps.join(ids.select(F.col("id").alias("node_id")).distinct(), "node_id", "left_semi").select("node_id", "file_path").distinct()
+
+
+def insert_deps(deps: DataFrame, rows: DataFrame) -> DataFrame:
+    """deps with rows of the same columns; what is there already is ignored."""
+    return deps.unionByName(rows.select(*deps.columns)).distinct()
+
+
+def delete_outgoing(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """edges without those that go out from the nodes (column id)."""
+    return edges.join(ids.select(F.col("id").alias("source_id")), "source_id", "left_anti").select(*edges.columns)
+
+
+def with_defaults(nodes: DataFrame) -> DataFrame:
+    """nodes with "" for a missing docstring or signature and "public" for a missing or empty visibility."""
+    empty = {c: F.coalesce(F.col(c), F.lit("")) for c in ("docstring", "signature")}
+    return nodes.withColumns(empty | {"visibility": F.coalesce(F.nullif(F.col("visibility"), F.lit("")), F.lit("public"))})
+
+
+def neighbourhood(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """root, id: each node (column id) and those one edge away, in either direction."""
+    roots = ids.select(F.col("id").alias("root")).distinct()
+    ends = edges.select(F.col("source_id").alias("root"), F.col("target_id").alias("id"))
+    both = ends.union(ends.select(F.col("id").alias("root"), F.col("root").alias("id")))
+    return both.join(roots, "root", "left_semi").union(roots.select("root", F.col("root").alias("id"))).distinct()
+
+
+def as_json(rows: DataFrame, kind: str) -> DataFrame:
+    """item, json: a JSON object per row, keys in the order of the columns, nulls left out."""
+    return rows.select(F.lit(kind).alias("item"), F.to_json(F.struct(*rows.columns)).alias("json"))
+
+
+def graph_json(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """item, json for the nodes and the edges among them."""
+    return as_json(nodes, "node").union(as_json(induced_edges(edges, nodes), "edge"))

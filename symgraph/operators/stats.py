@@ -35,3 +35,14 @@ def file_node_deps(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = e.join(n.select(F.col("id").alias("source_id"), "file_path"), "source_id")
     e = e.join(n.select(F.col("id").alias("target_id"), F.col("file_path").alias("other")), "target_id")
     return e.filter("file_path <> other").select("file_path", F.col("target_id").alias("node_id")).distinct()
+
+
+def retrieval(ranked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """query, recall, reciprocal_rank of ranked (query, id, rank from 1) against wanted (query, id).
+
+    A query of which nothing is found has 0 for both; averages over rows are mean recall and MRR.
+    """
+    w = wanted.select("query", "id").distinct()
+    hits = w.join(ranked.groupBy("query", "id").agg(F.min("rank").alias("rank")), ["query", "id"], "left")
+    out = hits.groupBy("query").agg(F.count("*").alias("n"), F.count("rank").alias("found"), F.min("rank").alias("first"))
+    return out.select("query", (F.col("found") / F.col("n")).alias("recall"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("reciprocal_rank"))

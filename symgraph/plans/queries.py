@@ -506,3 +506,109 @@ def conversation_next_turn(spark, sf_dir):
 def debounce_sessions(spark, sf_dir):
     e = read(spark, sf_dir, "events").select("user_id", "ts", F.col("event_type").alias("op"), F.col("props").alias("content"))
     return sync.debounced(e, "1 hour", "user_id").select("user_id", "ts", "n")
+
+
+# Further lookups, terms, export and retrieval figures
+
+
+@query("SELECT id, name, kind FROM gnodes WHERE id IN (SELECT concat('c:', o_custkey) FROM orders WHERE o_orderstatus = 'F')")
+def nodes_by_id(spark, sf_dir):
+    ids = read(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.concat(F.lit("c:"), "o_custkey").alias("id"))
+    return lookup.by_ids(star.nodes(spark, sf_dir), ids).select("id", "name", "kind")
+
+
+@query("SELECT id, file_path FROM gnodes WHERE file_path IN (SELECT p_brand FROM part WHERE p_size > 40)")
+def nodes_by_file(spark, sf_dir):
+    files = read(spark, sf_dir, "part").filter("p_size > 40").select(F.col("p_brand").alias("file_path"))
+    return lookup.by_files(star.nodes(spark, sf_dir), files).select("id", "file_path")
+
+
+DEPS_SQL = """SELECT DISTINCT a.file_path, target_id AS node_id FROM gedges JOIN gnodes a ON a.id = source_id JOIN gnodes b ON b.id = target_id WHERE a.file_path <> b.file_path"""
+
+
+@query(f"AND_ deps AS ({DEPS_SQL}) SELECT node_id, file_path FROM deps WHERE node_id IN (SELECT id FROM gnodes WHERE kind = 'struct')")
+def files_referencing(spark, sf_dir):
+    n, e = both(spark, sf_dir)
+    return lookup.files_referencing(stats.file_node_deps(e, n), n.filter("kind = 'struct'"))
+
+
+@query(f"AND_ deps AS ({DEPS_SQL}) SELECT file_path, node_id FROM deps UNION SELECT file_path, id FROM gnodes WHERE kind = 'class'")
+def insert_dependency(spark, sf_dir):
+    n, e = both(spark, sf_dir)
+    return lookup.insert_deps(stats.file_node_deps(e, n), n.filter("kind = 'class'").select("file_path", F.col("id").alias("node_id")))
+
+
+@query("SELECT id, source_id, target_id FROM gedges WHERE source_id NOT IN (SELECT id FROM gnodes WHERE visibility = 'private')")
+def delete_outgoing(spark, sf_dir):
+    n, e = both(spark, sf_dir)
+    return lookup.delete_outgoing(e, n.filter("visibility = 'private'")).select("id", "source_id", "target_id")
+
+
+@query("SELECT doc_id, coalesce(lang, '') AS docstring, '' AS signature, coalesce(nullif(source, ''), 'public') AS visibility FROM documents", views=False)
+def null_defaults(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("docstring"), F.lit(None).cast("string").alias("signature"), F.col("source").alias("visibility"))
+    return lookup.with_defaults(d)
+
+
+@query(
+    """AND_ r AS (SELECT id AS root FROM gnodes WHERE kind = 'file'), e AS (SELECT source_id AS root, target_id AS id FROM gedges UNION ALL SELECT target_id, source_id FROM gedges)
+    SELECT root, id FROM e WHERE root IN (SELECT root FROM r) UNION SELECT root, root FROM r"""
+)
+def focus_neighbours(spark, sf_dir):
+    n, e = both(spark, sf_dir)
+    return lookup.neighbourhood(e, n.filter("kind = 'file'"))
+
+
+@query(
+    """AND_ v AS (SELECT * FROM gnodes WHERE kind IN ('class', 'function') AND starts_with(file_path, 'ASIA/'))
+    SELECT 'node' AS item, concat('{"id":"', id, '","kind":"', kind, '","name":"', name, '"}') AS json FROM v
+    UNION ALL SELECT 'edge', concat('{"source_id":"', source_id, '","target_id":"', target_id, '","kind":"', kind, '"}') FROM gedges
+    WHERE source_id IN (SELECT id FROM v) AND target_id IN (SELECT id FROM v)"""
+)
+def graph_json(spark, sf_dir):
+    """A graph view: nodes by kind and path, the edges among them, as JSON."""
+    n, e = both(spark, sf_dir)
+    shown = lookup.filter_nodes(n, kinds=["class", "function"], globs=["ASIA/*"]).select("id", "kind", "name")
+    return lookup.graph_json(shown, e.select("source_id", "target_id", "kind"))
+
+
+STEM_SQL = """WITH w AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS t FROM documents),
+    n AS (SELECT t, length(t) AS n FROM w),
+    c AS (SELECT t, list_filter(list_distinct([
+        CASE WHEN t LIKE '%ing' AND n > 5 THEN t[:n - 3] END, CASE WHEN t LIKE '%ing' AND n > 5 THEN t[:n - 3] || 'e' END,
+        CASE WHEN t LIKE '%ing' AND n > 5 AND t[n - 3] = t[n - 4] THEN t[:n - 4] END,
+        CASE WHEN (t LIKE '%tion' OR t LIKE '%sion') AND n > 5 THEN t[:n - 3] END, CASE WHEN t LIKE '%ment' AND n > 6 THEN t[:n - 4] END,
+        CASE WHEN t LIKE '%ies' AND n > 4 THEN t[:n - 3] || 'y' WHEN t LIKE '%es' AND n > 4 THEN t[:n - 2] WHEN t LIKE '%s' AND t NOT LIKE '%ss' AND n > 4 THEN t[:n - 1] END,
+        CASE WHEN t LIKE '%ed' AND t NOT LIKE '%eed' AND n > 4 THEN t[:n - 1] END, CASE WHEN t LIKE '%ed' AND t NOT LIKE '%eed' AND n > 4 THEN t[:n - 2] END,
+        CASE WHEN t LIKE '%ied' AND n > 5 THEN t[:n - 3] || 'y' END,
+        CASE WHEN t LIKE '%er' AND n > 4 THEN t[:n - 2] END, CASE WHEN t LIKE '%er' AND n > 4 THEN t[:n - 2] || 'e' END,
+        CASE WHEN t LIKE '%er' AND n > 4 AND t[n - 2] = t[n - 3] THEN t[:n - 3] END]), lambda x: x IS NOT NULL AND length(x) >= 3 AND x <> t) AS stems FROM n)
+    SELECT t AS word, array_to_string(list_sort(stems), ' ') AS stems FROM c WHERE len(stems) > 0"""
+
+
+@query(STEM_SQL, views=False)
+def word_stems(spark, sf_dir):
+    """Stems of all words of the documents."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^a-z0-9]+")).alias("word")).filter("word <> ''").distinct()
+    return words.withColumn("stems", F.array_join(F.array_sort(T.stems(F.col("word"))), " ")).filter("stems <> ''")
+
+
+@query(
+    r"""SELECT p_partkey, nullif(regexp_extract(concat(p_brand, ': ', p_type), ':\s*([A-Z]\w+)', 1), '') AS type_name FROM part""",
+    views=False,
+)
+def signature_type(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", T.signature_type(F.concat_ws(": ", "p_brand", "p_type")).alias("type_name"))
+
+
+@query(
+    """WITH ranked AS (SELECT o_custkey AS query, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+    wanted AS (SELECT o_custkey AS query, o_orderkey AS id FROM orders WHERE o_orderstatus = 'F'), top AS (SELECT * FROM ranked WHERE rank <= 3)
+    SELECT w.query, count(rank) / count(*) AS recall, coalesce(1.0::DOUBLE / min(rank), 0) AS reciprocal_rank FROM wanted w LEFT JOIN top USING (query, id) GROUP BY w.query""",
+    views=False,
+)
+def retrieval_figures(spark, sf_dir):
+    """Recall and reciprocal rank of each customer's finished orders among the three dearest ones."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("o_totalprice"), "id"))
+    return stats.retrieval(o.withColumn("rank", rank).filter("rank <= 3").select("query", "id", "rank"), o.filter("o_orderstatus = 'F'"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as T
-from symgraph.operators import context, graph, lookup, resolve, search, stats
+from symgraph.operators import context, graph, imports, lookup, resolve, search, stats
 from symgraph.schema import EDGE_WEIGHTS, OTHER_WEIGHT, SEARCH_WEIGHTS
 from symgraph.sources import code
 from symgraph.streaming import sync
@@ -178,6 +178,26 @@ def test_text_in_strings_and_comments_is_no_code(spark, tmp_path):
     assert {r.target_text for r in e.filter("kind = 'calls'").collect()} == {"call", "go"}
 
 
+def test_imports(spark):
+    nodes = spark.createDataFrame(
+        [("1", "file", "m.py", "/r/a/m.py"), ("2", "function", "f", "/r/a/m.py"), ("3", "file", "__init__.py", "/r/p/__init__.py"), ("4", "file", "x.ts", "/r/web/x.ts"), ("5", "file", "index.ts", "/r/web/lib/index.ts")],
+        "id string, kind string, name string, file_path string",
+    )
+    rows = [
+        ("a", "python", "from a.m import f", "/r/z.py"), ("b", "python", "import a.m", "/r/z.py"), ("c", "python", "from p import thing", "/r/z.py"), ("d", "python", "import os", "/r/z.py"), ("h", "python", "from a.m import *", "/r/z.py"),
+        ("e", "typescript", "import {k} from '../web/x'", "/r/src/y.ts"), ("f", "javascript", 'import k from "./lib"', "/r/web/y.js"), ("g", "typescript", "import 'side'", "/r/y.ts"), ("i", "go", 'import "fmt"', "/r/y.go"), ("j", "python", None, "/r/z.py"),
+    ]
+    i = spark.createDataFrame(rows, "id string, language string, text string, source_file string")
+    assert {tuple(r) for r in imports.resolve(i, nodes, "/r/").collect()} == {("a", "2"), ("b", "1"), ("c", "3"), ("e", "4"), ("f", "5"), ("h", "1")}
+
+
+def test_text_of_comments_and_names(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(T.doc_text(F.lit("/** Adds.\n * Two lines.\n * @param x\n *\n * three\n * four\n * five\n * six\n */"))) == "Adds. Two lines. three four five"
+    assert one(T.signature_type(F.lit("x: UserStore = None"))) == "UserStore" and one(T.signature_type(F.lit("x: int"))) is None
+    assert sorted(one(T.identifiers(F.lit("see UserStore and get_user, not plain")))) == ["UserStore", "get_user"]
+
+
 def test_streaming_debounce(spark, tmp_path):
     rows = [("a.py", "modified", None, "2024-01-01 00:00:00", "1"), ("a.py", "modified", None, "2024-01-01 00:00:00.5", "2"), ("a.py", "moved", "b.py", "2024-01-01 00:00:05", "3"), ("x.txt", "created", None, "2024-01-01 00:00:05", "4"), ("z.py", "created", None, "2024-01-01 01:00:00", "5")]
     events = spark.createDataFrame(rows, "path string, event_type string, dest_path string, t string, content string").select("path", "event_type", "dest_path", F.to_timestamp("t").alias("ts"), "content")
