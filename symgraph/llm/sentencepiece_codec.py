@@ -28,8 +28,10 @@ from symgraph.llm.common import frequent, written
 
 #: Size bounds of the table that every task gets.
 HEAD, MAX_CHUNK = 1 << 18, 32
-#: Entries a task may remember besides the table, and of the counts it gathers.
-MEMO = 1 << 19
+#: Entries of the counts a task gathers, and rare chunks it remembers besides the table.
+MEMO, RARE = 1 << 19, 1 << 16
+#: Documents whose chunks are lists at a time.
+SLICE = 100
 MARK = "▁"
 CHUNK = re.compile(f"\n+|[ {MARK}]+[^ {MARK}\n]*|[^ {MARK}\n]+")
 WHOLE = re.compile(r"(?s).+")
@@ -38,7 +40,7 @@ WHOLE = re.compile(r"(?s).+")
 class Codec:
     """Segments chunks with a model and puts texts together from them."""
 
-    def __init__(self, model: str, table: list[tuple[str, bytes, str]] = ()):
+    def __init__(self, model: str, table: pa.Table | None = None):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -52,8 +54,14 @@ class Codec:
         self.reset()
 
     def reset(self) -> None:
-        self.ids = {c: i for c, i, _ in self.table}
-        self.text = {i: d for _, i, d in self.table}
+        """Knows the chunks of the table only."""
+        self.ids: dict[str, bytes] = {}
+        self.text: dict[bytes, str] = {}
+        for b in self.table.to_batches(max_chunksize=10_000) if self.table else ():
+            chunks, ids, decoded = (c.to_pylist() for c in b.columns)
+            self.ids.update(zip(chunks, ids, strict=True))
+            self.text.update(zip(ids, decoded, strict=True))
+        self.known = len(self.ids)
 
     def chunks(self, text: str) -> list[str]:
         return (WHOLE if self.whole else CHUNK).findall(text if self.whole or not text else " " + text)
@@ -72,7 +80,7 @@ class Codec:
         return [(np.array(x[2:], "<u4").tobytes(), y[1:]) for x, y in zip(found, texts, strict=True)]
 
     def learn(self, lists: list[list[str]]) -> None:
-        if len(self.ids) > len(self.table) + MEMO:
+        if len(self.ids) > self.known + RARE:
             self.reset()
         new = list(set().union(*lists).difference(self.ids)) if lists else []
         for c, (ids, text) in zip(new, self.segment(new) if new else [], strict=True):
@@ -134,10 +142,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     head = docs.sparkSession.sparkContext.broadcast(chunk_table(docs, model).toArrow())  # at most HEAD rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model, list(zip(*(c.to_pylist() for c in head.value.columns), strict=True)))
+        codec = Codec(model, head.value)
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, SLICE):
+                part = b.slice(at, SLICE)
                 ids = codec.encode([x or "" for x in part.column(1).to_pylist()])
                 arrays = [part.column(0), pa.array(ids, pa.binary()), pa.array(codec.decode_last(), pa.string()), *(part.column(c) for c in keep)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "ids", "decoded", *keep])
