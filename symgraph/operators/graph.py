@@ -1,4 +1,4 @@
-"""Graph operators: neighbours, bounded walks, hop counts, best-first traversal, components."""
+"""Graph operators: neighbours, bounded walks, hop counts, best-first traversal, focus."""
 
 from __future__ import annotations
 
@@ -74,26 +74,41 @@ def best_path_score(edges: DataFrame, roots: DataFrame, depth: int, direction: s
     return best.groupBy("root", "id").agg(F.max("score").alias("score"))
 
 
-WALK = "root string, id string, depth int, score double, path array<string>"
+WALK = "root string, id string, depth int, score double, path array<string>, open boolean"
 
 
 def best_first(rows: pd.DataFrame, root: str, max_depth: int, max_nodes: int, min_score: float) -> pd.DataFrame:
-    """The walk from one root over its candidate edges: highest score first, then smallest id."""
-    near: dict[str, list] = {}
-    for r in rows.sort_values(["side", "edge_id"], kind="stable").itertuples():
-        near.setdefault(r.near, []).append((r.far, r.edge_id, r.w))
+    """The walk from one root over adjacency lists: highest score first, then smallest id.
+
+    A hub (without a list here) ends the walk when its turn comes; it is marked open.
+    """
+    near = dict(zip(rows["near"], rows["out"], strict=True))
+    hubs = set(rows.loc[rows["hub"], "near"])
     found = {root: (0, 1.0, [])}
     heap = [(-1.0, root)]
-    while heap and len(found) < max_nodes:
+    last = None
+    while heap and len(found) < max_nodes and last is None:
         score, at = heapq.heappop(heap)
         depth, score, path = found[at]
         if depth >= max_depth or score < min_score:
             continue
-        for far, edge, w in near.get(at, ()):
+        if at in hubs:
+            last = at
+            continue
+        out = near.get(at)
+        for step in () if out is None else out:
+            far, w = step["far"], step["w"]
             if far not in found:
-                found[far] = (depth + 1, score * w, [*path, edge])
+                found[far] = (depth + 1, score * w, [*path, step["edge_id"]])
                 heapq.heappush(heap, (-score * w, far))
-    return pd.DataFrame([(root, i, d, s, p) for i, (d, s, p) in found.items()], columns=["root", "id", "depth", "score", "path"])
+    return pd.DataFrame([(root, i, d, s, p, i == last) for i, (d, s, p) in found.items()], columns=["root", "id", "depth", "score", "path", "open"])
+
+
+def first_steps(edges: DataFrame, nodes: DataFrame, direction: str, kinds: Sequence[str], weights: dict[str, float] | None) -> DataFrame:
+    """near, far, step (side, edge_id, w, far): the first edge from each node to each other; a walk uses no more."""
+    real = adjacency(edges, direction, kinds).join(nodes.select(F.col("id").alias("far")), "far", "left_semi")
+    step = F.struct("side", "edge_id", weight(F.col("kind"), weights).alias("w"), "far")
+    return real.groupBy("near", "far").agg(F.min(step).alias("step"))
 
 
 def traverse(
@@ -102,31 +117,36 @@ def traverse(
 ) -> DataFrame:
     """root, id, depth, score, path of the best-first walk from each root that is a node.
 
-    A node keeps the score of its first discovery.  Frontier joins find the edges
-    within max_depth steps; the walk itself runs per root on these.
+    A node keeps the score of its first discovery.  A walk ends once max_nodes are
+    found, so a node with that many neighbours (a hub) is the last that is expanded:
+    lists are gathered for other nodes only, hence short, and the neighbours of a hub
+    are joined to the finished walks.  Frontier joins find the lists within max_depth
+    steps, and go on from a node only if it, the root and the neighbours of both are
+    too few to end the walk.
     """
-    ids = nodes.select("id")
-    real = adjacency(edges, direction, kinds).join(ids.withColumnRenamed("id", "far"), "far", "left_semi")
-    real = real.withColumn("w", weight(F.col("kind"), weights)).select("near", "far", "edge_id", "side", "w")
-    start = roots.select("id").distinct().join(ids, "id", "left_semi")
-    reach = hops_over(real, start, max_depth - 1)
-    picked = reach.join(real, reach["id"] == real["near"]).select("root", "near", "far", "edge_id", "side", "w")
-    alone = start.select(F.col("id").alias("root"), F.lit("").alias("near"), F.lit("").alias("far"), F.lit("").alias("edge_id"), F.lit(0).alias("side"), F.lit(0.0).alias("w"))
+    steps = cut(first_steps(edges, nodes, direction, kinds, weights))
+    degree = steps.groupBy("near").agg(F.count("*").alias("n"))
+    short = steps.join(degree.filter(F.col("n") < max_nodes), "near", "left_semi").groupBy("near").agg(F.sort_array(F.collect_list("step")).alias("out"))
+    hubs = degree.filter(F.col("n") >= max_nodes).select("near", F.lit(None).cast(short.schema["out"].dataType).alias("out"), F.lit(True).alias("hub"))
+    lists = cut(short.withColumn("hub", F.lit(False)).unionByName(hubs))
+
+    start = roots.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
+    front = start.join(lists, start["id"] == lists["near"], "left").select(F.col("id").alias("root"), F.col("id").alias("near"), "out", F.coalesce("hub", F.lit(False)).alias("hub"))
+    front = seen = cut(front.withColumn("base", F.array_union(F.array("root"), F.col("out.far"))))
+    for _ in range(max(0, max_depth - 1)):
+        around = F.array_union(F.array_union("base", F.array("near")), F.col("out.far"))
+        onward = front.filter(~F.col("hub") & (F.size(around) < max_nodes)).select("root", "base", F.explode("out.far").alias("near"))
+        onward = onward.dropDuplicates(["root", "near"]).join(seen.select("root", "near"), ["root", "near"], "left_anti")
+        front = cut(onward.join(lists, "near").select(*seen.columns))
+        seen = seen.unionByName(front)
 
     def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return best_first(rows[rows["edge_id"] != ""], key[0], max_depth, max_nodes, min_score)
-
-    return picked.unionByName(alone).groupBy("root").applyInPandas(walk, WALK)
-
+        return best_first(rows, key[0], max_depth, max_nodes, min_score)
 
-def hops_over(step: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    seen = start.select(F.col("id").alias("root"), "id")
-    front = seen
-    for _ in range(max(0, depth)):
-        front = front.join(step.select("near", "far").distinct(), F.col("id") == F.col("near")).select("root", F.col("far").alias("id")).distinct()
-        front = cut(front.join(seen, ["root", "id"], "left_anti"))
-        seen = seen.unionByName(front)
-    return seen
+    walked = cut(seen.drop("base").groupBy("root").applyInPandas(walk, WALK))
+    ends = walked.filter("open").withColumnRenamed("id", "near").join(steps, "near")
+    ends = ends.select("root", F.col("far").alias("id"), (F.col("depth") + 1).alias("depth"), (F.col("score") * F.col("step.w")).alias("score"), F.array_append("path", F.col("step.edge_id")).alias("path"))
+    return walked.drop("open").unionByName(ends.join(walked.select("root", "id"), ["root", "id"], "left_anti").select(*walked.drop("open").columns))
 
 
 def dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:

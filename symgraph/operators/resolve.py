@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,22 +11,23 @@ def resolve(refs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A text that is a qualified name wins (the last node of that name); else nodes
     of that name, preferring the source's file, then its language, then the first.
-    Names are matched in one equi-join each; only the best candidate of an edge is
-    kept, so a hot name costs its matches and no more.
+    The first node of each name, of each name and language, and so on is found before
+    references meet nodes, so every join adds one row at most to a reference, however
+    many nodes share the name.
     """
     n = nodes.select("id", "name", "qualified_name", "file_path", "language")
     full = n.groupBy("qualified_name").agg(F.max("id").alias("full_id")).withColumnRenamed("qualified_name", "text")
-    r = refs.join(full, "text", "left")
-    here = n.select(F.col("id").alias("source_id"), F.col("file_path").alias("src_file"), F.col("language").alias("src_language"))
-    names = n.select(F.col("name").alias("text"), F.col("id").alias("cand"), "file_path", "language")
-    open_ = r.filter("full_id is null").select("edge_id", "source_id", "text").join(here, "source_id", "left")
-    order = F.struct(
-        F.when(F.col("file_path") == F.col("src_file"), 0).otherwise(1), F.when(F.col("language") == F.col("src_language"), 0).otherwise(1), "cand"
-    )
-    best = open_.join(names, "text").groupBy("edge_id").agg(F.min_by("cand", order).alias("name_id"), F.count("*").alias("n"))
-    out = r.join(best, "edge_id", "left")
-    how = F.when(F.col("full_id").isNotNull(), "qualified").when(F.col("n") == 1, "name").when(F.col("n") > 1, "chosen").otherwise("unresolved")
-    return out.select("edge_id", "source_id", "text", F.coalesce("full_id", "name_id").alias("target_id"), how.alias("how"))
+    here = n.select(F.col("id").alias("source_id"), "file_path", "language")
+    out = refs.select("edge_id", "source_id", "text").join(full, "text", "left").join(here, "source_id", "left")
+    named = n.withColumnRenamed("name", "text")
+    levels = (["text", "file_path", "language"], ["text", "file_path"], ["text", "language"], ["text"])
+    for i, keys in enumerate(levels):
+        first = named.groupBy(*keys).agg(F.min("id").alias(f"id_{i}"), F.count("*").alias(f"n_{i}"))
+        out = out.join(first, keys, "left")
+    n_named = F.col(f"n_{len(levels) - 1}")
+    how = F.when(F.col("full_id").isNotNull(), "qualified").when(n_named == 1, "name").when(n_named > 1, "chosen").otherwise("unresolved")
+    target = F.coalesce("full_id", *(f"id_{i}" for i in range(len(levels))))
+    return out.select("edge_id", "source_id", "text", target.alias("target_id"), how.alias("how"))
 
 
 def infer_call_types(calls: DataFrame, typed: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -76,17 +76,30 @@ def plain_walk(edges, nodes, root, depth, cap, least):
 
 def test_traverse_random(spark):
     rng = random.Random(6)
-    for trial in range(3):
+    for trial in range(4):
         nodes = [f"v{i}" for i in range(25)]
         kinds = ["contains", "calls", "imports", "reads", "references"]
         edges = [(f"e{i:03}", rng.choice(nodes), rng.choice([*nodes, "ghost"]), rng.choice(kinds), 0) for i in range(70)]
+        if trial % 2:  # two nodes lead to more nodes than a walk may find
+            edges += [(f"h{i:03}", rng.choice(nodes[:2]), rng.choice(nodes), rng.choice(kinds), 0) for i in range(60)]
         n = spark.createDataFrame([(x,) for x in nodes], "id string")
         e = spark.createDataFrame(edges, "id string, source_id string, target_id string, kind string, line int")
-        got = graph.traverse(e, n, n, max_depth=3, max_nodes=8 + trial, min_score=0.3)
-        want = set().union(*(plain_walk(edges, set(nodes), x, 3, 8 + trial, 0.3) for x in nodes))
+        depth, cap = 2 + trial, 8 + trial
+        got = graph.traverse(e, n, n, max_depth=depth, max_nodes=cap, min_score=0.3)
+        want = set().union(*(plain_walk(edges, set(nodes), x, depth, cap, 0.3) for x in nodes))
         assert {(r.root, r.id, r.depth, round(r.score, 9), tuple(r.path)) for r in got.collect()} == want
 
 
+def test_traverse_ends(spark):
+    n = spark.createDataFrame([("a",), ("b",)], "id string")
+    e = spark.createDataFrame([], "id string, source_id string, target_id string, kind string, line int")
+    assert {(r.root, r.id, r.depth) for r in graph.traverse(e, n, n).collect()} == {("a", "a", 0), ("b", "b", 0)}
+    assert graph.traverse(e, n, n.filter("id = 'none'")).count() == 0
+    loop = spark.createDataFrame([("1", "a", "a", "calls", 0), ("2", "a", "b", "calls", 0)], e.schema)
+    assert {(r.root, r.id, r.depth) for r in graph.traverse(loop, n, n, max_nodes=1).collect()} == {("a", "a", 0), ("b", "b", 0)}
+    assert {(r.root, r.id, r.depth) for r in graph.traverse(loop, n, n, max_nodes=2).collect()} == {("a", "a", 0), ("a", "b", 1), ("b", "b", 0)}
+
+
 def test_terms(spark):
     stems = lambda x: set(spark.range(1).select(T.stems(F.lit(x))).first()[0])
     terms = lambda x: spark.range(1).select(T.terms(F.lit(x))).first()[0]
@@ -129,6 +142,26 @@ def test_resolve(spark, tables):
     assert got == {"x1": ("n2", "name"), "x2": ("n3", "qualified"), "x3": (None, "unresolved")}
 
 
+def test_resolve_prefers_file_then_language(spark):
+    rng = random.Random(4)
+    nodes = [(f"n{i:02}", rng.choice("xyz"), f"q.{rng.choice('xyz')}{i % 7}", rng.choice(["f1", "f2", "f3"]), rng.choice(["python", "go", None])) for i in range(30)]
+    refs = [(f"e{i % 35}", rng.choice([*(x[0] for x in nodes), "none"]), rng.choice(["x", "y", "z", "w", None, "q.x1", "q.y2"])) for i in range(40)]
+    by_id = {x[0]: x for x in nodes}
+
+    def plain(source, text):
+        full = [x[0] for x in nodes if x[2] == text]
+        if full:
+            return max(full), "qualified"
+        src = by_id.get(source, (None,) * 5)
+        found = sorted((not (src[3] and x[3] == src[3]), not (src[4] and x[4] == src[4]), x[0]) for x in nodes if x[1] == text)
+        return (found[0][2], "name" if len(found) == 1 else "chosen") if found else (None, "unresolved")
+
+    n = spark.createDataFrame(nodes, "id string, name string, qualified_name string, file_path string, language string")
+    r = spark.createDataFrame(refs, "edge_id string, source_id string, text string")
+    got = sorted((x.edge_id, x.source_id, x.text or "", x.target_id or "", x.how) for x in resolve.resolve(r, n).collect())
+    assert got == sorted((e, s, t or "", plain(s, t)[0] or "", plain(s, t)[1]) for e, s, t in refs)
+
+
 def test_snippets_and_choice(spark):
     files = spark.createDataFrame([("f.py", [f"line {i}" for i in range(1, 41)])], "file_path string, lines array<string>")
     ranked = spark.createDataFrame(
