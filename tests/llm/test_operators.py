@@ -166,6 +166,47 @@ def test_vector_search(spark):
     assert vector_search.search(vectors.filter("vec_id in (0, 1, 2)")).count() == 2
 
 
+def nearest(x, q, k):
+    """The ids of the k nearest rows of x to row q, by brute force."""
+    d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+    d[q] = np.inf
+    return np.lexsort((np.arange(len(x)), d))[:k]
+
+
+@pytest.mark.parametrize(("dim", "spread"), [(64, 0.25), (64, None), (384, 0.25), (384, None)])
+def test_vector_search_recall_in_a_block(dim, spread):
+    """Recall of collision counting itself; clusters need fewer than half of the rows verified."""
+    rng = np.random.default_rng(dim)
+    x = rng.standard_normal((vector_search.BLOCK, dim))
+    if spread:
+        x = rng.standard_normal((200, dim))[rng.integers(0, 200, len(x))] + spread * x
+    asked = np.arange(0, len(x), 200)
+    hit, verified = 0, []
+    for i, place, _, n in vector_search.best(x, np.arange(len(x)), x[asked], asked, 10):
+        hit += len(set(place.tolist()) & set(nearest(x, asked[i], 10).tolist()))
+        verified.append(n)
+    assert hit >= 0.9 * 10 * len(asked)
+    assert np.mean(verified) < (0.5 if spread else 0.99) * len(x)
+
+
+def test_vector_search_recall_over_blocks(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((300, 32))[rng.integers(0, 300, 20000)] + 0.4 * rng.standard_normal((20000, 32))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.search(vectors, query_mod=500).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 20000, 500))
+    assert sum(len(found & set(nearest(x, q, 10).tolist())) for q, found in got.items()) >= 0.9 * 10 * len(got)
+
+
+def test_vector_search_repeated_rows(spark):
+    data = [(0, [1.0, 0.0]), (0, [1.0, 0.0])] + [(7, [1.0, 0.5])] * 400 + [(3, [1.0, 0.25]), (5, [1.0, 2.0])]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in vector_search.search(vectors).collect())
+    assert got == [(0, 1, 3, 0.25), *((0, i, 7, 0.5) for i in range(2, 11))]
+
+
 # 5 Language identification
 
 
