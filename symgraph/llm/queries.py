@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.llm import html_text, jaccard_join, language_id, quality_rules, secret_scan, sentencepiece_codec, source_mix, substring_dedup, url_filter, vector_search
+from symgraph.llm import html_text, jaccard_join, language_id, quality_rules, secret_scan, sentencepiece_codec, source_mix, substring_dedup, token_alignment, url_filter, vector_search
 from symgraph.llm.common import table, tuned
 
 
@@ -15,6 +15,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_model() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tuned(spark), sf_dir, "documents")
     return sentencepiece_codec.digests(sentencepiece_codec.encode(docs, piece_model()))
@@ -60,5 +66,9 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(tuned(spark), sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_url_filter, op4_vector_search, op5_language_id, op6_quality_rules, op7_secret_scan, op8_jaccard_join, op9_source_mix, op10_html_text)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment(table(tuned(spark), sf_dir, "documents"), byte_model(), piece_model())
+
+
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_substring_dedup, op3_url_filter, op4_vector_search, op5_language_id, op6_quality_rules, op7_secret_scan, op8_jaccard_join, op9_source_mix, op10_html_text, op12_token_alignment)}
 ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op3_url_filter": url_filter.ORACLE, "op6_quality_rules": quality_rules.ORACLE, "op8_jaccard_join": jaccard_join.ORACLE}
