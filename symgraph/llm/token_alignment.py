@@ -23,6 +23,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -106,7 +107,11 @@ class Aligner:
         self.a, self.b = ByteLevel(a_path), Codec(b_path)
         size = self.b.sp.get_piece_size()
         piece = self.b.sp.id_to_piece
-        self.b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.sp.is_byte(i) else piece(i).replace(MARK, " ").encode() for i in range(size)]
+        b_bytes = [bytes([int(piece(i)[3:5], 16)]) if self.b.sp.is_byte(i) else piece(i).replace(MARK, " ").encode() for i in range(size)]
+        self.bytes_of = [[self.a.bytes_of.get(i, b"") for i in range(max(self.a.bytes_of) + 1)], b_bytes]
+        self.lengths = [np.array(list(map(len, x)), np.int64) for x in self.bytes_of]
+        # Each id in decimal with what may follow it: a comma within its side of a group, else the mark that ends the side.
+        self.texts = [f"{i}{mark}" for x, end in zip(self.bytes_of, "|;", strict=True) for i in range(len(x)) for mark in ("," + end)]
         self.base = size
         self.pattern = CHUNK if self.a.cuts and not self.b.whole else WHOLE
         self.new: dict[str, tuple[str, bytes, int] | None] = {}
@@ -114,45 +119,55 @@ class Aligner:
         self.chars = 0
 
     def segments(self, chunks: list[str]) -> list[list[int]]:
-        """B's ids of chunks; each begins with the space that B would put before a text."""
+        """B's ids of chunks; each begins with the space that B would put before a text.
+
+        A line feed before a chunk stands for what precedes it in a text: no piece
+        crosses it.  It and the mark before it are two ids.
+        """
         if self.pattern is WHOLE:
             return self.b.sp.encode([c[1:] for c in chunks], num_threads=1)
-        return [np.frombuffer(ids, "<u4").tolist() for ids, _ in self.b.segment(chunks)]
+        return [x[2:] for x in self.b.sp.encode(["\n" + c for c in chunks], num_threads=1)]
+
+    def fits(self, chunks: list[str], sides: list[list[list[int]]]) -> list[bool]:
+        """Whether both tokenizations give a chunk's bytes back; all at once, and one by one only if some do not."""
+        raw = [c.encode() for c in chunks]
+        whole = b"".join(raw)
+        for ids, table in zip(sides, self.bytes_of, strict=True):
+            parts = list(map(table.__getitem__, chain.from_iterable(ids)))
+            upto = np.cumsum([0, *map(len, parts)])[np.cumsum(list(map(len, ids)))]
+            if b"".join(parts) != whole or not np.array_equal(upto, np.cumsum(list(map(len, raw)))):
+                return [all(b"".join(map(t.__getitem__, x[i])) == r for x, t in zip(sides, self.bytes_of, strict=True)) for i, r in enumerate(raw)]
+        return [True] * len(chunks)
 
     def align(self, chunks: list[str]) -> None:
-        a, b = self.a.encode(chunks), self.segments(chunks)
-        a_parts = [[self.a.bytes_of[i] for i in x] for x in a]
-        b_parts = [[self.b_bytes[i] for i in x] for x in b]
-        fits = []
-        for c, x, y in zip(chunks, a_parts, b_parts, strict=True):
-            raw = c.encode()
-            fits.append(b"".join(x) == raw and b"".join(y) == raw)
-        for c, ok in zip(chunks, fits, strict=True):
-            if not ok:
-                self.new[c] = None
-        good = [i for i, ok in enumerate(fits) if ok]
-        if not good:
-            return
-        sides = [([i for g in good for i in ids[g]], np.array([len(p) for g in good for p in parts[g]], np.int64)) for ids, parts in ((a, a_parts), (b, b_parts))]
-        n_a = len(sides[0][0])
-        end = np.concatenate([np.cumsum(n) for _, n in sides])
-        start = end - np.concatenate([n for _, n in sides])
-        order, group, at_a, at_b = coalesced(start, end, n_a)
-        ids = [*sides[0][0], *sides[1][0]]
-        texts: list[list[list[str]]] = [[[], []] for _ in range(int(group[-1]) + 1)]
-        for i, g in zip(order.tolist(), group.tolist(), strict=True):
-            texts[g][i >= n_a].append(str(ids[i]))
-        joined = [f"{','.join(x)}|{','.join(y)}" for x, y in texts]
-        keys = np.array(sides[0][0], np.int64)[at_a] * self.base + np.array(sides[1][0], np.int64)[at_b]
-        upto_a = np.cumsum([len(a[g]) for g in good])  # where each chunk's ranges, links and groups end
-        upto_link = np.searchsorted(at_a, upto_a, "left")
-        first = order[np.flatnonzero(np.diff(group, prepend=-1))]
-        upto_group = np.searchsorted(start[first], end[upto_a - 1], "left")
-        link, grp = 0, 0
-        for g, to_link, to_group in zip(good, upto_link.tolist(), upto_group.tolist(), strict=True):
-            counts = len(a[g]) | len(b[g]) << 40 | (to_group - grp) << 80
-            self.new[chunks[g]] = (";".join(joined[grp:to_group]), keys[link:to_link].tobytes(), counts)
-            link, grp = to_link, to_group
+        sides = [self.a.encode(chunks), self.segments(chunks)]
+        fits = self.fits(chunks, sides)
+        if not all(fits):
+            self.new.update((c, None) for c, ok in zip(chunks, fits, strict=True) if not ok)
+            chunks, *sides = [[x for x, ok in zip(c, fits, strict=True) if ok] for c in (chunks, *sides)]
+            if not chunks:
+                return
+        sizes = [np.array(list(map(len, x)), np.int64) for x in sides]
+        ids = [np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in zip(sides, sizes, strict=True)]
+        lengths = [t[i] for t, i in zip(self.lengths, ids, strict=True)]
+        end = np.concatenate([np.cumsum(n) for n in lengths])
+        n_a = len(ids[0])
+        order, group, at_a, at_b = coalesced(end - np.concatenate(lengths), end, n_a)
+        side = order >= n_a
+        again = np.argsort(2 * group + side, kind="stable")  # a group's A tokens, then its B tokens
+        order, group, side = order[again], group[again], side[again]
+        last = np.append((group[1:] != group[:-1]) | (side[1:] != side[:-1]), True)
+        numbers = np.concatenate([ids[0], ids[1] + len(self.lengths[0])])[order]
+        texts = list(map(self.texts.__getitem__, (2 * numbers + last).tolist()))
+        keys = (ids[0][at_a] * self.base + ids[1][at_b]).tobytes()
+        # Chunks are whole groups, so their tokens, links and groups follow one another.
+        upto = np.cumsum(sizes[0] + sizes[1])
+        upto_link = 8 * np.searchsorted(at_a, np.cumsum(sizes[0]), "left")
+        n_groups = np.diff(group[upto - 1], prepend=-1)
+        at = link = 0
+        for c, to, to_link, n, m, k in zip(chunks, upto.tolist(), upto_link.tolist(), sizes[0].tolist(), sizes[1].tolist(), n_groups.tolist(), strict=True):
+            self.new[c] = ("".join(texts[at:to]), keys[link:to_link], n | m << 40 | k << 80)
+            at, link = to, to_link
 
     def learn(self, lists: list[list[str]]) -> None:
         if len(self.new) > MEMO or self.chars > MEMO_CHARS:
@@ -183,7 +198,7 @@ class Aligner:
             counts = sum(p[2] for p in parts)
             keys = np.frombuffer(b"".join([p[1] for p in parts]), np.int64)
             few = (1 << 40) - 1
-            yield counts & few, counts >> 40 & few, counts >> 80, len(keys), ";".join([p[0] for p in parts]), *np.unique(keys, return_counts=True)
+            yield counts & few, counts >> 40 & few, counts >> 80, len(keys), "".join([p[0] for p in parts])[:-1], *np.unique(keys, return_counts=True)
 
 
 #: One aligner a worker and pair of models: what it remembers of chunks serves all tasks of the worker.
