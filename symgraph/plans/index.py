@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from symgraph.operators import context, graph, lookup, resolve, search, stats
+from symgraph.functions.text import short_id
+from symgraph.operators import context, graph, imports, lookup, resolve, search, stats, typing
 from symgraph.sources import code
+from symgraph.sources.shared import cut
 
 
 def resolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -17,13 +19,69 @@ def resolved(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.withColumns({"confidence": F.when(F.col("_to").isNotNull(), 1.0).otherwise(F.col("confidence")), "target_id": F.coalesce("_to", "target_id")}).drop("_to")
 
 
+def imported(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
+    """file_id, edge_id, line, name, alias, target_id: the node of each name that a file imports."""
+    files = nodes.filter("kind = 'file'").select(F.col("id").alias("file_id"), "file_path")
+    n = nodes.select(F.col("id").alias("source_id"), "file_path", "language")
+    statements = edges.filter("kind = 'imports'").join(n, "source_id").select(F.col("id"), "language", F.col("target_text").alias("text"), F.col("file_path").alias("source_file"))
+    bound = imports.bindings(statements, nodes, root).withColumnRenamed("source_file", "file_path").join(files, "file_path")
+    return bound.join(edges.select("id", "line"), "id").select("file_id", F.col("id").alias("edge_id"), "line", "name", "alias", "target_id")
+
+
+def import_edges(bound: DataFrame) -> DataFrame:
+    """An edge from a file to each node that it imports."""
+    e = bound.select(F.col("file_id").alias("source_id"), "target_id", F.lit("imports").alias("kind"), F.lit(1.0).alias("confidence"), "line", F.col("name").alias("target_text"))
+    e = e.withColumn("id", short_id(F.col("source_id"), F.col("target_id"), F.col("kind")))
+    columns = ["source_id", "target_id", "kind", "confidence", "line", "target_text"]
+    return e.groupBy("id").agg(F.max_by(F.struct(*columns), "line").alias("e")).select("id", "e.*")
+
+
+def typed(nodes: DataFrame, edges: DataFrame, variables: DataFrame, bound: DataFrame) -> DataFrame:
+    """edges with resolved_target and type_context of calls whose receivers' types are known.
+
+    A call that no name has bound gets the method as its target if there is only one.
+    """
+    parents = nodes.filter(F.col("kind").isin(*typing.TYPE_KINDS)).select(F.col("id").alias("parent_id"), F.col("id").alias("holder"))
+    files = nodes.filter("kind = 'file'").select("file_path", F.col("id").alias("file_id"))
+    place = nodes.select(F.col("id").alias("scope"), "file_path", "language", "parent_id").join(parents, "parent_id", "left").join(files, "file_path").select("scope", "holder", "file_id", "language")
+    text = F.replace(F.replace("target_text", F.lit("->"), F.lit(".")), F.lit("::"), F.lit("."))
+    calls = edges.filter("kind = 'calls'").select(F.col("id").alias("edge_id"), F.col("source_id").alias("scope"), text.alias("text")).join(place, "scope")
+    found = typing.contexts(typing.infer(variables, calls, nodes, edges, bound), nodes)
+    out = edges.join(found.select(F.col("edge_id").alias("id"), "resolved_target", "type_context", F.col("target_id").alias("_to")), "id", "left")
+    take = F.col("_to").isNotNull() & F.col("target_id").startswith("unresolved:")
+    return out.withColumns({
+        "target_id": F.when(take, F.col("_to")).otherwise(F.col("target_id")), "confidence": F.when(take, 1.0).otherwise(F.col("confidence")),
+        "resolved_target": F.coalesce("resolved_target", F.lit("")), "type_context": F.coalesce("type_context", F.lit("")),
+    }).drop("_to")
+
+
+def by_import(nodes: DataFrame, edges: DataFrame, bound: DataFrame) -> DataFrame:
+    """edges whose text is a name that the file imports, or an alias, bound to the imported node."""
+    files = nodes.filter("kind = 'file'").select("file_path", F.col("id").alias("file_id"))
+    source = nodes.select(F.col("id").alias("source_id"), "file_path").join(files, "file_path").select("source_id", "file_id")
+    names = bound.groupBy("file_id", F.col("alias").alias("target_text")).agg(F.min("target_id").alias("_to"))
+    named = edges.filter(F.col("kind").isin("calls", "instantiates", "extends", "implements", "references", "reads"))
+    found = named.join(source, "source_id").join(names, ["file_id", "target_text"]).select("id", "_to")
+    out = edges.join(found, "id", "left")
+    return out.withColumns({"confidence": F.when(F.col("_to").isNotNull(), 1.0).otherwise(F.col("confidence")), "target_id": F.coalesce("_to", "target_id")}).drop("_to")
+
+
+def bound_edges(nodes: DataFrame, edges: DataFrame, variables: DataFrame, root: str) -> DataFrame:
+    """Extracted edges with everything bound: names, imports and the receivers of calls."""
+    bound = cut(imported(nodes, edges, root))
+    more = import_edges(bound)
+    by_name = cut(by_import(nodes, resolved(nodes, edges), bound).select(*more.columns).unionByName(more))
+    return typed(nodes, by_name, variables, bound)
+
+
 def build(spark: SparkSession, root: str, out: str) -> None:
-    """Writes nodes, edges and file dependencies of the source tree under root as Parquet."""
+    """Writes nodes, edges, file dependencies, files and the search index of the source tree under root as Parquet."""
     files = code.discover(spark, root)
-    nodes, edges = code.graph(files)
+    nodes, edges, variables = code.tables(files)
     nodes.write.mode("overwrite").partitionBy("language").parquet(f"{out}/nodes")
     nodes = spark.read.parquet(f"{out}/nodes")
-    resolved(nodes, edges).write.mode("overwrite").partitionBy("kind").parquet(f"{out}/edges")
+    start = code.plain_path(root)
+    bound_edges(nodes, cut(edges), cut(variables), start).write.mode("overwrite").partitionBy("kind").parquet(f"{out}/edges")
     edges = spark.read.parquet(f"{out}/edges")
     stats.file_node_deps(edges, nodes).write.mode("overwrite").parquet(f"{out}/file_node_deps")
     files.select(F.col("path").alias("file_path"), F.split("text", r"\r?\n").alias("lines")).write.mode("overwrite").parquet(f"{out}/files")

@@ -1,10 +1,10 @@
-"""Symbols and references from source files, line by line, in DataFrame functions.
+"""Symbols and references from source files.
 
-A file is a row, its lines are exploded once.  Fixed patterns per language find the
-definitions and imports; a definition ends where the indentation (Python) or the
-depth of braces (the others) falls back.  Calls, bases and type names become edges
-to unresolved texts, which symgraph.operators.resolve binds.  Windows and arrays are
-per file, so their size is that of a source file.
+The lexer cuts a file into statements with their blocks, one row each; all else is
+columns and joins over these rows: patterns per language find definitions, imports and
+bases, statements meet the definitions around them by the file and the place of the
+statement, and calls, reads, writes and type names become edges to unresolved texts,
+which symgraph.operators.resolve binds.
 """
 
 from __future__ import annotations
@@ -17,61 +17,26 @@ from urllib.parse import unquote
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from symgraph.functions.text import short_id
+from symgraph.functions.text import doc_text, short_id
 from symgraph.schema import LANGUAGES, SKIP_DIRS
-
-#: Per language the kinds of definition and their patterns, the name in group 1.
-NAME = r"([A-Za-z_$][\w$]*)"
-DEFINITIONS = {
-    "python": [("class", rf"^\s*class\s+{NAME}"), ("function", rf"^\s*(?:async\s+)?def\s+{NAME}"), ("constant", r"^([A-Za-z][A-Za-z0-9_]*)\s*(?::[^=]+)?=[^=]")],
-    "typescript": [
-        ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{NAME}"), ("interface", rf"^\s*(?:export\s+)?interface\s+{NAME}"),
-        ("enum", rf"^\s*(?:export\s+)?(?:const\s+)?enum\s+{NAME}"), ("type_alias", rf"^\s*(?:export\s+)?type\s+{NAME}\s*[=<]"),
-        ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s+{NAME}"),
-        ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{NAME}\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|{NAME[1:-1]})\s*(?::[^=]+)?=>"),
-        ("constant", rf"^(?:export\s+)?const\s+{NAME}"), ("variable", rf"^(?:export\s+)?(?:let|var)\s+{NAME}"),
-        ("method", rf"^\s+(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b){NAME}\s*\([^)]*\)\s*(?::[^{{]+)?\{{"),
-    ],
-    "rust": [
-        ("struct", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+{NAME}"), ("trait", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+{NAME}"),
-        ("enum", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?enum\s+{NAME}"), ("module", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?mod\s+{NAME}"),
-        ("module", rf"^\s*impl(?:<[^>]*>)?\s+(?:[\w:<>]+\s+for\s+)?{NAME}"), ("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+)*fn\s+{NAME}"),
-    ],
-    "go": [
-        ("method", rf"^func\s*\([^)]*\)\s*{NAME}"), ("function", rf"^func\s+{NAME}"), ("struct", rf"^type\s+{NAME}\s+struct\b"),
-        ("interface", rf"^type\s+{NAME}\s+interface\b"), ("constant", rf"^const\s+{NAME}"),
-    ],
-    "java": [
-        ("interface", rf"^\s*(?:[\w@]+\s+)*interface\s+{NAME}"), ("enum", rf"^\s*(?:\w+\s+)*enum\s+(?:class\s+)?{NAME}"), ("class", rf"^\s*(?:[\w@]+\s+)*(?:class|object)\s+{NAME}"),
-        ("method", rf"^\s*(?:\w+\s+)*fun\s+{NAME}"), ("method", rf"^\s*(?:(?:public|private|protected|static|final|abstract|synchronized)\s+)+(?:[\w<>\[\],.?]+\s+)?{NAME}\s*\("),
-        ("constant", rf"^\s*(?:(?:public|private|protected)\s+)?(?:static\s+final|final\s+static)\s+[\w<>\[\]]+\s+{NAME}"), ("module", r"^package\s+([\w.]+)"),
-    ],
-    "swift": [
-        ("struct", rf"^\s*(?:\w+\s+)*struct\s+{NAME}"), ("interface", rf"^\s*(?:\w+\s+)*protocol\s+{NAME}"), ("enum", rf"^\s*(?:\w+\s+)*enum\s+{NAME}"),
-        ("class", rf"^\s*(?:\w+\s+)*(?:class|actor|extension)\s+{NAME}"), ("function", rf"^\s*(?:\w+\s+)*func\s+{NAME}"), ("constant", rf"^\s*(?:\w+\s+)*let\s+{NAME}"),
-        ("variable", rf"^\s*(?:\w+\s+)*var\s+{NAME}"),
-    ],
-    "c": [
-        ("struct", rf"^\s*(?:typedef\s+)?struct\s+{NAME}[^;(]*\{{?\s*$"), ("class", rf"^\s*class\s+{NAME}"), ("enum", rf"^\s*(?:typedef\s+)?enum\s+(?:class\s+)?{NAME}"),
-        ("module", rf"^\s*namespace\s+{NAME}"), ("function", rf"^(?!\s*(?:return|else|if|for|while|switch)\b)[\w:<>,*&\s]+?[\s*&]{NAME}\s*\([^;]*$"), ("type_alias", rf"^typedef\s+[^{{]*?{NAME}\s*;"),
-    ],
-}
-SAME_AS = {"javascript": "typescript", "kotlin": "java", "cpp": "c"}
-IMPORTS = {
-    "python": r"^\s*(?:import\s+\S.*|from\s+\S+\s+import\s.*)$", "typescript": r"^\s*import\b.*$", "rust": r"^\s*(?:pub\s+)?use\s+[^;]+;", "go": r'^\s*(?:import\s+)?(?:\w+\s+)?"[\w./-]+"\s*$',
-    "java": r"^\s*import\s+[^;]+;?", "swift": r"^\s*import\s+\w.*$", "c": r"^\s*#\s*include\s*[<\"][^>\"]+[>\"]",
-}
-#: Words before a parenthesis that are no calls, and kinds whose bodies hold methods.
-NO_CALL = "if for while switch catch return def class function fn func fun match elif with not and or in is lambda sizeof new await yield assert except print".split()
-TYPES = ("class", "struct", "interface", "trait", "enum")
-LITERAL = r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`[^`]*`"
-
+from symgraph.sources import languages as rules
+from symgraph.sources import lexer
+from symgraph.sources.shared import cut
 
 def language() -> Column:
     table = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     return F.coalesce(table[F.regexp_extract("path", r"(\.[^./]+)$", 1)], F.lit("unknown"))
 
 
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
+
+
+def plain_path(root: str) -> str:
+    """root without a scheme, as an absolute path."""
+    start = re.sub(SCHEME, "", root)
+    return (start if start != root or root.startswith("/") else os.path.abspath(root)).rstrip("/")
+
+
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """path, language, text of the source files under root, without skipped folders.
 
@@ -83,136 +48,268 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
     # Spark leaves files without content out of the scan, but not out of the listing.
     empty = spark.createDataFrame([(x, "") for x in full], "path string, text string").join(files.select("path"), "path", "left_anti")
     files = files.unionByName(empty).withColumn("language", language())
-    scheme = r"^[A-Za-z][A-Za-z0-9+.-]*:(?://[^/]*)?"
-    start = re.sub(scheme, "", root)
-    start = (start if start != root or root.startswith("/") else os.path.abspath(root)).rstrip("/")
-    path = F.regexp_replace("path", scheme, "")
-    below = path.substr(F.lit(len(start) + 1), F.length(path))
+    path = F.regexp_replace("path", SCHEME, "")
+    below = path.substr(F.lit(len(plain_path(root)) + 1), F.length(path))
     skipped = "|".join(f"/{re.escape(d)}/" for d in SKIP_DIRS) + r"|/\.[^/]+/"
     return files.filter((F.col("language") != "unknown") & ~below.rlike(skipped))
 
 
-#: Text that may go on over lines, in group 1, and what is matched on the
-#: way, in group 2, so that marks in it open nothing.
-SHORT = r'"[^"\\\n]*(?:\\.[^"\\\n]*)*"' + r"|'[^'\\\n]*(?:\\.[^'\\\n]*)*'"
-PYTHON_SPANS = r'(?s)(""".*?(?:"""|\z)|' + r"'''.*?(?:'''|\z))|(" + SHORT + r"|#[^\n]*)"
-BRACE_SPANS = r"(?s)(/\*.*?(?:\*/|\z))|(" + SHORT + r"|`[^`]*`|//[^\n]*)"
-
-
-def without_spans(text: Column) -> Column:
-    """The text without long strings (Python) or block comments (others), their line ends kept."""
-    text = F.translate(text, "\x01\x02\x03", "   ")
-    marked = F.when(F.col("language") == "python", F.regexp_replace(text, PYTHON_SPANS, "\x01$1\x02$2\x03")).otherwise(F.regexp_replace(text, BRACE_SPANS, "\x01$1\x02$2\x03"))
-
-    def rest(part: Column) -> Column:
-        ends = F.regexp_replace(F.substring_index(part, "\x02", 1), r"[^\n]+", "")
-        return F.when(part.contains("\x02"), F.concat(ends, F.translate(F.substring_index(part, "\x02", -1), "\x03", ""))).otherwise(part)
-
-    return F.array_join(F.transform(F.split(marked, "\x01"), rest), "")
-
-
-def lines(files: DataFrame) -> DataFrame:
-    """path, language, at, line, code (without literals and comments), indent, before, after (depth of braces)."""
-    both = F.arrays_zip(F.split("text", r"\r?\n").alias("line"), F.split(without_spans(F.col("text")), r"\r?\n").alias("bare"))
-    d = files.select("path", "language", F.posexplode(both).alias("at", "both"))
-    bare = F.regexp_replace("both.bare", LITERAL, '""')
-    bare = F.when(F.col("language") == "python", F.regexp_replace(bare, r"#.*$", "")).otherwise(F.regexp_replace(bare, r"//.*$", ""))
-    d = d.select("path", "language", (F.col("at") + 1).alias("at"), "both.line", bare.alias("code"))
-    indent = F.length("code") - F.length(F.ltrim("code"))
-    step = F.regexp_count("code", F.lit(r"\{")) - F.regexp_count("code", F.lit(r"\}"))
-    after = F.sum(step).over(Window.partitionBy("path").orderBy("at"))
-    d = d.withColumns({"indent": F.when(F.trim("code") != "", indent), "after": after, "step": step})
-    return d.withColumn("before", F.col("after") - F.col("step")).drop("step")
-
-
-def first_match(table: dict[str, list[tuple[str, str]]]) -> Column:
-    """(kind, name) of the first pattern of the line's language that fits, else null."""
-    whens = []
-    for lang, rules in table.items():
-        same = [lang, *[k for k, v in SAME_AS.items() if v == lang]]
-        for kind, pattern in rules:
-            text = F.col("code")
-            whens.append(F.when(F.col("language").isin(*same) & text.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(text, pattern, 1).alias("name"))))
-    return F.coalesce(*whens)
-
-
-def definitions(lined: DataFrame) -> DataFrame:
-    """path, language, kind, name, start, end, level, line: one row per definition."""
-    found = lined.withColumn("def", first_match(DEFINITIONS)).filter("def.name <> ''")
-    shape = lined.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("at", "indent", "after"))).alias("shape"))
-    d = found.select("path", "language", "def.kind", "def.name", F.col("at").alias("start"), "indent", "before", "after", "line", "code").join(shape, "path")
-    later = F.expr("slice(shape, start + 1, size(shape))")
-    # Python: the last line before one that is not deeper.  Braces: where the depth is back.
-    out_ = F.expr("get(filter(slice(shape, start + 1, size(shape)), x -> x.indent <= indent), 0).at")
-    stop = F.coalesce(out_ - 1, F.size("shape"))
-    body = F.expr("filter(slice(shape, start + 1, size(shape)), x -> x.indent IS NOT NULL)")
-    python_end = F.coalesce(F.array_max(F.transform(F.filter(body, lambda x: x["at"] <= stop), lambda x: x["at"])), F.col("start"))
-    opens = F.col("after") > F.col("before")
-    next_opens = F.coalesce(F.expr("get(shape, start).after > before"), F.lit(False))
-    close = F.coalesce(F.expr("get(filter(slice(shape, start + 1, size(shape)), x -> x.after <= before), 0).at"), F.size("shape"))
-    after_next = F.coalesce(F.expr("get(filter(slice(shape, start + 2, size(shape)), x -> x.after <= before), 0).at"), F.size("shape"))
-    brace_end = F.when(opens, close).when(next_opens & ~F.col("code").contains("}") & ~F.col("code").rlike(r";\s*$"), after_next).otherwise(F.col("start"))
-    simple = F.col("kind").isin("constant", "variable")
-    end = F.when(simple, F.col("start")).when(F.col("language") == "python", python_end).otherwise(brace_end)
-    level = F.when(F.col("language") == "python", F.col("indent")).otherwise(F.col("before"))
-    return d.select("path", "language", "kind", "name", "start", end.cast("int").alias("end"), level.alias("level"), F.trim("line").alias("signature"))
+U = rules.U
+WORD = U + r"(?<![\w$])([\p{L}_$][\w$]*)"
+#: A called text: a name with its path, or one with arguments on the way.
+CALL = U + r"(?<![\w$.:)\]])([\p{L}_$][\w$]*(?:\s*(?:\?\.|\.|::|->)\s*[\p{L}_$][\w$]*)*)\s*(?:<[\w\s,<>\[\]?.]*>)?\s*\("
+CHAIN = U + r"(?<![\w$.:)\]])([\p{L}_$][\w$]*(?:\.[\w$]+)*(?:\([^()]*\)(?:\.[\p{L}_$][\w$]*)+)+)\s*\("
+NEW = U + r"\bnew\s+([\p{L}_$][\w$.:]*)"
+#: What is written, an annotation, and what it gets; and the same with an operator.
+ASSIGNED = U + r"(?s)^((?:[^=<>!()\[\]:]|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\([^()]*\))*?)(:[^=]*?)?(?<![=<>!+\-*/%&|^:@])=(?![=>])(.*)$"
+AUGMENTED = U + r"(?s)^([^=()]*?)\s*(?:\+|-|\*\*?|//?|%|&&?|\|\|?|\^|@|<<|>>|\?\?)=(?!=)(.*)$"
+DECLARED = U + r"^(?:export\s+)?(?:const|let|var|val|auto|final|static|public|private|protected|readonly|mut)\s+"
 
 
-def graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges (edge targets of references are "unresolved:" and a text)."""
-    lined = lines(files)
-    last = lined.groupBy("path", "language").agg(F.max("at").alias("end"))
+def found(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+
+def statements(files: DataFrame) -> DataFrame:
+    """The statements of the files with their definition (kind, name), and what holds them.
+
+    holders: the definitions around a statement, outermost first, up to the first
+    function: nothing is kept of what stands within a function's body.
+    """
+    s = cut(lexer.statements(files, {x.name: x.like for x in rules.LANGUAGES.values()}).withColumn("head", rules.first_line("code")))
+    no, yes = F.lit(False), F.lit(True)
+    is_type = F.col("opens") & rules.definition(no, no)["kind"].isin(*rules.TYPES)
+    is_impl = F.col("opens") & (F.col("language") == "rust") & F.col("head").rlike(r"\bimpl\b")
+    types = s.filter(is_type | is_impl).select("path", F.col("seq").alias("parent"), yes.alias("in_type"))
+    s = s.withColumn("parent", F.try_element_at("above", F.lit(-1))).join(types, ["path", "parent"], "left").withColumn("in_type", F.coalesce("in_type", no))
+    found_ = F.when(~rules.is_import(), rules.definition(F.size("above") > 0, F.col("in_type")))
+    own = F.when(F.col("seq") == lexer.FILE, F.struct(F.lit("file").alias("kind"), F.substring_index("path", "/", -1).alias("name"))).otherwise(found_)
+    own = F.when(rules.is_import() & (F.col("seq") != lexer.FILE), F.struct(F.lit("import").alias("kind"), F.substring("raw", 1, 80).alias("name"))).otherwise(own)
+    impl = (F.col("language") == "rust") & own["kind"].eqNullSafe("module") & F.col("head").rlike(r"\bimpl\b")
+    s = s.withColumn("def", F.when(impl, F.struct(F.lit("module").alias("kind"), F.concat(F.lit("impl "), own["name"]).alias("name"))).otherwise(own))
+    in_python_private = (F.col("language") == "python") & (F.col("def.kind") == "constant") & F.col("def.name").startswith("_")
+    s = cut(s.withColumn("def", F.when(~in_python_private & (F.col("def.name") != ""), F.col("def"))))
+
+    # Of definitions with the same lines the first has the plain id.
+    same = Window.partitionBy("path", "line", "end").orderBy("seq")
+    defs = s.filter("def is not null").select("path", "seq", "line", "end", "def.kind", "def.name", F.row_number().over(same).alias("_n"))
+    ident = F.when(F.col("_n") == 1, short_id(F.col("path"), F.col("line"), F.col("end"))).otherwise(short_id(F.col("path"), F.col("line"), F.col("end"), F.col("kind"), F.col("name")))
+    defs = defs.withColumn("id", ident)
+    chain = s.select("path", "seq", F.explode("above").alias("at")).join(defs.select("path", F.col("seq").alias("at"), "kind", "name", "id"), ["path", "at"])
+    chain = chain.groupBy("path", "seq").agg(F.array_sort(F.collect_list(F.struct("at", "kind", "name", "id"))).alias("holders"))
+    s = s.join(chain, ["path", "seq"], "left").join(defs.select("path", "seq", "id"), ["path", "seq"], "left")
+    first = F.array_position(F.transform("holders", lambda h: h["kind"].isin(*rules.FUNCTIONS).cast("string")), "true").cast("int")
+    inside = F.coalesce(first, F.lit(0)) > 0
+    file_id = short_id(F.col("path"), F.lit(1), F.col("lines"))
+    s = s.withColumns({"file_id": file_id, "kept": F.col("def").isNotNull() & ~inside, "holders": F.when(inside, F.expr("slice(holders, 1, cast(array_position(transform(holders, h -> cast(h.kind IN ('function', 'method') AS string)), 'true') AS int))")).otherwise(F.coalesce("holders", F.array().cast("array<struct<at:int,kind:string,name:string,id:string>>")))})
+    last = F.try_element_at("holders", F.lit(-1))
+    in_class = F.exists("holders", lambda h: h["kind"].isin(*rules.TYPES)) | (F.col("language") == "rust") & F.exists("holders", lambda h: (h["kind"] == "module") & h["name"].startswith("impl "))
+    kind = F.when((F.col("def.kind") == "function") & in_class & ~((F.col("language").isin("c", "cpp")) & ~F.col("in_type")), "method").otherwise(F.col("def.kind"))
+    owner = F.when(F.col("kept"), F.col("id")).otherwise(F.coalesce(last["id"], F.col("file_id")))
+    owner_kind = F.when(F.col("kept"), kind).otherwise(F.coalesce(last["kind"], F.lit("file")))
+    return s.withColumns({"kind": kind, "owner": owner, "owner_kind": owner_kind, "parent_id": F.coalesce(last["id"], F.col("file_id"))})
+
+
+def node_table(s: DataFrame) -> DataFrame:
+    """The nodes of the kept definitions, a row for each name of a definition."""
+    impl = (F.col("language") == "rust") & F.col("_name").startswith("impl ")
+    separator = F.coalesce(rules.by_language(lambda x: F.lit(x.separator)), F.lit("."))
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    base = F.substring_index("path", "/", -1)
-    file_nodes = last.select("path", "language", F.lit("file").alias("kind"), base.alias("name"), F.lit(0).alias("start"), "end", F.lit("").alias("signature"), F.lit(-1).alias("level"))
-    defs = definitions(lined)
-    every = defs.unionByName(file_nodes)
-    tree = every.groupBy("path").agg(F.collect_list(F.struct("start", "end", "kind", "name")).alias("tree"))
-    around = F.expr("sort_array(filter(tree, d -> d.start < start AND end <= d.end AND NOT (d.start = start AND d.end = end)))")
-    d = defs.join(tree, "path").withColumn("around", around).drop("tree")
-    inner = F.expr("filter(around, d -> d.kind IN ('function', 'method'))")
-    # Nothing is kept of what stands within a function's body.
-    d = d.filter(F.size(inner) == 0)
-    parent = F.try_element_at("around", F.lit(-1))
-    in_type = F.expr(f"exists(around, d -> d.kind IN {TYPES} OR d.kind = 'module' AND language = 'rust')")
-    kind = F.when((F.col("kind") == "function") & in_type, "method").otherwise(F.col("kind"))
-    holders = F.transform(F.filter("around", lambda x: x["kind"] != "file"), lambda x: x["name"])
-    sep = F.when(F.col("language").isin("rust", "go", "c", "cpp"), "::").otherwise(".")
-    qualified = F.array_join(F.concat(F.array(stem), holders, F.array("name")), ".")
-    qualified = F.when(sep == "::", F.array_join(F.concat(F.array(stem), holders, F.array("name")), "::")).otherwise(qualified)
-    node_id = short_id(F.col("path"), F.col("start"), F.col("end"))
-    exported = F.col("signature").rlike(r"^(export|pub|public)\b")
-    private = F.col("name").rlike("^_[^_]") | F.col("signature").rlike(r"\bprivate\b")
-    nodes = d.select(
-        node_id.alias("id"), kind.alias("kind"), "name", qualified.alias("qualified_name"), F.col("path").alias("file_path"), "language",
-        F.col("start").alias("start_line"), F.col("end").alias("end_line"), F.lit("").alias("docstring"), "signature", F.when(private, "private").otherwise("public").alias("visibility"),
-        short_id(F.col("path"), parent["start"], parent["end"]).alias("parent_id"), exported.alias("is_exported"), F.col("signature").rlike(r"\basync\b").alias("is_async"),
+    raw = F.trim(F.regexp_replace("raw", r"\s+", " "))
+    d = s.filter("kept").withColumn("_name", F.explode(F.when(F.col("kind") == "import", F.array("def.name")).otherwise(F.split("def.name", r"\s*,\s*"))))
+    d = d.filter(~((F.col("language") == "python") & (F.col("kind") == "constant") & F.col("_name").startswith("_")))
+    # A C++ method that is defined outside of its class has the class in front of its name.
+    outside = F.when(F.col("language") == "cpp", F.regexp_extract("head", U + r"((?:\w+::)+)~?\w+\s*\(", 1)).otherwise("")
+    holders = F.transform("holders", lambda h: h["name"])
+    plain = F.concat(F.array_join(F.concat(F.array(stem), holders), "\x00"), F.lit("\x00"), F.replace(outside, F.lit("::"), F.lit("\x00")), F.col("_name"))
+    in_impl = (F.col("language") == "rust") & F.exists("holders", lambda h: h["name"].startswith("impl "))
+    rust = F.concat_ws("::", F.replace(F.try_element_at("holders", F.lit(-1))["name"], F.lit(" "), F.lit("_")), F.col("_name"))
+    prefix = F.coalesce(rules.by_language(lambda x: F.lit(x.import_prefix)), F.lit("import:"))
+    qualified = (
+        F.when(F.col("kind") == "file", F.col("path")).when(F.col("kind") == "import", F.concat(prefix, F.col("_name"))).when(impl, F.replace("_name", F.lit(" "), F.lit("_")))
+        .when(in_impl & (F.col("kind") == "method"), rust).otherwise(F.replace(plain, F.lit("\x00"), separator))
     )
-    file_node = file_nodes.select(
-        short_id(F.col("path"), F.col("start"), F.col("end")).alias("id"), "kind", "name", F.col("path").alias("qualified_name"), F.col("path").alias("file_path"), "language",
-        F.lit(1).alias("start_line"), F.col("end").alias("end_line"), F.lit("").alias("docstring"), "signature", F.lit("public").alias("visibility"),
-        F.lit(None).cast("string").alias("parent_id"), F.lit(False).alias("is_exported"), F.lit(False).alias("is_async"),
+    python = F.col("language") == "python"
+    doc = F.when(python, F.trim(F.regexp_replace("doc", r"^\w{0,2}[\"']+|[\"']+$", ""))).otherwise(doc_text(F.col("doc")))
+    doc = F.when(F.col("kind").isin("file", "import"), "").otherwise(doc)
+    signature = F.when(F.col("kind").isin("file", "import") | python & (F.col("kind") == "class"), "").otherwise(F.regexp_replace(raw, r"^async (?=def )", ""))
+    private = F.col("_name").rlike("^_[^_]") | F.col("head").rlike(r"^(?:[\w@]+\s+)*(?:private|fileprivate)\b")
+    visibility = F.when(F.col("kind").isin("file", "import"), "public").when(private, "private").when(F.col("head").rlike(r"^(?:[\w@]+\s+)*protected\b"), "protected").otherwise("public")
+    flag = lambda word: F.col("head").rlike(rf"^(?:[\w@]+\s+)*{word}\b") & ~F.col("kind").isin("file", "import")
+    first = F.col("_name") == F.element_at(F.split("def.name", r"\s*,\s*"), 1)
+    ident = F.when(first | (F.col("kind") == "import"), F.col("id")).otherwise(short_id(F.col("path"), F.col("line"), F.col("end"), F.col("kind"), F.col("_name")))
+    return d.select(
+        ident.alias("id"), "kind", F.col("_name").alias("name"), qualified.alias("qualified_name"), F.col("path").alias("file_path"), "language",
+        F.col("line").alias("start_line"), F.col("end").alias("end_line"), doc.alias("docstring"), signature.alias("signature"), visibility.alias("visibility"),
+        F.when(F.col("kind") != "file", F.col("parent_id")).alias("parent_id"), flag(r"(?:export|pub|public)").alias("is_exported"), flag("async").alias("is_async"), flag("static").alias("is_static"), flag("abstract").alias("is_abstract"),
+        F.col("hash").alias("content_hash"), F.col("seq").cast("long").alias("seq"),
     )
-    nodes = nodes.unionByName(file_node)
-
-    # References belong to the innermost kept definition around their line.
-    owners = nodes.groupBy(F.col("file_path").alias("path")).agg(F.sort_array(F.collect_list(F.struct("start_line", (-F.col("end_line")).alias("up"), "end_line", "id", "kind"))).alias("owners"))
-    owned = lined.join(owners, "path").withColumn(
-        "own", F.expr("try_element_at(filter(owners, o -> o.kind = 'file' OR o.start_line <= at AND at <= o.end_line), -1)")
-    )
-    is_def = first_match(DEFINITIONS).isNotNull()
-    call = F.array_except(F.array_distinct(F.regexp_extract_all("code", F.lit(r"([A-Za-z_][\w.]*)\s*\("), F.lit(1))), F.array(*[F.lit(x) for x in NO_CALL]))
-    calls = owned.filter((F.col("own.kind") != "file") & (~is_def | F.col("own.kind").isin("constant", "variable"))).select(F.col("own.id").alias("source_id"), F.explode(call).alias("text"), F.lit("calls").alias("kind"), F.lit(0.5).alias("confidence"), F.col("at").alias("line"))
-    bases = F.split(F.regexp_extract("code", r"class\s+\w+\s*\(([^)]*)\)", 1), r"\s*,\s*")
-    bases = F.when(F.col("language") == "python", bases).otherwise(F.split(F.regexp_extract("code", r"\bextends\s+([\w.,\s]+)", 1), r"\s*,\s*"))
-    extends = owned.filter(F.col("own.kind").isin(*TYPES) & (F.col("own.start_line") == F.col("at"))).select(
-        F.col("own.id").alias("source_id"), F.explode(F.filter(F.transform(bases, lambda x: F.trim(x)), lambda x: x.rlike(r"^\w+$"))).alias("text"), F.lit("extends").alias("kind"), F.lit(0.5).alias("confidence"), F.col("at").alias("line")
-    )
-    lang_of = {lang: [lang, *[k for k, v in SAME_AS.items() if v == lang]] for lang in IMPORTS}
-    is_import = reduce(lambda a, b: a | b, [F.col("language").isin(*same) & F.col("line").rlike(IMPORTS[lang]) for lang, same in lang_of.items()])
-    imports = owned.filter(is_import).select(F.col("own.id").alias("source_id"), F.trim("line").alias("text"), F.lit("imports").alias("kind"), F.lit(0.5).alias("confidence"), F.col("at").alias("line"))
-    loose = calls.unionByName(extends).unionByName(imports)
-    loose = loose.select("source_id", F.concat(F.lit("unresolved:"), "text").alias("target_id"), "kind", "confidence", "line", F.col("text").alias("target_text"))
+
+
+def body() -> Column:
+    """The part of a statement that is run by its owner: not the heads of definitions and imports."""
+    after = lambda pattern: F.regexp_extract("code", U + "(?s)" + pattern, 1)
+    typescript, kotlin = F.col("language").isin("typescript", "javascript"), F.col("language") == "kotlin"
+    of_function = F.when(typescript, after(r"=>(.*)$")).when(kotlin, after(r"\)\s*(?::[^={]+)?=(.*)$")).otherwise("")
+    kind = F.when(F.col("kept"), F.col("kind"))
+    return F.when(kind.isin(*rules.FUNCTIONS), of_function).when(kind.isin("constant", "variable"), after(r"^[^=]*=(.*)$")).when(kind.isNotNull(), "").otherwise(F.col("code"))
+
+
+def loose(rows: DataFrame, text: Column, kind: str, confidence: float, line: Column) -> DataFrame:
+    return rows.select(F.col("owner").alias("source_id"), text.alias("target_text"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence"), line.alias("line"))
+
+
+def call_edges(s: DataFrame) -> DataFrame:
+    cuts = F.regexp_count("code", F.lit("\n")) - F.regexp_count("_body", F.lit("\n"))
+    d = s.filter(F.col("owner_kind").isin(*rules.FUNCTIONS, "constant", "variable")).withColumn("_body", body()).filter("_body <> ''")
+    d = d.select("owner", "language", (F.col("line") + cuts).alias("line"), F.posexplode(F.split("_body", "\n")).alias("nth", "text")).withColumn("line", F.col("line") + F.col("nth"))
+    made = F.when(F.col("language").isin("typescript", "javascript", "java", "cpp"), found(F.col("text"), NEW)).otherwise(F.array().cast("array<string>"))
+    plain = F.regexp_replace("text", U + r"\bnew\s+[\p{L}_$][\w$.:]*(?:<[^()]*>)?", "")
+    # A function within the body is no call of it.
+    plain = F.regexp_replace(plain, U + r"\b(?:def|function|func|fun|fn|class)\s+[\p{L}_$][\w$]*", "")
+    called = F.transform(F.concat(found(plain, CALL), found(plain, CHAIN)), lambda x: F.replace(F.regexp_replace(x, r"\s+", ""), F.lit("?."), F.lit(".")))
+    called = F.filter(F.array_distinct(called), lambda x: ~x.isin(*rules.NO_CALL))
+    calls = d.withColumn("t", F.explode(called))
+    return loose(calls, F.col("t"), "calls", 0.5, F.col("line")).unionByName(loose(d.withColumn("t", F.explode(made)), F.col("t"), "instantiates", 0.5, F.col("line")))
+
+
+def base_edges(s: DataFrame) -> DataFrame:
+    extends, implements = rules.bases()
+    heads = s.filter(F.col("kept") & (F.col("kind").isin(*rules.TYPES) | (F.col("language") == "rust") & (F.col("kind") == "module")))
+    embedded = rules.by_language(lambda x: F.regexp_extract("head", x.embedded, 1) if x.embedded else None)
+    fields = s.filter(F.col("in_type") & ~F.col("kept")).withColumn("t", embedded).filter("t <> ''")
+    return reduce(DataFrame.unionByName, [
+        loose(heads.withColumn("t", F.explode(extends)), F.col("t"), "extends", 0.5, F.col("line")), loose(heads.withColumn("t", F.explode(implements)), F.col("t"), "implements", 0.5, F.col("line")),
+        loose(fields, F.col("t"), "extends", 0.5, F.col("line")),
+    ])
+
+
+def flow_edges(s: DataFrame) -> DataFrame:
+    """reads and writes of functions, and the types that they name; what a function writes it does not read."""
+    flows = [x for x in rules.LANGUAGES.values() if x.flows]
+    d = s.filter(F.col("language").isin(*[x.name for x in flows]) & F.col("owner_kind").isin(*rules.FUNCTIONS)).withColumn("_body", body())
+    keys = {x.name: sorted(x.keywords) for x in flows}
+    is_python = F.col("language") == "python"
+    # Names of members are no names of variables, but in Python they count.
+    text = lambda c: F.when(is_python, c).otherwise(F.regexp_replace(c, U + r"\.\s*[\p{L}_$][\w$]*", ""))
+    not_key = lambda x: ~reduce(lambda a, b: a | b, [(F.col("language") == name) & x.isin(*words) for name, words in keys.items()])
+    names = lambda c: F.filter(F.array_distinct(found(text(c), WORD)), not_key)
+    part = lambda c, pattern, i: F.regexp_extract(c, pattern, i)
+    code = F.trim(F.regexp_replace("_body", DECLARED, ""))
+    d = d.filter("_body <> ''").withColumn("_c", code)
+    whole, more = F.col("_c").rlike(ASSIGNED), F.col("_c").rlike(AUGMENTED)
+    again = part("_c", ASSIGNED, 3)
+    left = F.when(more, part("_c", AUGMENTED, 1)).when(whole, F.concat_ws(" ", part("_c", ASSIGNED, 1), part(again, ASSIGNED, 1)))
+    right = F.when(more, F.col("_c")).when(whole & again.rlike(ASSIGNED), part(again, ASSIGNED, 3)).when(whole, again).otherwise(F.col("_c"))
+    writes = d.select("owner", "language", F.explode(names(left)).alias("t")).distinct()
+    reads = d.select("owner", "language", F.explode(names(right)).alias("t")).distinct().join(writes.select("owner", "t"), ["owner", "t"], "left_anti")
+    skipped = reduce(lambda a, b: a | b, [(F.col("language") == x.name) & F.col("t").isin(*sorted(x.skipped)) for x in flows])
+    real = ~skipped & (F.length("t") >= 2)
+    writes, reads = writes.filter(real & ~(F.col("t").startswith("_") & (F.length("t") <= 2))), reads.filter(real)
+    # Types: behind colons and arrows of heads and declarations, and what is subscripted.
+    heads = s.filter(F.col("language").isin(*[x.name for x in flows]) & (F.col("owner_kind").isin(*rules.FUNCTIONS) | ~is_python & F.col("owner_kind").isin("class", "interface", "constant", "variable", "type_alias")))
+    is_head = F.col("kept") | F.col("code").rlike(ASSIGNED) | F.col("in_type")
+    noted = F.when(is_head, F.array_join(found(F.col("code"), U + r"(?s)(?::|->)\s*([^,=(){}]+(?:\[[^\]]*\])?)"), " "))
+    generic = F.when(~is_python, F.array_join(found(F.col("code"), U + r"<([^<>()]*)>"), " "))
+    typed = F.concat(found(F.concat_ws(" ", noted, generic), U + r"(?<![\w.$])(\p{Lu}[\w$]+)"), F.when(is_python, found(F.col("code"), U + r"(?<![\w.])(\p{Lu}\w+)\s*\[")).otherwise(F.array().cast("array<string>")))
+    references = heads.withColumn("t", F.explode(F.array_distinct(typed)))
+    return reduce(DataFrame.unionByName, [loose(writes, F.col("t"), "writes", 0.4, F.lit(0)), loose(reads, F.col("t"), "reads", 0.3, F.lit(0)), loose(references, F.col("t"), "references", 0.4, F.col("line"))])
+
+
+def edge_table(s: DataFrame, nodes: DataFrame) -> DataFrame:
+    imports = s.filter("kept AND kind = 'import'").withColumn("owner", F.col("parent_id"))
+    texts = [call_edges(s), base_edges(s), flow_edges(s), loose(imports, F.col("raw"), "imports", 0.5, F.col("line"))]
+    open_ = reduce(DataFrame.unionByName, texts).withColumn("target_id", F.concat(F.lit("unresolved:"), F.col("target_text")))
     contains = nodes.filter("parent_id is not null").select(F.col("parent_id").alias("source_id"), F.col("id").alias("target_id"), F.lit("contains").alias("kind"), F.lit(1.0).alias("confidence"), F.col("start_line").alias("line"), F.lit("").alias("target_text"))
-    edges = contains.unionByName(loose).withColumn("id", short_id(F.col("source_id"), F.col("target_id"), F.col("kind")))
-    return nodes, edges.groupBy("id").agg(F.max_by(F.struct(*[c for c in edges.columns if c != "id"]), "line").alias("e")).select("id", "e.*")
+    edges = contains.unionByName(open_).withColumn("id", short_id(F.col("source_id"), F.col("target_id"), F.col("kind")))
+    columns = ["source_id", "target_id", "kind", "confidence", "line", "target_text"]
+    return edges.groupBy("id").agg(F.max_by(F.struct(*columns), "line").alias("e")).select("id", "e.*")
+
+
+#: Words in front of a declared name, and texts of types that say nothing about a class.
+DECLARES = r"(?:(?:export|const|let|var|val|auto|final|static|public|private|protected|internal|readonly|mut|lateinit|override|open|weak|lazy)\s+)*"
+TARGET = r"((?:self\.|this\.|this->)?[\p{L}_$][\w$]*)"
+PATH = r"([\p{L}_$][\w$]*(?:(?:\.|::)[\p{L}_$][\w$]*)*)"
+WRAPPED = r"\b(?:Optional|Final|Annotated|ClassVar|Type|Promise|Awaitable|Box|Rc|Arc|shared_ptr|unique_ptr)\s*[\[<]\s*([\w.:]+)\s*[^\[\]<>]*[\]>]"
+BEHIND = ("python", "typescript", "javascript", "kotlin", "swift", "rust")  # types stand behind colons
+BEFORE = ("java", "c", "cpp")  # types stand before names
+MEMBERS_UNNAMED = ("java", "kotlin", "swift", "cpp")  # members need no this
+
+
+def variable_table(s: DataFrame) -> DataFrame:
+    """scope, holder, file_id, language, var, how, text: what statements say about variables.
+
+    how is "type" (a type's text), "call" (the result of the called text) or "copy"
+    (another variable's value); the variable "" of a function is what it returns, and
+    self.x belongs to the type around.  scope is the function's, type's or file's node.
+    """
+    lang = F.col("language")
+    holder = F.try_element_at(F.filter("holders", lambda h: h["kind"].isin(*rules.TYPES)), F.lit(-1))["id"]
+    holder = F.when(F.col("kept") & F.col("kind").isin(*rules.TYPES), F.col("id")).otherwise(holder)
+    d = s.filter("kind is null OR kind <> 'import'").withColumns({"holder": holder, "_u": F.regexp_replace(F.regexp_replace("head", r"\s+", " "), U + WRAPPED, "$1")})
+    # Fields are kept definitions of their own, but they are variables of what holds them.
+    scope = F.when(F.col("kept") & F.col("kind").isin("constant", "variable"), F.col("parent_id")).otherwise(F.col("owner"))
+    rows = []
+
+    def add(where: Column, var: Column, how: str, text: Column) -> None:
+        rows.append(d.filter(where).select(scope.alias("scope"), "holder", "file_id", "language", var.alias("var"), F.lit(how).alias("how"), text.alias("text")))
+
+    u, is_function = F.col("_u"), F.col("kept") & F.col("kind").isin(*rules.FUNCTIONS)
+    part = lambda pattern, i: F.regexp_extract(u, U + pattern, i)
+    # Parameters and what a function returns.
+    inner = F.regexp_replace(F.regexp_replace(u, r"\[[^\[\]]*\]|<[^<>]*>", ""), r"\[[^\[\]]*\]|<[^<>]*>", "")
+    args = F.when(lang == "go", F.concat_ws(",", F.regexp_extract(inner, r"^func\s*(?:\(([^)]*)\))?", 1), F.regexp_extract(inner, r"^func\s*(?:\([^)]*\)\s*)?\w+\(([^)]*)\)", 1))).otherwise(F.regexp_extract(inner, r"\(((?:[^()]|\([^()]*\))*)\)", 1))
+    param = F.explode(F.split(args, ","))
+    pairs = d.filter(is_function & (args != "")).select(scope.alias("scope"), "holder", "file_id", "language", param.alias("p"))
+    p = F.trim(F.regexp_replace("p", r"=.*$", ""))
+    one = lambda pattern, i: F.regexp_extract(p, U + pattern, i)
+    behind, before, go = rf"^(?:\w+\s+)*\*{{0,2}}([\w$]+)\??\s*:\s*(?:&?\s*(?:'\w+\s+)?(?:mut\s+|dyn\s+|inout\s+)?)?{PATH}", rf"^(?:final\s+|const\s+|struct\s+)*{PATH}[\s*&]+([\w$]+)$", rf"^([\w]+)\s+\*?{PATH}$"
+    var = F.when(lang.isin(*BEHIND), one(behind, 1)).when(lang.isin(*BEFORE), one(before, 2)).when(lang == "go", one(go, 1))
+    kind = F.when(lang.isin(*BEHIND), one(behind, 2)).when(lang.isin(*BEFORE), one(before, 1)).when(lang == "go", one(go, 2))
+    rows.append(pairs.select("scope", "holder", "file_id", "language", var.alias("var"), F.lit("type").alias("how"), kind.alias("text")).filter("var <> ''"))
+    after = rf"(?:->\s*(?:&?\s*(?:'\w+\s+)?(?:mut\s+|dyn\s+)?)?{PATH})"
+    returns = (
+        F.when(lang.isin("python", "rust", "swift"), part(after, 1)).when(lang.isin("typescript", "javascript", "kotlin"), part(rf"\)\s*:\s*{PATH}", 1))
+        .when(lang == "go", part(rf"\)\s*\(?\*?{PATH}[^()]*\)?$", 1)).when(lang.isin(*BEFORE), F.regexp_extract(inner, U + rf"^(?:\w+\s+)*?{PATH}[\s*&]+(?:\w+::)*~?[\w$]+\s*\(", 1))
+    )
+    add(is_function & (returns != ""), F.lit(""), "type", returns)
+    # Declarations with a type.
+    plain = ~is_function & ~F.coalesce(F.col("kind").isin(*rules.TYPES, "module", "file"), F.lit(False))
+    behind = rf"^{DECLARES}#?{TARGET}[?!]?\s*:\s*{PATH}"
+    add(plain & lang.isin(*BEHIND) & u.rlike(U + behind), part(behind, 1), "type", part(behind, 2))
+    before = rf"^{DECLARES}(?!return\b|else\b|throw\b|delete\b|new\b|goto\b|using\b|package\b|case\b){PATH}(?:<.*?>)?[\s*&]+{TARGET}\s*(?:[=({{].*)?$"
+    add(plain & lang.isin(*BEFORE) & u.rlike(U + before), part(before, 2), "type", part(before, 1))
+    go = rf"^(?:var\s+)?([\w]+)\s+\*?{PATH}(?:\s*=.*)?$"
+    add(plain & (lang == "go") & (u.rlike(r"^var\s") | F.col("in_type")) & u.rlike(U + go), part(go, 1), "type", part(go, 2))
+    # Assignments of a call's result or of another variable.
+    gets = rf"^{DECLARES}(?:{PATH.replace('(', '(?:', 1)}(?:<.*?>)?[\s*&]+)?#?{TARGET}[?!]?\s*(?::[^=]+)?:?=\s*"
+    call = gets + rf"(?:await\s+|new\s+|try[?!]?\s+|[&*])*((?:self\.|this\.|this->)?{PATH[1:]}\s*(?:<[^<>()]*>)?\s*(?:\(|$)"
+    copy = gets + rf"{TARGET};?$"
+    opened = F.col("opens") & lang.isin("go", "rust")  # a literal of a struct
+    is_call = u.rlike(U + call) & (opened | u.rlike(U + call.replace("(?:\\(|$)", "\\(")))
+    add(plain & is_call, part(call, 1), "call", part(call, 2))
+    add(plain & ~is_call & ~opened & u.rlike(U + copy), part(copy, 1), "copy", part(copy, 2))
+    in_function = ~F.col("kept") & F.col("owner_kind").isin(*rules.FUNCTIONS)
+    back = rf"^return\s+(?:await\s+|new\s+|[&*])*((?:self\.|this\.)?{PATH[1:]}\s*\("
+    add(in_function & u.rlike(U + back), F.lit(""), "call", part(back, 1))
+    add(in_function & u.rlike(U + rf"^return\s+{TARGET}$"), F.lit(""), "copy", part(rf"^return\s+{TARGET}$", 1))
+    out = reduce(DataFrame.unionByName, rows).withColumns({"var": F.replace("var", F.lit("->"), F.lit(".")), "text": F.replace(F.replace("text", F.lit("->"), F.lit(".")), F.lit("::"), F.lit("."))})
+    return out.filter("text <> ''").distinct()
+
+
+def errors(s: DataFrame) -> DataFrame:
+    """path, language, error of the files that could not be read."""
+    return s.filter("error is not null").select("path", "language", "error")
+
+
+def graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges (edge targets of references are "unresolved:" and a text)."""
+    nodes, edges, _ = tables(files)
+    return nodes, edges
+
+
+def tables(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """nodes, edges and what is said about variables (see variable_table)."""
+    s = cut(statements(files))
+    nodes = node_table(s)
+    return nodes, edge_table(s, nodes), variable_table(s)

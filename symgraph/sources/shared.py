@@ -4,15 +4,37 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Computes df once and cuts its lineage through the folder in spark.checkpoint.dir.
 
-    A temporary folder is set only where no folder is (tests, one machine).
+    A temporary folder is set only where no folder is and the session runs on one
+    machine; a cluster must name one.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="symgraph-checkpoint-"))
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share."""
+    context = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not path:
+        if not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="symgraph-checkpoint-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(path)
+    return path
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if it comes from fewer files than there are cores.
+
+    A file of one row group is one task, however long its texts take; tables of many
+    files stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
