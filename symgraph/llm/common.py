@@ -65,6 +65,18 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front of those that are columns of df."""
+    there = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in there:
+            name = f"_{name}"
+        there.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ascii_lower(column):
     """Lower-cases A-Z only, unlike lower(), which changes all of Unicode."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

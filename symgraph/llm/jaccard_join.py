@@ -50,7 +50,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.llm.common import cut, frequent, sized, written
+from symgraph.llm.common import cut, frequent, sized, written, unused
 from symgraph.llm.components import components
 from symgraph.llm.tokens import R1, R2, Sums, Words, mixed, packed, runs, slices, unpacked
 
@@ -364,7 +364,10 @@ def still_open(members: DataFrame, small: int) -> DataFrame:
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, node, component_id per row of docs (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, node, root, component_id per row of docs (doc_id, text).
+
+    root is the group's own key: an id that occurs with several texts may be in several groups.
+    """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     n_buckets = max(MIN_BUCKETS, -(-chars // BUCKET_CHARS))
@@ -439,9 +442,9 @@ def classes(docs: DataFrame) -> DataFrame:
 
     by_node = rooted(sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least")), roots)
     names = by_node.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_node = by_node.join(names, "root").select("node", "component_id")
+    by_node = by_node.join(names, "root").select("node", "root", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id"))
-    return sets.join(by_node, "node", "left").select("doc_id", "text_hash", "n_shingles", "node", F.coalesce(component, F.col("doc_id")).alias("component_id"))
+    return sets.join(by_node, "node", "left").select("doc_id", "text_hash", "n_shingles", "node", "root", F.coalesce(component, F.col("doc_id")).alias("component_id"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -453,22 +456,25 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of docs per group: that of the smallest id, and of that id's texts one.
 
-    Rows of empty sets and rows with a null id all stay.
+    Rows of empty sets and rows with a null id all stay.  An id with several texts may
+    stand for several groups; of rows with one id and text one stays, whichever it is.
     """
+    ident, hashed = unused(docs, "id", "hash")
     text_hash = F.xxhash64("text")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(classes(known).filter("node is not null and doc_id is not null").select("doc_id", "text_hash", "component_id"))
-    first = rows.filter("doc_id = component_id").groupBy("component_id").agg(F.min("text_hash").alias("first"))
-    gone = rows.join(first, "component_id").filter("doc_id <> component_id or text_hash <> first").select("doc_id", "text_hash").distinct()
-    gone = sized(gone).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    kept = docs.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (text_hash == F.col("_hash")), "left_anti")
-    twice = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    rows = cut(classes(known).filter("node is not null and doc_id is not null").select("doc_id", "text_hash", "root"))
+    own = F.struct("doc_id", "text_hash")
+    first = rows.groupBy("root").agg(F.min(own).alias("first"))
+    gone = rows.join(first, "root").filter(own != F.col("first")).select("doc_id", "text_hash").distinct()
+    gone = sized(gone).withColumnsRenamed({"doc_id": ident, "text_hash": hashed})
+    same = (F.col("doc_id").cast("long") == F.col(ident)) & (text_hash == F.col(hashed))
+    kept = docs.join(gone, same, "left_anti")
+    twice = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias(ident), F.col("text_hash").alias(hashed))
     if twice.isEmpty():
         return kept.select(*docs.columns)
     # Rows that occur several times are few, or the corpus repeats itself; one of each stays.
-    again = (F.col("doc_id").cast("long") == F.col("_id")) & (text_hash == F.col("_hash"))
-    single = kept.join(twice, again, "left_anti").select(*docs.columns)
-    return single.union(kept.join(twice, again, "left_semi").withColumn("_hash", text_hash).dropDuplicates(["doc_id", "_hash"]).select(*docs.columns))
+    single = kept.join(twice, same, "left_anti").select(*docs.columns)
+    return single.union(kept.join(twice, same, "left_semi").withColumn(hashed, text_hash).dropDuplicates(["doc_id", hashed]).select(*docs.columns))
 
 
 ORACLE = r"""

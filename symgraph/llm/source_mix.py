@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.llm.common import sized
+
 #: Documents of a block, at least, and blocks that are planned, about.
 BLOCK_ROWS, BLOCKS = 64, 1 << 18
 #: Rows that one window partition ranks at most, about.
@@ -131,7 +133,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     )
 
 
-def in_order(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, keep_position: bool = False) -> DataFrame:
-    """All rows of docs, in the order of the mixture, with their position in it if asked for."""
-    d = scheduled(docs, weights, temperature).withColumn("_position", position()).orderBy("_position", "doc_id")
-    return d.select(*docs.columns, *[F.col("_position").alias("position")] * keep_position)
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5) -> DataFrame:
+    """All rows of docs, in the order of the mixture.  Rows travel as one value, so no column of theirs can clash."""
+    row = docs.select("doc_id", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"))
+    return scheduled(row, weights, temperature).orderBy(position(), "doc_id").select("_all.*")
+
+
+def stored_order(docs: DataFrame, name: str) -> DataFrame:
+    """docs, read from Parquet files, with their place in the order in which they were written.
+
+    Files are numbered in the order of the rows, and rows within them; only the number
+    of rows of each file is summed up.
+    """
+    file = F.col("_metadata.file_path")
+    part = lambda c: F.struct(*(F.regexp_extract(c, p, 1).cast("int") for p in (r"part-(\d+)", r"-c(\d+)[^/]*$")), c)
+    sizes = docs.groupBy(file.alias("_file")).count()
+    before = F.sum("count").over(Window.orderBy(part(F.col("_file"))).rowsBetween(Window.unboundedPreceding, -1))  # a row a file
+    sizes = sizes.select("_file", F.coalesce(before, F.lit(0)).alias("_before"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all"), file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    return row.join(sized(sizes), "_file").select("_all.*", (F.col("_before") + F.col("_row")).alias(name))

@@ -452,9 +452,25 @@ def test_representatives_of_a_repeated_id(spark):
     assert jaccard_join.representatives(empty(spark)).count() == 0
 
 
+def test_representatives_of_an_id_in_several_groups(spark):
+    a, unique = " ".join(f"a{i}" for i in range(30)), " ".join(f"u{i}" for i in range(30))
+    for one, two in ((a, unique), (unique, a)):
+        data = [(3, one, "s", 1), (3, two, "s", 2), (5, one, "s", 3)]
+        d = spark.createDataFrame(data, "doc_id long, text string, _id string, _hash int")
+        out = jaccard_join.representatives(d)
+        assert out.columns == d.columns and sorted(tuple(r) for r in out.collect()) == sorted(data[:2])
+
+
 # 9 Source mixing
 
 
+def test_mixture_keeps_clashing_columns(spark):
+    names = ["_source", "_block", "_row", "_first", "_slot", "_bucket", "_all", "position", "a.b"]
+    d = spark.createDataFrame([(i, "ab"[i % 2], *[f"{c}{i}" for c in names]) for i in range(300)], ["doc_id", "source", *names])
+    out = source_mix.in_order(d)
+    assert out.columns == d.columns and sorted(tuple(r) for r in out.collect()) == sorted(tuple(r) for r in d.collect())
+
+
 def test_mix_deviates_by_less_than_a_block(spark):
     data = [(i, None, "en", "abc"[0 if i % 3 else 1 + i % 2] if i % 50 else None, 0, 0, "") for i in range(6000)]
     got = source_mix.mix(docs(spark, data), {"a": 0.5, "b": 0.25, "c": 0.125, None: 0.125}).toPandas()
