@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.llm import jaccard_join, quality_rules, secret_scan, sentencepiece_codec, source_mix
-from symgraph.llm.common import cut, table, tuned, written
+from symgraph.llm.common import table, tuned, written
 from symgraph.llm.queries import piece_model
 
 
@@ -42,13 +42,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded text, with the position in the mixture, in its order.
 
-    Files lose the order of rows, so each row gets its position again, on rows without
-    texts: it follows from the ids and sources alone.
+    The position is the place in the files that the stage before has written.
     """
     tuned(spark)
-    encoded = sentencepiece_codec.encode(docs, piece_model(), keep=("source",))
-    out = cut(sentencepiece_codec.digests(encoded, keep=("source",)))
-    return source_mix.in_order(out, keep_position=True).drop("source")
+    placed = source_mix.stored_order(docs.select("doc_id", "text"), "position")
+    encoded = sentencepiece_codec.encode(placed, piece_model(), keep=("position",))
+    return sentencepiece_codec.digests(encoded, keep=("position",)).orderBy("position")
 
 
 STAGES = [
