@@ -1,16 +1,18 @@
 """Ranked keyword search: BM25 over prefixes, then substrings, then edit distance.
 
 A query's terms are known to the driver; everything about the nodes is column
-expressions over one scan, plus one global aggregate (a single row).
+expressions over one scan with its counts, or over the rows that a stored index has of
+the query's tokens.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from math import log
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import terms, tokens
@@ -18,13 +20,16 @@ from symgraph.schema import EXPORTED_BONUS, KIND_BONUS, PRIVATE_BONUS, SEARCH_WE
 from symgraph.sources.shared import cut
 
 K1, B = 1.2, 0.75
+#: Fixed value: what a term in more than half of the rows weighs.
+LEAST_IDF = 1e-6
 
 
-def bm25(rows: DataFrame, prefixes: Sequence[str], weights: dict[str, float], id_col: str = "id") -> DataFrame:
-    """The rows with a token that begins with one of the prefixes, with their score.
+def bm25(rows: DataFrame, prefixes: Sequence[str], weights: dict[str, float], keep: Sequence[str] = ()) -> DataFrame:
+    """The rows (all columns, or those to keep) with a token that begins with one of the prefixes, with their score.
 
     Weights are by column; a column of weight 0 still counts for lengths and for
-    which rows match.  A prefix in more than half of the rows hardly counts.
+    which rows match.  A prefix in more than half of the rows hardly counts.  Rows are
+    tokenised once: one pass keeps those that match and counts over all.
     """
     d = rows.withColumns({f"_t{i}": tokens(F.col(c)) for i, c in enumerate(weights)})
 
@@ -35,20 +40,25 @@ def bm25(rows: DataFrame, prefixes: Sequence[str], weights: dict[str, float], id
     any_ = {f"_h{j}": reduce(add, [hits(i, p) for i in range(len(weights))]) > 0 for j, p in enumerate(prefixes)}
     size = reduce(add, [F.size(f"_t{i}") for i in range(len(weights))])
     d = d.withColumns(tf | any_ | {"_size": size}).drop(*[f"_t{i}" for i in range(len(weights))])
-    total = d.agg(
-        F.struct(
-            F.count("*").alias("n"), F.sum("_size").alias("size"), *[F.count_if(f"_h{j}").alias(f"df{j}") for j in range(len(prefixes))]
-        )
-    ).scalar()
-    d = d.withColumn("_all", total)
-    parts = []
-    for j in range(len(prefixes)):
-        idf = F.log((F.col("_all.n") - F.col(f"_all.df{j}") + 0.5) / (F.col(f"_all.df{j}") + 0.5))
-        idf = F.when(idf > 0, idf).otherwise(1e-6)
-        norm = K1 * (1 - B + B * F.col("_size") / (F.col("_all.size") / F.col("_all.n")))
-        parts.append(F.when(F.col(f"_f{j}") > 0, idf * F.col(f"_f{j}") * (K1 + 1) / (F.col(f"_f{j}") + norm)).otherwise(0.0))
+    counts = Observation()
+    d = d.observe(counts, F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size"), *[F.count_if(f"_h{j}").alias(f"df{j}") for j in range(len(prefixes))])
+    kept = list(keep or rows.columns)
     found = d.filter(reduce(lambda a, b: a | b, [F.col(f"_h{j}") for j in range(len(prefixes))]))
-    return found.withColumn("score", reduce(add, parts)).select(*rows.columns, "score")
+    found = cut(found.select(*kept, "_size", *tf))
+    got = counts.get
+    n, mean = got["n"], (got["size"] or 0) / max(1, got["n"])
+    parts = [F.when(F.col(f"_f{j}") > 0, F.lit(idf(n, got[f"df{j}"])) * saturated(F.col(f"_f{j}"), F.col("_size"), mean)).otherwise(0.0) for j in range(len(prefixes))]
+    return found.withColumn("score", reduce(add, parts)).select(*kept, "score")
+
+
+def idf(n: int, df: int) -> float:
+    """Weight of a term that df of n rows have."""
+    value = log((n - df + 0.5) / (df + 0.5))
+    return value if value > 0 else LEAST_IDF
+
+
+def saturated(tf: Column, size: Column, mean: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / F.lit(mean or 1.0)))
 
 
 def like_score(query: str) -> Column:
@@ -86,52 +96,113 @@ def bonus(query: str) -> Column:
     return kind + seen + fits
 
 
-def search(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
+RANKED = ("id", "kind", "name", "qualified_name", "visibility", "is_exported")
+
+
+def search(nodes: DataFrame, query: str, limit: int = 10, index: Postings | None = None) -> DataFrame:
     """id, tier, score, rank of the best nodes.
 
     A tier only counts while the ones before have found fewer than limit nodes; each
-    is at most some hundred rows, so it is computed once and kept.
+    is a top-k report of some hundred rows at most.  With an index the first tier reads
+    the rows of the query's tokens instead of all nodes.
     """
-    columns = [F.col(c) for c in ("id", "kind", "name", "qualified_name", "visibility", "is_exported")]
-    found = nodes.sparkSession.range(1).select(terms(F.lit(query))).first()[0]
+    columns = [F.col(c) for c in RANKED]
+    spark = nodes.sparkSession
+    found = spark.range(1).select(terms(F.lit(query))).first()[0]
     if not found:
         return nodes.select("id", F.lit(0).alias("tier"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     nodes = nodes if "is_exported" in nodes.columns else nodes.withColumn("is_exported", F.lit(False))
-    first = bm25(nodes, found, SEARCH_WEIGHTS).orderBy(F.desc("score"), "id").limit(max(5 * limit, 100)).select(*columns, "score", F.lit(1).alias("tier"))
-    first = cut(first)
-    second = like_tier(nodes, query).join(first.select("id"), "id", "left_anti").orderBy(F.desc("score"), F.length("name"), "id").limit(3 * limit)
-    second = second.select(*columns, "score", F.lit(2).alias("tier")).filter(first.agg(F.count("*") < limit).scalar())
-    two = cut(first.unionByName(second))
-    third = fuzzy_tier(nodes, query, max(2 * limit, 50)).join(two.select("id"), "id", "left_anti")
-    third = third.select(*columns, "score", F.lit(3).alias("tier")).filter(two.agg(F.count("*") < limit).scalar() & F.lit(len(query) >= 3))
-    ranked = two.unionByName(third).withColumn("score", F.col("score") + bonus(query)).orderBy(F.desc("score"), "tier", "id").limit(limit)
-    return ranked.select("id", "tier", "score", F.row_number().over(Window.orderBy(F.desc("score"), "tier", "id")).alias("rank"))
+    most = max(5 * limit, 100)
+    if index:
+        top = index.bm25(found).orderBy(F.desc(F.round("score", 9)), "id").limit(most).collect()
+        hits = spark.createDataFrame([(r["id"], r["score"]) for r in top], "id string, score double")
+        first = nodes.join(F.broadcast(hits), "id")
+    else:
+        first = bm25(nodes, found, SEARCH_WEIGHTS, RANKED).orderBy(F.desc(F.round("score", 9)), "id").limit(most)
+    tiers = first.select(*columns, "score", F.lit(1).alias("tier")).collect()
+    kinds = "id string, kind string, name string, qualified_name string, visibility string, is_exported boolean, score double, tier int"
+    if len(tiers) < limit:
+        seen = [r["id"] for r in tiers]
+        second = like_tier(nodes.filter(~F.col("id").isin(seen)) if seen else nodes, query).orderBy(F.desc("score"), F.length("name"), "id").limit(3 * limit)
+        tiers += second.select(*columns, "score", F.lit(2).alias("tier")).collect()
+    if len(tiers) < limit and len(query) >= 3:
+        seen = [r["id"] for r in tiers]
+        third = fuzzy_tier(nodes, query, max(2 * limit, 50))
+        tiers += third.filter(~F.col("id").isin(seen) if seen else F.lit(True)).select(*columns, "score", F.lit(3).alias("tier")).collect()
+    ranked = spark.createDataFrame(tiers, kinds).withColumn("score", F.col("score") + bonus(query))
+    rank = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "tier", "id"))  # over the tiers' few rows
+    return ranked.withColumn("rank", rank).filter(F.col("rank") <= limit).select("id", "tier", "score", "rank")
+
+
+def postings(rows: DataFrame, weights: dict[str, float], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
+    """token, id, tf (weighted), size (tokens of the row) and the columns to keep: the inverted index of the columns."""
+    d = rows.select(id_col, *keep, F.concat(*(weighted(c, w) for c, w in weights.items())).alias("_t"))
+    d = d.select(id_col, *keep, F.size("_t").alias("size"), F.explode("_t").alias("_x")).select(id_col, *keep, "size", "_x.token", "_x.w")
+    return d.groupBy("token", id_col, "size", *keep).agg(F.sum("w").alias("tf"))
+
+
+def weighted(column: str, weight: float) -> Column:
+    return F.transform(tokens(F.col(column)), lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("w")))
+
+
+class Postings:
+    """A stored inverted index: rows sorted by token, so that a prefix reads the row groups that hold it.
+
+    Tokens are ranges of files, and a token that many rows have is cut by ids too.  The
+    number of rows and of tokens is stored beside them, so a query reads nothing else.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.table = spark.read.parquet(f"{path}/postings")
+        stats = spark.read.parquet(f"{path}/stats").first()
+        self.n, self.mean = stats["n"], (stats["size"] or 0) / max(1, stats["n"])
+
+    @staticmethod
+    def write(rows: DataFrame, path: str, weights: dict[str, float], id_col: str = "id", keep: Sequence[str] = ()) -> None:
+        found = postings(rows, weights, id_col, keep).withColumnRenamed(id_col, "id")
+        found.repartitionByRange("token", "id").sortWithinPartitions("token", "id").write.mode("overwrite").option("parquet.block.size", 8 << 20).parquet(f"{path}/postings")
+        size = reduce(add, [F.size(tokens(F.col(c))) for c in weights])
+        rows.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("size")).write.mode("overwrite").parquet(f"{path}/stats")
+
+    def bm25(self, prefixes: Sequence[str]) -> DataFrame:
+        """id, score of the rows with a token that begins with one of the prefixes."""
+        begins = reduce(lambda a, b: a | b, [F.col("token").startswith(p) for p in prefixes])
+        which = F.filter(F.array(*[F.when(F.col("token").startswith(p), F.lit(p)) for p in prefixes]), lambda x: x.isNotNull())
+        hit = self.table.filter(begins).select("id", "size", "tf", F.explode(which).alias("prefix")).groupBy("id", "size", "prefix").agg(F.sum("tf").alias("tf"))
+        df = hit.groupBy("prefix").agg(F.count("*").alias("df"))  # as many rows as the query has prefixes
+        value = F.log((F.lit(self.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        value = F.when(value > 0, value).otherwise(LEAST_IDF)
+        part = F.when(F.col("tf") > 0, value * saturated(F.col("tf"), F.col("size"), self.mean)).otherwise(0.0)
+        return hit.join(F.broadcast(df), "prefix").groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def postings(rows: DataFrame, weights: dict[str, float], id_col: str = "id") -> DataFrame:
-    """token, id, tf (weighted): the inverted index of the columns."""
-    parts = [rows.select(id_col, F.explode(tokens(F.col(c))).alias("token"), F.lit(w).alias("w")) for c, w in weights.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("token", id_col).agg(F.sum("w").alias("tf"))
+#: Letters of a prefix that a join of many queries goes by, and the shortest prefix that it finds.
+HEAD = 3
 
 
 def bm25_batch(rows: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 10, id_col: str = "id") -> DataFrame:
     """q, id, score, rank: the k best rows for each of many queries (q, term).
 
-    Terms meet tokens by their first three characters (all terms have as many), so
-    that the prefix condition rides on an equi-join.
+    Rows are tokenised once.  The corpus has few distinct tokens beside its postings, so
+    the terms first meet those, by their first letters (a term of fewer letters than
+    HEAD by all of its letters), and each posting then meets its own token only.
     """
-    post = postings(rows, weights, id_col).withColumn("head", F.substring("token", 1, 3))
-    length = reduce(add, [F.size(tokens(F.col(c))) for c in weights])
-    sizes = rows.select(id_col, length.alias("size"))
-    total = sizes.agg(F.struct(F.count("*").alias("n"), F.avg("size").alias("mean"))).scalar()
-    words = queries.select("term").distinct().withColumn("head", F.substring("term", 1, 3))
-    hit = post.join(words, "head").filter(F.col("token").startswith(F.col("term")))
-    tf = hit.groupBy("term", id_col).agg(F.sum("tf").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((F.col("all.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = K1 * (1 - B + B * F.col("size") / F.col("all.mean"))
-    part = F.when(idf > 0, idf).otherwise(1e-6) * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
-    scored = tf.join(df, "term").join(sizes, id_col).withColumn("all", total).select("term", id_col, part.alias("part"))
+    post = cut(postings(rows, weights, id_col))
+    sizes = post.groupBy(id_col).agg(F.first("size").alias("size"))  # rows without tokens add nothing
+    n = rows.count()
+    mean = (sizes.agg(F.sum("size")).first()[0] or 0) / max(1, n)
+    words = queries.select("term").distinct()
+    lengths = list(range(1, HEAD + 1))
+    key = lambda c, i: F.substring(c, 1, i)
+    vocabulary = post.select("token").distinct()
+    heads = reduce(DataFrame.unionByName, [vocabulary.filter(F.length("token") >= i).select("token", key("token", i).alias("head")) for i in lengths])
+    pairs = heads.join(words.withColumn("head", key("term", HEAD)), "head").filter(F.col("token").startswith(F.col("term"))).select("token", "term")
+    hit = post.join(pairs, "token").groupBy("term", id_col, "size").agg(F.sum("tf").alias("tf"))
+    hit = cut(hit)
+    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    value = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = F.when(value > 0, value).otherwise(LEAST_IDF) * saturated(F.col("tf"), F.col("size"), mean)
+    scored = hit.join(df, "term").select("term", id_col, part.alias("part"))
     per = queries.join(scored, "term").groupBy("q", id_col).agg(F.sum("part").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), id_col))
     return per.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -6,6 +6,7 @@ text tables directly.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,9 +14,9 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import text as T
 from symgraph.operators import context, graph, lookup, resolve, search, stats
-from symgraph.schema import EDGE_WEIGHTS, OTHER_WEIGHT
+from symgraph.schema import EDGE_WEIGHTS, KIND_BONUS, OTHER_WEIGHT
 from symgraph.sources import star
-from symgraph.sources.shared import cut
+from symgraph.sources.shared import cut, shared_dir, spread
 from symgraph.streaming import sync
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,7 +36,7 @@ def query(sql: str | None = None, views: bool = True):
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -355,7 +356,7 @@ DOC_WEIGHTS = {"source": 5.0, "text": 1.0}
 
 @query(bm25_sql("documents", "doc_id", DOC_WEIGHTS, ["threw", "nation", "keit"], 100))
 def bm25_documents(spark, sf_dir):
-    d = search.bm25(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["threw", "nation", "keit"], DOC_WEIGHTS)
+    d = search.bm25(read(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["threw", "nation", "keit"], DOC_WEIGHTS, ["doc_id"])
     return d.select(F.col("doc_id").alias("id"), F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(100)
 
 
@@ -364,7 +365,7 @@ NODE_WEIGHTS = {"id": 0.0, "name": 20.0, "qualified_name": 5.0, "docstring": 1.0
 
 @query(bm25_sql("gnodes", "id", NODE_WEIGHTS, ["nation", "urgent", "building"], 200))
 def bm25_nodes_weighted(spark, sf_dir):
-    d = search.bm25(star.nodes(spark, sf_dir), ["nation", "urgent", "building"], NODE_WEIGHTS)
+    d = search.bm25(star.nodes(spark, sf_dir), ["nation", "urgent", "building"], NODE_WEIGHTS, ["id"])
     return d.select("id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "id").limit(200)
 
 
@@ -409,10 +410,50 @@ def fuzzy_tier(spark, sf_dir):
     return search.fuzzy_tier(star.nodes(spark, sf_dir), "Customer#000000012").select("id", "name", "distance", "score")
 
 
-@query()
+#: Where this session has stored the search index of a folder of tables.
+STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the nodes and their postings, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in STORED:
+        path = f"{shared_dir(spark)}/symgraph/search-{uuid.uuid4().hex}"
+        star.nodes(spark, sf_dir).repartitionByRange("id").sortWithinPartitions("id").write.parquet(f"{path}/nodes")
+        search.Postings.write(spark.read.parquet(f"{path}/nodes"), path, NODE_WEIGHTS, keep=("file_path",))
+        STORED[key] = path
+    return STORED[key]
+
+
+@query(
+    f"""AND_ t AS (SELECT id, unnest({" || ".join(f"regexp_extract_all({FOLD.format(c)}, '[\\p{{L}}\\p{{N}}]+')" for c in NODE_WEIGHTS)}) AS token FROM gnodes)
+    SELECT (SELECT count(*) FROM gnodes)::BIGINT AS nodes, count(*)::BIGINT AS tokens, count(DISTINCT token)::BIGINT AS different, count(DISTINCT concat(token, ' ', id))::BIGINT AS postings FROM t"""
+)
+def search_index(spark, sf_dir):
+    """What the stored index of all nodes holds."""
+    index = search.Postings(spark, stored(spark, sf_dir))
+    total = spark.read.parquet(f"{stored(spark, sf_dir)}/stats").select(F.col("n").alias("nodes"), F.col("size").alias("tokens"))
+    return total.withColumns({"different": index.table.agg(F.count_distinct("token")).scalar(), "postings": index.table.agg(F.count("*")).scalar()})
+
+
+RANKED_QUERY, RANKED_TERMS = "Nation_1 urgent building", ["build", "builde", "building", "nat", "nation", "urgent"]
+KIND_SQL = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in KIND_BONUS.items()) + " ELSE 0 END"
+Q_SQL = f"'{RANKED_QUERY.lower()}'"
+RANKED_SQL = (
+    bm25_sql("gnodes", "id", NODE_WEIGHTS, RANKED_TERMS, 100).replace("SELECT id, round(", ", b AS (SELECT id, (", 1).replace(", 6) AS score FROM ff, st", ") AS score FROM ff, st", 1).replace("ORDER BY score DESC, id LIMIT 100", "ORDER BY round(score, 9) DESC, id LIMIT 100)", 1)
+    + f""", r AS (SELECT b.id, b.score + {KIND_SQL} + (CASE WHEN visibility = 'private' THEN -3 ELSE 0 END)
+        + (CASE WHEN lower(name) = {Q_SQL} THEN 80 WHEN starts_with(lower(name), {Q_SQL}) THEN round_even(10 + 30.0 * length({Q_SQL}) / length(name), 0) WHEN contains(lower(name), {Q_SQL}) THEN 10 ELSE 0 END) AS score
+        FROM b JOIN gnodes USING (id))
+    SELECT id, 1::INT AS tier, round(score, 6)::DOUBLE AS score, rank::INT AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM r) WHERE rank <= 10"""
+)
+
+
+@query(RANKED_SQL)
 def search_ranked(spark, sf_dir):
-    """Top-k report: the ten best nodes for one query, over all tiers."""
-    return search.search(star.nodes(spark, sf_dir), "Nation_1 urgent building")
+    """Top-k report: the ten best nodes for one query, over all tiers, from the stored index."""
+    path = stored(spark, sf_dir)
+    found = search.search(spark.read.parquet(f"{path}/nodes"), RANKED_QUERY, index=search.Postings(spark, path))
+    return found.select("id", "tier", F.round("score", 6).alias("score"), "rank")
 
 
 @query()
