@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.schema import SNIPPET_KINDS
+from symgraph.sources.shared import cut
 
 MAX_OVERLAP = 0.6
 
@@ -42,40 +43,58 @@ def snippets(ranked: DataFrame, files: DataFrame, max_lines: int = 10, max_chars
     return d.select("query", "id", "name", "file_path", "score", "from_line", to.alias("to_line"), code.alias("code"), F.greatest(F.lit(1), F.floor(F.length(code) / 4)).cast("int").alias("tokens"))
 
 
-CHOSEN = "query string, id string, name string, file_path string, score double, from_line int, to_line int, code string, tokens int, pos int"
+def without_overlaps(found: DataFrame) -> DataFrame:
+    """Snippets that overlap no better one of their query and file that stays itself.
+
+    A group is what one query finds in one file; a snippet is compared with those that
+    cover one of its lines, so a group takes time in proportion to its lines.
+    """
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        covering: dict[int, list[tuple[int, int]]] = {}
+        stays = []
+        for i, (first, last) in enumerate(zip(rows["from_line"].tolist(), rows["to_line"].tolist(), strict=True)):
+            near = {span for line in range(first, last + 1) for span in covering.get(line, ())}
+            if not any((n := min(last - first, b - a)) > 0 and (min(last, b) - max(first, a)) / n >= MAX_OVERLAP for a, b in near):
+                stays.append(i)
+                for line in range(first, last + 1):
+                    covering.setdefault(line, []).append((first, last))
+        return rows.iloc[stays]
+
+    return found.groupBy("query", "file_path").applyInPandas(keep, found.schema)
 
 
 def select(found: DataFrame, max_tokens: int = 1200, max_snippets: int = 3, per_file: int = 1) -> DataFrame:
-    """The snippets of each query that fit, best first.
+    """The snippets of each query that fit, best first, with their place (pos).
 
     One that overlaps a better one of its file is left out; a full file is passed
-    over; the first snippet beyond the budget ends the choice.  Groups are the few
-    ranked symbols of one query.
+    over; the first snippet beyond the budget ends the choice, also one of a full file.
+    So what is chosen are the first of each file up to the first that does not fit.  The
+    few candidates of a query are ranked first; all other snippets only ask whether they
+    end the choice, so no query's snippets are gathered.
     """
-
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["score", "id"], ascending=[False, True], kind="stable")
-        kept: list = []
-        for r in rows.itertuples(index=False):
-            def clash(k) -> bool:
-                shorter = min(r.to_line - r.from_line, k.to_line - k.from_line)
-                shared = min(r.to_line, k.to_line) - max(r.from_line, k.from_line)
-                return k.file_path == r.file_path and shorter > 0 and shared / shorter >= MAX_OVERLAP
-
-            if not any(clash(k) for k in kept):
-                kept.append(r)
-        out, used, files = [], 0, {}
-        for r in kept:
-            if len(out) >= max_snippets or used + r.tokens > max_tokens:
-                break
-            if files.get(r.file_path, 0) >= per_file:
-                continue
-            files[r.file_path] = files.get(r.file_path, 0) + 1
-            used += r.tokens
-            out.append((*r, len(out) + 1))
-        return pd.DataFrame(out, columns=[*rows.columns, "pos"])
-
-    return found.groupBy("query").applyInPandas(choose, CHOSEN)
+    kept = cut(without_overlaps(found))
+    order = F.struct((-F.col("score")).alias("s"), F.col("id").alias("i"))
+    in_file = Window.partitionBy("query", "file_path").orderBy(F.desc("score"), "id")
+    ranked = kept.withColumns({"_o": order, "_f": F.row_number().over(in_file)})
+    place = Window.partitionBy("query").orderBy("_o")
+    best = ranked.filter(F.col("_f") <= per_file).withColumn("pos", F.row_number().over(place)).filter(F.col("pos") <= max_snippets)
+    best = best.withColumn("_before", F.coalesce(F.sum("tokens").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    lists = best.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "_o", "tokens"))).alias("_list"))  # max_snippets entries
+    # What stands before a snippet of a full file is what was chosen before it.
+    passed = ranked.filter(F.col("_f") > per_file).select("query", "_o", "tokens").join(lists, "query")
+    ahead = F.filter("_list", lambda x: x["_o"] < F.col("_o"))
+    ends = (F.size(ahead) < max_snippets) & (F.aggregate(ahead, F.lit(0).cast("long"), lambda a, x: a + x["tokens"]) + F.col("tokens") > max_tokens)
+    stops = passed.filter(ends).select("query", "_o").unionByName(best.filter(F.col("_before") + F.col("tokens") > max_tokens).select("query", "_o"))
+    first = stops.groupBy("query").agg(F.min("_o").alias("_stop"))
+    out = best.join(first, "query", "left").filter(F.col("_stop").isNull() | (F.col("_o") < F.col("_stop")))
+    return out.select(*found.columns, F.col("pos").cast("int").alias("pos"))
+
+
+def relevance(score: Column) -> Column:
+    """Two decimals; exact halves (odd eighths) go to the even digit."""
+    return F.when((score * 8) % 2 == 1, F.format_string("%.2f", F.bround(score, 2))).otherwise(F.format_string("%.2f", score))
 
 
 def as_xml(chosen: DataFrame) -> DataFrame:
@@ -88,7 +107,7 @@ def as_xml(chosen: DataFrame) -> DataFrame:
 
     item = F.concat(
         F.lit('<snippet file="'), escaped(F.col("file_path")), F.lit('" lines="'), F.concat_ws("-", "from_line", "to_line"), F.lit('" relevance="'),
-        F.format_string("%.2f", "score"), F.lit('" source="bm25">\n'), escaped(F.col("code")), F.lit("\n</snippet>"),
+        relevance(F.col("score")), F.lit('" source="bm25">\n'), escaped(F.col("code")), F.lit("\n</snippet>"),
     )
     parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", item.alias("x")))), lambda s: s["x"]), "\n")
     return chosen.groupBy("query").agg(parts.alias("body")).select(

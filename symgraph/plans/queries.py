@@ -507,13 +507,31 @@ def snippet_window(spark, sf_dir):
     return context.snippets(ranked, files).select("id", "from_line", "to_line")
 
 
-@query()
+CONTEXT_SQL = """WITH d AS (SELECT doc_id, source AS query, string_split(text, chr(10)) AS lines FROM documents),
+    s AS (SELECT doc_id, query, lines, generate_subscripts(lines, 1) - 1 AS p, unnest(lines) AS line FROM d),
+    w AS (SELECT query, doc_id, p, concat(doc_id, ':', p) AS id, CAST(doc_id AS VARCHAR) AS file_path, 1.0::DOUBLE / (1 + p) AS score, (p + 1)::INT AS from_line, least(len(lines), p + 2)::INT AS to_line,
+          CASE WHEN length(lines[p + 1]) + 1 > 600 THEN '' WHEN len(lines) < p + 2 OR length(lines[p + 1]) + length(lines[p + 2]) + 2 > 600 THEN lines[p + 1] ELSE concat(lines[p + 1], chr(10), lines[p + 2]) END AS code
+          FROM s WHERE contains(lower(line), 'tionly')),
+    t AS (SELECT *, greatest(1, length(code) // 4)::INT AS tokens, row_number() OVER (PARTITION BY query, file_path ORDER BY score DESC, id) = 1 AS takes FROM w),
+    u AS (SELECT *, coalesce(sum(CASE WHEN takes THEN tokens ELSE 0 END) OVER e, 0) AS used, coalesce(sum(CASE WHEN takes THEN 1 ELSE 0 END) OVER e, 0) AS n FROM t
+          WINDOW e AS (PARTITION BY query ORDER BY score DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    v AS (SELECT *, sum(CASE WHEN used + tokens > 1200 OR n >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY query ORDER BY score DESC, id ROWS UNBOUNDED PRECEDING) AS stopped FROM u),
+    x AS (SELECT *, (n + 1)::INT AS pos FROM v WHERE takes AND stopped = 0)"""
+XML_SQL = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(CONTEXT_SQL + " SELECT query, id, pos, tokens, from_line, to_line FROM x", views=False)
 def context_select(spark, sf_dir):
     files, ranked = ranked_lines(spark, sf_dir)
     return context.select(context.snippets(ranked, files)).select("query", "id", "pos", "tokens", "from_line", "to_line")
 
 
-@query()
+@query(
+    CONTEXT_SQL
+    + f""" SELECT query, concat('<code_context query="', {XML_SQL("query")}, '">', chr(10), string_agg(concat('<snippet file="', {XML_SQL("file_path")}, '" lines="', from_line, '-', to_line, '" relevance="', printf('%.2f', score),
+    '" source="bm25">', chr(10), {XML_SQL("code")}, chr(10), '</snippet>'), chr(10) ORDER BY pos), chr(10), '</code_context>') AS xml FROM x GROUP BY query""",
+    views=False,
+)
 def context_xml(spark, sf_dir):
     files, ranked = ranked_lines(spark, sf_dir)
     return context.as_xml(context.select(context.snippets(ranked, files)))

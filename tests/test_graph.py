@@ -257,3 +257,34 @@ def test_index(spark, tmp_path):
     assert i.search("caller").first()["name"] == "caller"
     assert "def caller" in i.context("caller").first().xml
     assert i.status().first().files == 2
+
+
+def plain_choice(rows, max_tokens, max_snippets, per_file):
+    """Snippets in their order, one after the other: overlaps first, then the budget."""
+    kept = []
+    for r in sorted(rows, key=lambda r: (-r[4], r[1])):
+        spans = [(k[5], k[6]) for k in kept if k[3] == r[3]]
+        if not any((n := min(b - a, r[6] - r[5])) > 0 and (min(b, r[6]) - max(a, r[5])) / n >= 0.6 for a, b in spans):
+            kept.append(r)
+    out, used, files = [], 0, {}
+    for r in kept:
+        if used + r[8] > max_tokens or len(out) >= max_snippets:
+            break
+        if files.get(r[3], 0) < per_file:
+            files[r[3]] = files.get(r[3], 0) + 1
+            out.append(r)
+            used += r[8]
+    return {(r[0], r[1], i + 1) for i, r in enumerate(out)}
+
+
+def test_choice_equals_plain(spark):
+    rng = random.Random(7)
+    rows = []
+    for q in range(40):
+        for i in range(rng.randint(1, 25)):
+            first = rng.randint(1, 12)
+            rows.append((f"q{q}", f"n{i:02}", "n", f"f{rng.randrange(4)}", rng.choice([0.1, 0.5, 0.9, rng.random()]), first, first + rng.randint(0, 5), "code", rng.choice([1, 30, 90, 400])))
+    found = spark.createDataFrame(rows, "query string, id string, name string, file_path string, score double, from_line int, to_line int, code string, tokens int")
+    for limits in ((400, 3, 1), (150, 5, 2), (90, 9, 9)):
+        want = set().union(*(plain_choice([r for r in rows if r[0] == f"q{q}"], *limits) for q in range(40)))
+        assert {(r["query"], r.id, r.pos) for r in context.select(found, *limits).collect()} == want
