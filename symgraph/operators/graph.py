@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.operators import lookup
 from symgraph.schema import DEPENDENCY_KINDS, DEPENDENT_KINDS, EDGE_WEIGHTS, OTHER_WEIGHT
 from symgraph.sources.shared import cut
 
@@ -74,18 +75,19 @@ def best_path_score(edges: DataFrame, roots: DataFrame, depth: int, direction: s
     return best.groupBy("root", "id").agg(F.max("score").alias("score"))
 
 
-WALK = "root string, id string, depth int, score double, path array<string>, open boolean"
+WALK = "root string, id string, depth int, score double, path array<string>, seq int, open boolean"
 
 
 def best_first(rows: pd.DataFrame, root: str, max_depth: int, max_nodes: int, min_score: float) -> pd.DataFrame:
-    """The walk from one root over adjacency lists: highest score first, then smallest id.
+    """One walk over adjacency lists from all of its starts: highest score first, then smallest id.
 
     A hub (without a list here) ends the walk when its turn comes; it is marked open.
+    seq is the order of discovery.
     """
     near = dict(zip(rows["near"], rows["out"], strict=True))
     hubs = set(rows.loc[rows["hub"], "near"])
-    found = {root: (0, 1.0, [])}
-    heap = [(-1.0, root)]
+    found = {x: (0, 1.0, []) for x in sorted(rows["starts"].iloc[0])}
+    heap = [(-1.0, x) for x in found]
     last = None
     while heap and len(found) < max_nodes and last is None:
         score, at = heapq.heappop(heap)
@@ -101,7 +103,7 @@ def best_first(rows: pd.DataFrame, root: str, max_depth: int, max_nodes: int, mi
             if far not in found:
                 found[far] = (depth + 1, score * w, [*path, step["edge_id"]])
                 heapq.heappush(heap, (-score * w, far))
-    return pd.DataFrame([(root, i, d, s, p, i == last) for i, (d, s, p) in found.items()], columns=["root", "id", "depth", "score", "path", "open"])
+    return pd.DataFrame([(root, i, d, s, p, n, i == last) for n, (i, (d, s, p)) in enumerate(found.items())], columns=["root", "id", "depth", "score", "path", "seq", "open"])
 
 
 def first_steps(edges: DataFrame, nodes: DataFrame, direction: str, kinds: Sequence[str], weights: dict[str, float] | None) -> DataFrame:
@@ -115,14 +117,19 @@ def traverse(
     edges: DataFrame, nodes: DataFrame, roots: DataFrame, max_depth: int = 3, max_nodes: int = 50, min_score: float = 0.01,
     direction: str = "forward", kinds: Sequence[str] = (), weights: dict[str, float] | None = None,
 ) -> DataFrame:
-    """root, id, depth, score, path of the best-first walk from each root that is a node.
-
-    A node keeps the score of its first discovery.  A walk ends once max_nodes are
-    found, so a node with that many neighbours (a hub) is the last that is expanded:
-    lists are gathered for other nodes only, hence short, and the neighbours of a hub
-    are joined to the finished walks.  Frontier joins find the lists within max_depth
-    steps, and go on from a node only if it, the root and the neighbours of both are
-    too few to end the walk.
+    """root, id, depth, score, path, seq of best-first walks.
+
+    roots: id, each the start of a walk of its own, or walk and id, where the starts of
+    a walk share one heap and one count of found nodes (root is the walk then).  Starts
+    that are no nodes are passed over.
+
+    A node keeps the score of its first discovery; seq is the order of discovery.  A walk
+    ends once max_nodes are found, so a node with that many neighbours (a hub) is the
+    last that is expanded: lists are gathered for other nodes only, hence short, and the
+    neighbours of a hub are joined to the finished walks.  Frontier joins find the lists
+    within max_depth steps, and go on from a node only if what is certainly found before
+    it (the starts, and the neighbours of an only start) and its own neighbours are too
+    few to end the walk.
     """
     steps = cut(first_steps(edges, nodes, direction, kinds, weights))
     degree = steps.groupBy("near").agg(F.count("*").alias("n"))
@@ -130,12 +137,15 @@ def traverse(
     hubs = degree.filter(F.col("n") >= max_nodes).select("near", F.lit(None).cast(short.schema["out"].dataType).alias("out"), F.lit(True).alias("hub"))
     lists = cut(short.withColumn("hub", F.lit(False)).unionByName(hubs))
 
-    start = roots.select("id").distinct().join(nodes.select("id"), "id", "left_semi")
-    front = start.join(lists, start["id"] == lists["near"], "left").select(F.col("id").alias("root"), F.col("id").alias("near"), "out", F.coalesce("hub", F.lit(False)).alias("hub"))
-    front = seen = cut(front.withColumn("base", F.array_union(F.array("root"), F.col("out.far"))))
+    walk_id = F.col("walk") if "walk" in roots.columns else F.col("id")
+    start = roots.select(walk_id.cast("string").alias("root"), "id").distinct().join(nodes.select("id"), "id", "left_semi")
+    starts = start.groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("starts"))
+    front = start.join(starts, "root").join(lists, start["id"] == lists["near"], "left").select("root", F.col("id").alias("near"), "out", F.coalesce("hub", F.lit(False)).alias("hub"), "starts")
+    sure = F.when(F.size("starts") == 1, F.array_union("starts", F.col("out.far"))).otherwise(F.col("starts"))
+    front = seen = cut(front.withColumn("base", F.coalesce(sure, F.col("starts"))))
     for _ in range(max(0, max_depth - 1)):
         around = F.array_union(F.array_union("base", F.array("near")), F.col("out.far"))
-        onward = front.filter(~F.col("hub") & (F.size(around) < max_nodes)).select("root", "base", F.explode("out.far").alias("near"))
+        onward = front.filter(~F.col("hub") & (F.size(around) < max_nodes)).select("root", "starts", "base", F.explode("out.far").alias("near"))
         onward = onward.dropDuplicates(["root", "near"]).join(seen.select("root", "near"), ["root", "near"], "left_anti")
         front = cut(onward.join(lists, "near").select(*seen.columns))
         seen = seen.unionByName(front)
@@ -145,8 +155,12 @@ def traverse(
 
     walked = cut(seen.drop("base").groupBy("root").applyInPandas(walk, WALK))
     ends = walked.filter("open").withColumnRenamed("id", "near").join(steps, "near")
-    ends = ends.select("root", F.col("far").alias("id"), (F.col("depth") + 1).alias("depth"), (F.col("score") * F.col("step.w")).alias("score"), F.array_append("path", F.col("step.edge_id")).alias("path"))
-    return walked.drop("open").unionByName(ends.join(walked.select("root", "id"), ["root", "id"], "left_anti").select(*walked.drop("open").columns))
+    ends = ends.select("root", F.col("far").alias("id"), (F.col("depth") + 1).alias("depth"), (F.col("score") * F.col("step.w")).alias("score"), F.array_append("path", F.col("step.edge_id")).alias("path"), "step")
+    more = ends.join(walked.select("root", "id"), ["root", "id"], "left_anti")
+    had = walked.groupBy("root").agg(F.count("*").alias("_had"))
+    nth = F.row_number().over(Window.partitionBy("root").orderBy("step"))
+    more = more.withColumn("_nth", nth).join(had, "root").withColumn("seq", (F.col("_had") + F.col("_nth") - 1).cast("int"))
+    return walked.drop("open").unionByName(more.select(*walked.drop("open").columns))
 
 
 def dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
@@ -182,6 +196,69 @@ def focus(edges: DataFrame, nodes: DataFrame, name_part: str, depth: int) -> Dat
     return seen.unionByName(ids.withColumn("hop", F.lit(0)).filter(none))
 
 
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, component: for each node the smallest id that it is connected with, over edges among the nodes.
+
+    Each round joins a node's neighbours to the smallest of them, first the larger ones,
+    then the smaller ones, until every node hangs on its component's smallest.
+    """
+    ids = nodes.select("id").distinct()
+    ends = edges.select(F.greatest("source_id", "target_id").alias("u"), F.least("source_id", "target_id").alias("v")).filter("u <> v")
+    ends = ends.join(ids.withColumnRenamed("id", "u"), "u", "left_semi").join(ids.withColumnRenamed("id", "v"), "v", "left_semi")
+    stars = cut(ends.select("u", "v").distinct())
+    while True:
+        both = stars.union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cut(large.union(least.filter("m < u").select("u", F.col("m").alias("v"))).distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = cut(small.union(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        rows, named = now.agg(F.count("*"), F.count_distinct("u")).first()
+        if rows == named and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break
+        stars = now
+    return ids.join(now.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
+
+
+def component_focus(edges: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, component of all nodes connected with any of the ids (column id)."""
+    all_ = cut(components(edges, nodes))
+    return all_.join(all_.join(ids.select("id").distinct(), "id", "left_semi").select("component").distinct(), "component", "left_semi").select("id", "component")
+
+
+def view(
+    nodes: DataFrame, edges: DataFrame, kinds: Sequence[str] = (), languages: Sequence[str] = (), globs: Sequence[str] = (), name_part: str = "", depth: int = 3, component: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph view: filters, then the focus on a name, then the edges among what is left.
+
+    The focus keeps what is within depth undirected steps of the nodes whose name holds
+    name_part, or their whole components; if no name matches, all nodes stay.
+    """
+    kept = lookup.filter_nodes(nodes, kinds, languages, globs)
+    if name_part:
+        inside = lookup.induced_edges(edges, kept)
+        seeds = lookup.filter_nodes(kept, name_part=name_part).select("id")
+        near = component_focus(inside, kept, seeds) if component and not seeds.isEmpty() else focus(inside, kept, name_part, depth)
+        kept = kept.join(near.select("id").distinct(), "id", "left_semi")
+    return kept, lookup.induced_edges(edges, kept)
+
+
+def explore(edges: DataFrame, nodes: DataFrame, results: DataFrame, entries: int = 5, depth: int = 2, max_nodes: int = 30) -> DataFrame:
+    """id, score, pos: ranked results (id, score, rank), then what walks from the first of them find, with score 0.
+
+    Walks are taken in the order of the entries, their nodes in the order of discovery,
+    until max_nodes nodes are there; all results stay.
+    """
+    own = cut(results.select("id", "score", "rank"))
+    walks = traverse(edges, nodes, own.filter(F.col("rank") <= entries).select("id"), depth, max_nodes)
+    more = walks.join(own.select(F.col("id").alias("root"), "rank"), "root").groupBy("id").agg(F.min(F.struct("rank", "seq")).alias("at"))
+    more = more.join(own.select("id"), "id", "left_anti").select("id", F.lit(0.0).alias("score"), F.lit(1).alias("part"), "at.rank", "at.seq")
+    every = own.select("id", "score", F.lit(0).alias("part"), "rank", F.lit(0).alias("seq")).unionByName(more)
+    pos = F.row_number().over(Window.orderBy("part", "rank", "seq", "id"))  # a report of the walks' few nodes
+    return every.withColumn("pos", pos).filter((F.col("part") == 0) | (F.col("pos") <= max_nodes)).select("id", "score", "pos")
+
+
 def relationship_map(edges: DataFrame, ranked: DataFrame, sources: int = 5, targets: int = 15, limit: int = 10) -> DataFrame:
     """source_id, target_id, kind between the first nodes of a ranking (id, rank)."""
     e = edges.join(ranked.filter(F.col("rank") <= sources).select(F.col("id").alias("source_id")), "source_id", "left_semi")

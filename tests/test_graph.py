@@ -60,8 +60,9 @@ def test_callers_and_ghosts(spark, tables):
     assert {(r.kind, r.n) for r in stats.by_kind(e).collect()} == {("contains", 3), ("calls", 1)}
 
 
-def plain_walk(edges, nodes, root, depth, cap, least):
-    found, heap = {root: (0, 1.0, [])}, [(-1.0, root)]
+def plain_walk(edges, nodes, root, depth, cap, least, starts=None):
+    found = {x: (0, 1.0, []) for x in sorted(starts or [root]) if x in nodes}
+    heap = [(-1.0, x) for x in found]
     while heap and len(found) < cap:
         _, at = heapq.heappop(heap)
         d, s, path = found[at]
@@ -71,7 +72,7 @@ def plain_walk(edges, nodes, root, depth, cap, least):
             if a == at and b in nodes and b not in found:
                 found[b] = (d + 1, s * EDGE_WEIGHTS.get(k, OTHER_WEIGHT), [*path, i])
                 heapq.heappush(heap, (-found[b][1], b))
-    return {(root, i, d, round(s, 9), tuple(p)) for i, (d, s, p) in found.items()}
+    return {(root, i, d, round(s, 9), tuple(p)) for i, (d, s, p) in found.items()} if starts is None else [(root, i, d, round(s, 9), tuple(p), n) for n, (i, (d, s, p)) in enumerate(found.items())]
 
 
 def test_traverse_random(spark):
@@ -288,3 +289,56 @@ def test_choice_equals_plain(spark):
     for limits in ((400, 3, 1), (150, 5, 2), (90, 9, 9)):
         want = set().union(*(plain_choice([r for r in rows if r[0] == f"q{q}"], *limits) for q in range(40)))
         assert {(r["query"], r.id, r.pos) for r in context.select(found, *limits).collect()} == want
+
+
+def test_walks_from_several_starts(spark):
+    rng = random.Random(8)
+    nodes = [f"v{i:02}" for i in range(30)]
+    edges = [(f"e{i:03}", rng.choice(nodes), rng.choice([*nodes, "ghost"]), rng.choice(["contains", "calls", "imports", "reads"]), 0) for i in range(110)]
+    edges += [(f"h{i:03}", "v03", rng.choice(nodes), "calls", 0) for i in range(40)]
+    n = spark.createDataFrame([(x,) for x in nodes], "id string")
+    e = spark.createDataFrame(edges, "id string, source_id string, target_id string, kind string, line int")
+    walks = {f"w{k}": rng.sample([*nodes, "none"], k) for k in (1, 2, 3, 7, 14)}
+    roots = spark.createDataFrame([(w, x) for w, xs in walks.items() for x in xs], "walk string, id string")
+    for depth, cap in ((3, 12), (1, 5), (4, 25)):
+        got = graph.traverse(e, n, roots, max_depth=depth, max_nodes=cap, min_score=0.2)
+        want = {t for w, xs in walks.items() for t in plain_walk(edges, set(nodes), w, depth, cap, 0.2, xs)}
+        assert {(r.root, r.id, r.depth, round(r.score, 9), tuple(r.path), r.seq) for r in got.collect()} == want
+
+
+def test_explore(spark):
+    rng = random.Random(9)
+    nodes = [f"v{i:02}" for i in range(40)]
+    edges = [(f"e{i:03}", rng.choice(nodes), rng.choice(nodes), rng.choice(["contains", "calls"]), 0) for i in range(90)]
+    n = spark.createDataFrame([(x,) for x in nodes], "id string")
+    e = spark.createDataFrame(edges, "id string, source_id string, target_id string, kind string, line int")
+    results = [(x, 9.0 - i, i + 1) for i, x in enumerate(rng.sample(nodes, 7))]
+    want = [(x, s) for x, s, _ in results]
+    for x, _, _ in results[:5]:
+        for _, i, *_ in plain_walk(edges, set(nodes), x, 2, 20, 0.01, [x]):
+            if i not in {y for y, _ in want} and len(want) < 20:
+                want.append((i, 0.0))
+    got = graph.explore(e, n, spark.createDataFrame(results, "id string, score double, rank int"), max_nodes=20)
+    assert [(r.id, r.score) for r in got.orderBy("pos").collect()] == want
+
+
+def test_components_and_views(spark, tables):
+    rng = random.Random(10)
+    for m in (0, 25, 60):
+        nodes = [f"v{i}" for i in range(50)]
+        edges = [(f"e{i}", rng.choice(nodes), rng.choice([*nodes, "ghost"]), "calls", 0) for i in range(m)] + [(f"c{i}", f"v{i}", f"v{i + 1}", "calls", 0) for i in range(30, 40)]
+        least = {x: x for x in nodes}
+        for _ in nodes:
+            for _, a, b, *_ in edges:
+                if b in least:
+                    least[a] = least[b] = min(least[a], least[b])
+        n = spark.createDataFrame([(x,) for x in nodes], "id string")
+        e = spark.createDataFrame(edges, "id string, source_id string, target_id string, kind string, line int")
+        assert {(r.id, r.component) for r in graph.components(e, n).collect()} == set(least.items())
+    n, e = tables
+    kept, among = graph.view(n, e, name_part="sign_in", depth=1)
+    assert ids(kept) == ["n1", "n2", "n5"] and ids(among) == ["e1", "e2", "e3"]
+    kept, among = graph.view(n, e, name_part="store", component=True)
+    assert ids(kept) == ["n3", "n4"] and ids(among) == ["e4"]
+    kept, _ = graph.view(n, e, kinds=["function"], name_part="nothing", component=True)
+    assert ids(kept) == ["n1", "n2"]
