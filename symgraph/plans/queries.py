@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions import text as T
-from symgraph.operators import context, graph, lookup, resolve, search, stats
+from symgraph.operators import context, graph, imports, lookup, resolve, search, stats, typing
 from symgraph.schema import EDGE_WEIGHTS, KIND_BONUS, OTHER_WEIGHT
 from symgraph.sources import star
 from symgraph.sources.shared import cut, shared_dir, spread
@@ -671,3 +671,82 @@ def retrieval_figures(spark, sf_dir):
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("id"), "o_totalprice", "o_orderstatus")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("o_totalprice"), "id"))
     return stats.retrieval(o.withColumn("rank", rank).filter("rank <= 3").select("query", "id", "rank"), o.filter("o_orderstatus = 'F'"))
+
+
+# Walks from several starts, components, types and imports
+
+
+@query(
+    """AND_ s AS (SELECT split_part(file_path, '/', 1) AS root, id FROM gnodes WHERE kind = 'file')
+    SELECT root, id, 0 AS depth, 1.0::DOUBLE AS score FROM s
+    UNION ALL SELECT root, target_id, 1, 1.0::DOUBLE FROM s JOIN gedges e ON e.source_id = s.id WHERE e.kind = 'contains'"""
+)
+def walk_of_regions(spark, sf_dir):
+    """One walk a region, from all of its nations; nobody is contained twice, so nothing ends it early."""
+    n, e = both(spark, sf_dir)
+    starts = n.filter("kind = 'file'").select(F.substring_index("file_path", "/", 1).alias("walk"), "id")
+    return graph.traverse(e, n, starts, max_depth=1, max_nodes=1 << 30, kinds=["contains"]).select("root", "id", "depth", "score")
+
+
+ONE_STEP_SQL = """AND_ h AS (SELECT e.target_id AS root, e.source_id AS id, e.kind, e.id AS edge, row_number() OVER (PARTITION BY e.target_id, e.source_id ORDER BY e.id) AS nth
+      FROM gedges e JOIN gnodes t ON t.id = e.target_id JOIN gnodes s ON s.id = e.source_id WHERE t.kind IN ('interface', 'struct') AND e.kind IN ('calls', 'imports', 'extends', 'references'))
+    SELECT id AS root, id, 0 AS depth, 1.0::DOUBLE AS score FROM gnodes WHERE kind IN ('interface', 'struct')
+    UNION ALL SELECT root, id, 1, (CASE kind WHEN 'calls' THEN 0.9 WHEN 'imports' THEN 0.8 WHEN 'extends' THEN 0.95 ELSE 0.5 END)::DOUBLE FROM h WHERE nth = 1"""
+
+
+@query(ONE_STEP_SQL)
+def dependents_one_step(spark, sf_dir):
+    n, e = both(spark, sf_dir)
+    return graph.dependents(e, n, n.filter("kind IN ('interface', 'struct')"), 1).select("root", "id", "depth", F.round("score", 6).alias("score"))
+
+
+@query(
+    """AND_ n AS (SELECT id FROM gnodes WHERE kind IN ('class', 'function')),
+    b AS (SELECT source_id AS a, target_id AS b FROM gedges WHERE kind = 'calls' UNION SELECT target_id, source_id FROM gedges WHERE kind = 'calls'),
+    t AS (WITH RECURSIVE w(id, other) AS (SELECT id, id FROM n UNION SELECT w.id, b.b FROM w JOIN b ON b.a = w.other) SELECT * FROM w)
+    SELECT id, min(other) AS component FROM t GROUP BY id"""
+)
+def components(spark, sf_dir):
+    n, e = both(spark, sf_dir)
+    return graph.components(e.filter("kind = 'calls'"), n.filter("kind IN ('class', 'function')"))
+
+
+@query(
+    """AND_ n AS (SELECT id, lower(name) AS name FROM gnodes WHERE kind IN ('class', 'function')),
+    e AS (SELECT * FROM gedges WHERE source_id IN (SELECT id FROM n) AND target_id IN (SELECT id FROM n)),
+    b AS (SELECT source_id AS a, target_id AS b FROM e UNION SELECT target_id, source_id FROM e),
+    t AS (WITH RECURSIVE w(id) AS (SELECT id FROM n WHERE contains(name, '#00000001') UNION SELECT b.b FROM w JOIN b ON b.a = w.id) SELECT * FROM w)
+    SELECT 'node' AS item, id FROM t UNION ALL SELECT 'edge', id FROM e WHERE source_id IN (SELECT id FROM t) AND target_id IN (SELECT id FROM t)"""
+)
+def component_view(spark, sf_dir):
+    n, e = both(spark, sf_dir)
+    kept, among = graph.view(n, e, kinds=["class", "function"], name_part="#00000001", component=True)
+    return kept.select(F.lit("node").alias("item"), "id").unionByName(among.select(F.lit("edge").alias("item"), "id"))
+
+
+@query(
+    """AND_ t AS (WITH RECURSIVE w(id, value) AS (SELECT id, file_path FROM gnodes WHERE kind IN ('class', 'struct')
+      UNION SELECT e.target_id, w.value FROM w JOIN gedges e ON e.source_id = w.id WHERE e.kind IN ('calls', 'references', 'exports')) SELECT * FROM w)
+    SELECT id, count(*) AS n, min(value) AS first FROM t GROUP BY id"""
+)
+def type_candidates(spark, sf_dir):
+    """Which nations reach a node along calls, references and exports: all are its candidates."""
+    n, e = both(spark, sf_dir)
+    facts = n.filter("kind IN ('class', 'struct')").select(F.col("id").alias("key"), F.col("file_path").alias("value"))
+    flows = e.filter("kind IN ('calls', 'references', 'exports')").select(F.col("source_id").alias("source"), F.col("target_id").alias("target"))
+    return typing.spread(facts, flows).groupBy(F.col("key").alias("id")).agg(F.count("*").alias("n"), F.min("value").alias("first"))
+
+
+@query(
+    """AND_ o AS (SELECT id, CAST(substr(id, 3) AS BIGINT) AS k, file_path FROM gnodes WHERE kind = 'function'), f AS (SELECT file_path, min(id) AS file_id FROM gnodes WHERE kind = 'file' GROUP BY file_path)
+    SELECT o.id, 'this' AS alias, o.id AS target_id FROM o
+    UNION ALL SELECT o.id, concat('order_', o.k + 1), coalesce(p.id, file_id) FROM o JOIN f USING (file_path) LEFT JOIN o p ON p.k = o.k + 1 AND p.file_path = o.file_path"""
+)
+def import_bindings(spark, sf_dir):
+    """Each order as a statement that imports itself and the next one from its nation; orders of other nations fall back to the file."""
+    n = star.nodes(spark, sf_dir).withColumn("file_path", F.concat(F.lit("/"), F.replace("file_path", F.lit(" "), F.lit("_")), F.lit(".py")))
+    number = F.substring("id", 3, 20).cast("long")
+    module = F.regexp_replace(F.replace(F.regexp_replace("file_path", r"^/", ""), F.lit("/"), F.lit(".")), r"\.py$", "")
+    text = F.concat(F.lit("from "), module, F.lit(" import (order_"), number, F.lit(" as this,\n  order_"), number + 1, F.lit(")"))
+    statements = n.filter("kind = 'function'").select("id", F.lit("python").alias("language"), text.alias("text"), F.lit("/main.py").alias("source_file"))
+    return imports.bindings(statements, n, "/").select("id", "alias", "target_id")
