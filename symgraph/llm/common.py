@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from symgraph.sources.shared import spread
+
 #: Words are runs of anything but ASCII white space (Java and RE2 syntax).
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,7 +22,8 @@ BROADCAST_ROWS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the folder, dealt over all cores if it has fewer files than there are cores: a file may be one task."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def tuned(spark: SparkSession) -> SparkSession:
