@@ -23,7 +23,7 @@ def imported(nodes: DataFrame, edges: DataFrame, root: str) -> DataFrame:
     """file_id, edge_id, line, name, alias, target_id: the node of each name that a file imports."""
     files = nodes.filter("kind = 'file'").select(F.col("id").alias("file_id"), "file_path")
     n = nodes.select(F.col("id").alias("source_id"), "file_path", "language")
-    statements = edges.filter("kind = 'imports'").join(n, "source_id").select(F.col("id"), "language", F.col("target_text").alias("text"), F.col("file_path").alias("source_file"))
+    statements = edges.filter("kind = 'imports'").select("id", "source_id", "target_text").join(n, "source_id").select(F.col("id"), "language", F.col("target_text").alias("text"), F.col("file_path").alias("source_file"))
     bound = imports.bindings(statements, nodes, root).withColumnRenamed("source_file", "file_path").join(files, "file_path")
     return bound.join(edges.select("id", "line"), "id").select("file_id", F.col("id").alias("edge_id"), "line", "name", "alias", "target_id")
 
@@ -61,30 +61,123 @@ def by_import(nodes: DataFrame, edges: DataFrame, bound: DataFrame) -> DataFrame
     source = nodes.select(F.col("id").alias("source_id"), "file_path").join(files, "file_path").select("source_id", "file_id")
     names = bound.groupBy("file_id", F.col("alias").alias("target_text")).agg(F.min("target_id").alias("_to"))
     named = edges.filter(F.col("kind").isin("calls", "instantiates", "extends", "implements", "references", "reads"))
-    found = named.join(source, "source_id").join(names, ["file_id", "target_text"]).select("id", "_to")
+    found = named.select("id", "source_id", "target_text").join(source, "source_id").join(names, ["file_id", "target_text"]).select("id", "_to")
     out = edges.join(found, "id", "left")
     return out.withColumns({"confidence": F.when(F.col("_to").isNotNull(), 1.0).otherwise(F.col("confidence")), "target_id": F.coalesce("_to", "target_id")}).drop("_to")
 
 
-def bound_edges(nodes: DataFrame, edges: DataFrame, variables: DataFrame, root: str) -> DataFrame:
-    """Extracted edges with everything bound: names, imports and the receivers of calls."""
-    bound = cut(imported(nodes, edges, root))
-    more = import_edges(bound)
-    by_name = cut(by_import(nodes, resolved(nodes, edges), bound).select(*more.columns).unionByName(more))
-    return typed(nodes, by_name, variables, bound)
+#: Folders of a stored graph by the hash of their rows' file, so that a change rewrites the folders of its files only.
+BUCKETS = 64
+
+
+def bucketed(rows: DataFrame, column: str = "file_path") -> DataFrame:
+    return rows.withColumn("bucket", F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int"))
+
+
+def store(rows: DataFrame, path: str, column: str = "file_path") -> None:
+    bucketed(rows, column).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def with_file(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges with the file of their source."""
+    return edges.join(nodes.select(F.col("id").alias("source_id"), "file_path"), "source_id")
+
+
+def named_edges(nodes: DataFrame, edges: DataFrame, bound: DataFrame) -> DataFrame:
+    """edges bound by names and imports."""
+    return by_import(nodes, resolved(nodes, edges), bound).select(*edges.columns)
+
+
+def all_edges(nodes: DataFrame, named: DataFrame, variables: DataFrame, bound: DataFrame) -> DataFrame:
+    """Edges bound by names, with those of imports, and the receivers of calls by their types."""
+    more = with_file(import_edges(bound), nodes)
+    return typed(nodes, cut(named.select(*more.columns).unionByName(more)), variables, bound)
 
 
 def build(spark: SparkSession, root: str, out: str) -> None:
-    """Writes nodes, edges, file dependencies, files and the search index of the source tree under root as Parquet."""
+    """Writes the graph of the source tree under root as Parquet: nodes, edges, file dependencies, files, and what updates need."""
     files = code.discover(spark, root)
     nodes, edges, variables = code.tables(files)
-    nodes.write.mode("overwrite").partitionBy("language").parquet(f"{out}/nodes")
-    nodes = spark.read.parquet(f"{out}/nodes")
-    start = code.plain_path(root)
-    bound_edges(nodes, cut(edges), cut(variables), start).write.mode("overwrite").partitionBy("kind").parquet(f"{out}/edges")
+    store(nodes, f"{out}/nodes")
+    nodes = spark.read.parquet(f"{out}/nodes").drop("bucket")
+    raw = cut(with_file(edges, nodes))
+    variables = cut(variables)
+    bound = cut(imported(nodes, raw, code.plain_path(root)))
+    named = cut(named_edges(nodes, raw, bound))
+    for name, table, column in (("raw", raw, "file_path"), ("named", named, "file_path"), ("variables", variables, "file_id"), ("bound", bound, "file_id")):
+        store(table, f"{out}/{name}", column)
+    store(all_edges(nodes, named, variables, bound), f"{out}/edges")
     edges = spark.read.parquet(f"{out}/edges")
     stats.file_node_deps(edges, nodes).write.mode("overwrite").parquet(f"{out}/file_node_deps")
-    files.select(F.col("path").alias("file_path"), F.split("text", r"\r?\n").alias("lines")).write.mode("overwrite").parquet(f"{out}/files")
+    store(files.select(F.col("path").alias("file_path"), F.split("text", r"\r?\n").alias("lines")), f"{out}/files")
+
+
+def replaced(spark: SparkSession, path: str, new: DataFrame, old: DataFrame, column: str = "file_path") -> None:
+    """Writes the rows of new into the folders in which they differ from old."""
+    every = new.columns
+    sides = bucketed(new, column).withColumn("_side", F.lit(1)).unionByName(bucketed(old.select(*every), column).withColumn("_side", F.lit(-1)))
+    differs = sides.groupBy("bucket", F.xxhash64(*every).alias("_h")).agg(F.sum("_side").alias("n")).filter("n <> 0").select("bucket").distinct()
+    touched = [r["bucket"] for r in differs.collect()]  # BUCKETS at most
+    rows = cut(bucketed(new, column).filter(F.col("bucket").isin(touched)))
+    left = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    if gone := [b for b in touched if b not in left]:  # a folder without rows is no part of the rows that were written
+        empty(spark, path, gone)
+
+
+def empty(spark: SparkSession, path: str, buckets: list[int]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for b in buckets:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/bucket={b}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
+def update(spark: SparkSession, out: str, root: str, changes: DataFrame) -> None:
+    """Applies a batch of changes (path, op, content, ts) to a stored graph; paths are as in its files.
+
+    Changed files are extracted anew.  References are resolved again if they are in a
+    changed file, if a changed file has or had a node of that name, or if what the file
+    imports by that name is another node now; all others keep their targets.  Types of
+    receivers are inferred over the whole graph, since they flow through it.  Only
+    folders whose rows changed are written; a batch that is run again changes nothing.
+    """
+    last = changes.groupBy("path").agg(F.max_by(F.struct("op", "content"), "ts").alias("c")).select(F.col("path").alias("file_path"), "c.*")
+    last = cut(last)
+    if last.isEmpty():
+        return
+    changed = last.select("file_path")
+    old = {t: spark.read.parquet(f"{out}/{t}").drop("bucket") for t in ("nodes", "raw", "named", "variables", "bound", "edges", "files")}
+    come = last.filter("op <> 'delete'").select(F.col("file_path").alias("path"), "content").withColumn("language", code.language())
+    files = cut(come.filter("language <> 'unknown'").select("path", "language", F.coalesce("content", F.lit("")).alias("text")))
+    nodes_, edges_, variables_ = code.tables(files)
+    nodes_ = cut(nodes_)
+    raw_ = cut(with_file(edges_, nodes_))
+
+    gone = old["nodes"].join(changed, "file_path", "left_semi")
+    nodes = cut(old["nodes"].join(changed, "file_path", "left_anti").select(*nodes_.columns).unionByName(nodes_))
+    raw = cut(old["raw"].join(changed, "file_path", "left_anti").select(*raw_.columns).unionByName(raw_))
+    old_files = gone.filter("kind = 'file'").select(F.col("id").alias("file_id"))
+    variables = cut(old["variables"].join(old_files, "file_id", "left_anti").select(*variables_.columns).unionByName(variables_))
+
+    bound = cut(imported(nodes, raw, code.plain_path(root)))
+    keys = ["file_id", "alias", "target_id"]
+    moved = old["bound"].select(*keys).exceptAll(bound.select(*keys)).unionByName(bound.select(*keys).exceptAll(old["bound"].select(*keys)))
+    moved = moved.join(nodes.filter("kind = 'file'").select(F.col("id").alias("file_id"), "file_path"), "file_id").select("file_path", F.col("alias").alias("target_text")).distinct()
+    names = gone.select("name", "qualified_name").unionByName(nodes_.select("name", "qualified_name"))
+    names = names.select(F.explode(F.array("name", "qualified_name")).alias("target_text")).distinct()
+    by_name = raw.join(names, "target_text", "left_semi").unionByName(raw.join(moved, ["file_path", "target_text"], "left_semi").select(*raw.columns)).unionByName(raw_)
+    again = cut(by_name.select(*raw.columns).dropDuplicates(["id"]))
+    kept = old["named"].join(changed, "file_path", "left_anti").join(again.select("id"), "id", "left_anti").select(*raw.columns)
+    named = cut(kept.unionByName(named_edges(nodes, again, bound)))
+    edges = cut(all_edges(nodes, named, variables, bound))
+    lines = files.select(F.col("path").alias("file_path"), F.split("text", r"\r?\n").alias("lines"))
+    lines = cut(old["files"].join(changed, "file_path", "left_anti").select("file_path", "lines").unionByName(lines))
+    for name, table, column in (
+        ("nodes", nodes, "file_path"), ("raw", raw, "file_path"), ("named", named, "file_path"), ("variables", variables, "file_id"), ("bound", bound, "file_id"),
+        ("edges", edges, "file_path"), ("files", lines, "file_path"),
+    ):
+        replaced(spark, f"{out}/{name}", table, old[name], column)
+    stats.file_node_deps(edges, nodes).write.mode("overwrite").parquet(f"{out}/file_node_deps")
 
 
 class Index:
@@ -92,7 +185,7 @@ class Index:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
-        self.nodes, self.edges, self.files = (spark.read.parquet(f"{path}/{t}") for t in ("nodes", "edges", "files"))
+        self.nodes, self.edges, self.files = (spark.read.parquet(f"{path}/{t}").drop("bucket") for t in ("nodes", "edges", "files"))
 
     def views(self) -> None:
         """Temporary views nodes, edges and files for SQL."""

@@ -1,8 +1,8 @@
 """Live updates: debounced change events, applied batch by batch.
 
 An event names a path and what happened to it; moves become a deletion and an
-update.  Updates of a path closer together than the delay are one session, of which
-the last counts.  The watermark equals the delay, so a session comes out as soon as
+update.  Deletions are passed on at once.  Updates of a path closer together than the
+delay are one session, of which the last counts.  The watermark equals the delay, so a session comes out as soon as
 later events show that it is over.
 """
 
@@ -27,14 +27,24 @@ def expanded(events: DataFrame) -> DataFrame:
 
 
 def debounced(changes: DataFrame, delay: str = "1 second", key: str = "path") -> DataFrame:
-    """One row per key and session: the last change and how many there were."""
-    rows = changes.withWatermark("ts", delay) if changes.isStreaming else changes
+    """Deletions at once, and one row per key and session of other changes: the last of them and how many there were."""
+    gone = changes.filter("op = 'delete'").select(key, "op", "content", "ts", F.lit(1).cast("long").alias("n"))
+    rows = changes.filter("op <> 'delete'")
+    rows = rows.withWatermark("ts", delay) if changes.isStreaming else rows
     last = F.max_by(F.struct("op", "content"), "ts")
-    return rows.groupBy(key, F.session_window("ts", delay).alias("s")).agg(last.alias("last"), F.max("ts").alias("ts"), F.count("*").alias("n")).select(
+    sessions = rows.groupBy(key, F.session_window("ts", delay).alias("s")).agg(last.alias("last"), F.max("ts").alias("ts"), F.count("*").alias("n")).select(
         key, "last.op", "last.content", "ts", "n"
     )
+    return sessions.unionByName(gone)
 
 
 def start(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, delay: str = "1 second") -> StreamingQuery:
     """Runs apply on every batch of debounced changes."""
     return debounced(changes, delay).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(apply).start()
+
+
+def follow(changes: DataFrame, index: str, root: str, checkpoint: str, delay: str = "1 second") -> StreamingQuery:
+    """Keeps a stored graph up to date with a stream of changes; a batch that is run again gives the same graph."""
+    from symgraph.plans.index import update
+
+    return start(changes, lambda batch, _: update(batch.sparkSession, index, root, batch), checkpoint, delay)
