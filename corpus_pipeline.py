@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.llm import jaccard_join, quality_rules, secret_scan, sentencepiece_codec, source_mix
-from symgraph.llm.common import table, tuned, written
+from symgraph.llm.common import cut, table, tuned, written
 from symgraph.llm.queries import piece_model
 
 
@@ -47,7 +47,7 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tuned(spark)
     placed = source_mix.stored_order(docs.select("doc_id", "text"), "position")
     encoded = sentencepiece_codec.encode(placed, piece_model(), keep=("position",))
-    return sentencepiece_codec.digests(encoded, keep=("position",)).orderBy("position")
+    return cut(sentencepiece_codec.digests(encoded, keep=("position",))).orderBy("position")  # else sampling for the order encodes all texts too
 
 
 STAGES = [
