@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from symgraph.functions.text import short_id
-from symgraph.operators import context, graph, imports, lookup, resolve, search, stats, typing
+from symgraph.operators import context, graph, imports, lookup, outline, resolve, search, stats, typing
 from symgraph.sources import code
 from symgraph.sources.shared import cut
 
@@ -208,13 +208,49 @@ class Index:
         found = search.search(self.nodes, query, limit)
         return found.join(self.nodes, "id").orderBy("rank")
 
-    def context(self, query: str, max_tokens: int = 1200, max_snippets: int = 3, per_file: int = 1, form: str = "xml") -> DataFrame:
-        """The best symbols and their neighbours as snippets within the budget, in one text."""
+    def ranked(self, query: str) -> DataFrame:
+        """query, pos and the nodes that a search finds, then their neighbours, best first."""
         seeds = search.search(self.nodes, query)
         near = graph.neighbours(self.edges, self.nodes, seeds).groupBy("id").agg(F.max("score").alias("score")).join(seeds.select("id"), "id", "left_anti")
-        ranked = seeds.select("id", "score").unionByName(near).join(self.nodes, "id").withColumn("query", F.lit(query))
+        both = seeds.select("id", "score", "rank").unionByName(near.select("id", "score", F.lit(None).cast("int").alias("rank")))
+        pos = F.row_number().over(Window.orderBy(F.asc_nulls_last("rank"), F.desc("score"), "id"))  # a report of some dozens of nodes
+        return both.withColumn("pos", pos).join(self.nodes, "id").withColumn("query", F.lit(query))
+
+    def context(self, query: str, max_tokens: int = 1200, max_snippets: int = 3, per_file: int = 1, form: str = "xml") -> DataFrame:
+        """The best symbols and their neighbours as snippets within the budget, in one text."""
+        ranked = self.ranked(query)
         chosen = context.select(context.snippets(ranked, self.files), max_tokens, max_snippets, per_file)
-        return {"xml": context.as_xml, "markdown": context.as_markdown}.get(form, lambda c: c)(chosen)
+        return self.written(query, ranked, chosen, form)
+
+    def written(self, query: str, ranked: DataFrame, chosen: DataFrame, form: str) -> DataFrame:
+        queries = self.spark.createDataFrame([(query,)], "query string")
+        entries, related = ranked.filter("rank is not null"), ranked.filter("rank is null")
+        forms = {
+            "xml": lambda: context.as_xml(chosen), "markdown": lambda: context.as_markdown(chosen), "structured": lambda: outline.structured(queries, entries, related, chosen),
+            "graph": lambda: outline.linearised(queries, entries, chosen, self.edges, self.nodes), "rows": lambda: chosen,
+        }
+        return forms[form]()
+
+    def structural(self, query: str, depth: int = 2, max_nodes: int = 30) -> DataFrame:
+        """id, score, rank: what a search finds and, for half of their score, what walks from there find."""
+        seeds = cut(search.search(self.nodes, query))
+        walk = graph.traverse(self.edges, self.nodes, seeds.select("id"), depth, max_nodes)
+        found = walk.join(seeds.select(F.col("id").alias("root"), F.col("rank").alias("seed"), F.col("score").alias("own")), "root")
+        found = found.withColumn("score", F.when(F.col("id") == F.col("root"), F.col("own")).otherwise(F.col("score") * 0.5))
+        first = F.row_number().over(Window.partitionBy("id").orderBy(F.col("depth") > 0, "seed", "seq"))
+        found = found.withColumn("_n", first).filter("_n = 1")
+        return found.select("id", "score", F.row_number().over(Window.orderBy(F.desc("score"), "seed", "seq", "id")).alias("rank"))
+
+    def explore(self, query: str, max_nodes: int = 30) -> DataFrame:
+        """query, text: entry points, related symbols and code around a query, and the relationships among the first nodes."""
+        results = cut(self.structural(query))
+        found = cut(graph.explore(self.edges, self.nodes, results, max_nodes=max_nodes))
+        ranked = found.join(self.nodes, "id").withColumns({"query": F.lit(query), "rank": F.when((F.col("pos") <= 5) & (F.col("score") > 0), F.col("pos"))})
+        chosen = context.select(context.snippets(ranked.filter("pos <= 15"), self.files), 64000, 10)
+        body = self.written(query, ranked, chosen, "structured")
+        related = outline.relationships(self.edges, found.select("id", F.col("pos").alias("rank")), self.nodes)
+        among = related.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("source_id", "target_id", "line"))), lambda x: x["line"]), "\n")).scalar()
+        return body.select("query", F.concat("text", F.lit("\n## Relationship Map\n\n"), among).alias("text"))
 
     def status(self) -> DataFrame:
         return stats.totals(self.nodes, self.edges)

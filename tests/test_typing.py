@@ -2,10 +2,11 @@
 
 import json
 import random
+import re
 
 import pytest
 
-from symgraph.operators import imports, typing
+from symgraph.operators import frameworks, imports, typing
 from symgraph.plans import index
 
 FILES = {
@@ -129,3 +130,26 @@ def test_spread_equals_plain(spark):
             want |= more
         got = typing.spread(spark.createDataFrame(list(facts), "key string, value string"), spark.createDataFrame(flows, "source string, target string"))
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_contexts_of_a_stored_graph(stored):
+    text = stored.context("create user", form="structured").first().text
+    assert text.startswith("## Code Context\n\n**Query:** create user\n\n### Entry Points\n\n- **create** (function)") and "### Code" in text
+    assert "### Call Chains" in stored.context("create user", form="graph").first().text and "code_context" in stored.context("create user").first().xml
+    explored = stored.explore("create").first().text
+    assert "## Relationship Map" in explored and re.search(r"create --\[(?:calls|reads)\]--> \w+", explored)
+
+
+def test_rules_of_frameworks(spark):
+    nodes = spark.createDataFrame(
+        [("1", "function", "get_db", "deps.get_db", "/r/deps.py"), ("2", "file", "models.py", "/r/shop/models.py", "/r/shop/models.py"), ("3", "class", "Order", "models.Order", "/r/shop/models.py"), ("4", "function", "go", "x.go", "/r/x.py")],
+        "id string, kind string, name string, qualified_name string, file_path string",
+    )
+    refs = spark.createDataFrame([("a", "Depends(get_db)"), ("b", "shop.Order"), ("c", "shop.Other"), ("d", "other.Order"), ("e", "get_db"), ("f", "task:go"), ("g", None)], "edge_id string, text string")
+    want = {("a", "1", "fastapi"), ("b", "3", "django"), ("c", "2", "django")}
+    assert {tuple(r) for r in frameworks.resolve(refs, nodes, "/r/").collect()} == want
+    frameworks.register("queue", symbol=lambda text: frameworks.matched(text, r"^task:(\w+)$"))
+    try:
+        assert {tuple(r) for r in frameworks.resolve(refs, nodes, "/r").collect()} == want | {("f", "4", "queue")}
+    finally:
+        del frameworks.SYMBOLS["queue"]
