@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.text import short_id
 from symgraph.operators import context, graph, imports, lookup, outline, resolve, search, stats, typing
+from symgraph.schema import EDGE_KINDS
 from symgraph.sources import code
 from symgraph.sources.shared import cut
 
@@ -186,6 +187,7 @@ class Index:
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.nodes, self.edges, self.files = (spark.read.parquet(f"{path}/{t}").drop("bucket") for t in ("nodes", "edges", "files"))
+        self.edges = self.edges.filter(F.col("kind").isin(*EDGE_KINDS))  # rows of other kinds are passed over
 
     def views(self) -> None:
         """Temporary views nodes, edges and files for SQL."""

@@ -47,9 +47,3 @@ SKIP_DIRS = (
     ".git", ".svn", ".hg", "node_modules", "__pycache__", ".venv", "venv", ".tox", ".mypy_cache", ".ruff_cache", "dist", "build", "target",
     ".idea", ".vscode", "coverage", "htmlcov",
 )
-
-NODES = (
-    "id string, kind string, name string, qualified_name string, file_path string, language string, start_line int, end_line int, "
-    "docstring string, signature string, visibility string, parent_id string, is_exported boolean, is_async boolean, content_hash string, seq long"
-)
-EDGES = "id string, source_id string, target_id string, kind string, confidence double, line int, target_text string, seq long"
