@@ -106,7 +106,6 @@ def search(nodes: DataFrame, query: str, limit: int = 10, index: Postings | None
     is a top-k report of some hundred rows at most.  With an index the first tier reads
     the rows of the query's tokens instead of all nodes.
     """
-    columns = [F.col(c) for c in RANKED]
     spark = nodes.sparkSession
     found = spark.range(1).select(terms(F.lit(query))).first()[0]
     if not found:
@@ -119,19 +118,20 @@ def search(nodes: DataFrame, query: str, limit: int = 10, index: Postings | None
         first = nodes.join(F.broadcast(hits), "id")
     else:
         first = bm25(nodes, found, SEARCH_WEIGHTS, RANKED).orderBy(F.desc(F.round("score", 9)), "id").limit(most)
-    tiers = first.select(*columns, "score", F.lit(1).alias("tier")).collect()
-    kinds = "id string, kind string, name string, qualified_name string, visibility string, is_exported boolean, score double, tier int"
+
+    def report(tier: DataFrame, nth: int) -> list[tuple[str, int, float]]:
+        return [(r["id"], nth, r["score"]) for r in tier.select("id", (F.col("score") + bonus(query)).alias("score")).collect()]
+
+    tiers = report(first, 1)
+    others = lambda: nodes.filter(~F.col("id").isin([t[0] for t in tiers])) if tiers else nodes
     if len(tiers) < limit:
-        seen = [r["id"] for r in tiers]
-        second = like_tier(nodes.filter(~F.col("id").isin(seen)) if seen else nodes, query).orderBy(F.desc("score"), F.length("name"), "id").limit(3 * limit)
-        tiers += second.select(*columns, "score", F.lit(2).alias("tier")).collect()
+        tiers += report(like_tier(others(), query).orderBy(F.desc("score"), F.length("name"), "id").limit(3 * limit), 2)
     if len(tiers) < limit and len(query) >= 3:
-        seen = [r["id"] for r in tiers]
-        third = fuzzy_tier(nodes, query, max(2 * limit, 50))
-        tiers += third.filter(~F.col("id").isin(seen) if seen else F.lit(True)).select(*columns, "score", F.lit(3).alias("tier")).collect()
-    ranked = spark.createDataFrame(tiers, kinds).withColumn("score", F.col("score") + bonus(query))
-    rank = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "tier", "id"))  # over the tiers' few rows
-    return ranked.withColumn("rank", rank).filter(F.col("rank") <= limit).select("id", "tier", "score", "rank")
+        seen = [t[0] for t in tiers]
+        close = fuzzy_tier(nodes, query, max(2 * limit, 50))
+        tiers += report(close.filter(~F.col("id").isin(seen)) if seen else close, 3)
+    best = sorted(tiers, key=lambda t: (-round(t[2], 9), t[1], t[0]))[:limit]
+    return spark.createDataFrame([(*t, i + 1) for i, t in enumerate(best)], "id string, tier int, score double, rank int")
 
 
 def postings(rows: DataFrame, weights: dict[str, float], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
