@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from symgraph.operators import lookup
 from symgraph.schema import DEPENDENCY_KINDS, DEPENDENT_KINDS, EDGE_WEIGHTS, OTHER_WEIGHT
-from symgraph.sources.shared import cut
+from symgraph.sources.shared import cut, kept
 
 
 def weight(kind: Column, weights: dict[str, float] | None = None) -> Column:
@@ -76,41 +76,106 @@ def best_path_score(edges: DataFrame, roots: DataFrame, depth: int, direction: s
 
 
 WALK = "root string, id string, depth int, score double, path array<string>, seq int, open boolean"
+WALK_TYPES = {"root": pa.string(), "id": pa.string(), "depth": pa.int32(), "score": pa.float64(), "path": pa.list_(pa.string()), "seq": pa.int32(), "open": pa.bool_()}
+#: Walks that are held as Python objects at once.
+WALKS_AT_ONCE = 64
 
 
-def best_first(rows: pd.DataFrame, root: str, max_depth: int, max_nodes: int, min_score: float) -> pd.DataFrame:
+def best_first(starts: list[str], lists: dict[str, list[dict]], hubs: set[str], max_depth: int, max_nodes: int, min_score: float) -> tuple[dict, str | None]:
     """One walk over adjacency lists from all of its starts: highest score first, then smallest id.
 
-    A hub (without a list here) ends the walk when its turn comes; it is marked open.
-    seq is the order of discovery.
+    What is found, in the order of discovery, as id: (depth, score, path).  A hub (without
+    a list here) ends the walk when its turn comes; it is returned beside.
     """
-    near = dict(zip(rows["near"], rows["out"], strict=True))
-    hubs = set(rows.loc[rows["hub"], "near"])
-    found = {x: (0, 1.0, []) for x in sorted(rows["starts"].iloc[0])}
+    found = {x: (0, 1.0, []) for x in sorted(starts)}
     heap = [(-1.0, x) for x in found]
-    last = None
-    while heap and len(found) < max_nodes and last is None:
+    while heap and len(found) < max_nodes:
         score, at = heapq.heappop(heap)
         depth, score, path = found[at]
         if depth >= max_depth or score < min_score:
             continue
         if at in hubs:
-            last = at
-            continue
-        out = near.get(at)
-        for step in () if out is None else out:
+            return found, at
+        for step in lists.get(at, ()):
             far, w = step["far"], step["w"]
             if far not in found:
                 found[far] = (depth + 1, score * w, [*path, step["edge_id"]])
                 heapq.heappush(heap, (-score * w, far))
-    return pd.DataFrame([(root, i, d, s, p, n, i == last) for n, (i, (d, s, p)) in enumerate(found.items())], columns=["root", "id", "depth", "score", "path", "seq", "open"])
+    return found, None
+
+
+def walks(lists: DataFrame, max_depth: int, max_nodes: int, min_score: float) -> DataFrame:
+    """The rows of WALK for lists (root, starts, near, out, hub): many walks to a batch, one at a time."""
+    rows = lists.groupBy("root").agg(F.first("starts").alias("starts"), F.collect_list(F.struct("near", "out", "hub")).alias("lists"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, WALKS_AT_ONCE):
+                out = []
+                for r in batch.slice(at, WALKS_AT_ONCE).to_pylist():
+                    hubs = {x["near"] for x in r["lists"] if x["hub"]}
+                    found, last = best_first(r["starts"], {x["near"]: x["out"] or () for x in r["lists"]}, hubs, max_depth, max_nodes, min_score)
+                    out += [(r["root"], i, d, s, p, n, i == last) for n, (i, (d, s, p)) in enumerate(found.items())]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), WALK_TYPES.values(), strict=True)], names=list(WALK_TYPES))
+
+    return rows.mapInArrow(walk, WALK)
+
+
+def weighted_steps(edges: DataFrame, direction: str, kinds: Sequence[str], weights: dict[str, float] | None) -> DataFrame:
+    """near, far, side, edge_id, w: what can be walked from near."""
+    return adjacency(edges, direction, kinds).select("near", "far", "side", "edge_id", weight(F.col("kind"), weights).alias("w"))
+
+
+def to_nodes(steps: DataFrame, nodes: DataFrame) -> DataFrame:
+    """steps whose far is a node.
+
+    Few edges lead nowhere as a rule, so the ids that are no nodes are looked for, which
+    moves ids only, and the steps themselves stay where they are.
+    """
+    far = steps.select("far").filter("far IS NOT NULL").distinct()
+    missing = kept(far.join(nodes.select(F.col("id").alias("far")), "far", "left_anti"))
+    steps = steps.filter("far IS NOT NULL")
+    return steps if missing.isEmpty() else steps.join(missing, "far", "left_anti")
 
 
-def first_steps(edges: DataFrame, nodes: DataFrame, direction: str, kinds: Sequence[str], weights: dict[str, float] | None) -> DataFrame:
+#: What orders the steps from a node, and then what a walk needs of one.
+STEP = ("side", "edge_id", "w", "far")
+
+
+def first_steps(steps: DataFrame) -> DataFrame:
     """near, far, step (side, edge_id, w, far): the first edge from each node to each other; a walk uses no more."""
-    real = adjacency(edges, direction, kinds).join(nodes.select(F.col("id").alias("far")), "far", "left_semi")
-    step = F.struct("side", "edge_id", weight(F.col("kind"), weights).alias("w"), "far")
-    return real.groupBy("near", "far").agg(F.min(step).alias("step"))
+    return steps.repartition("near").groupBy("near", "far").agg(F.min(F.struct(*STEP)).alias("step"))
+
+
+def step_lists(steps: DataFrame, max_nodes: int) -> DataFrame:
+    """near, out (far, edge_id, w in the order of steps), hub: lists of fewer than max_nodes other nodes; a hub has none.
+
+    Only nodes with that many edges may be hubs; of these alone, parallel edges are told
+    apart.  In the other lists they stay: a walk passes over the later ones.
+    """
+    out = F.transform(F.sort_array(F.collect_list("step")), lambda x: F.struct(x["far"].alias("far"), x["edge_id"].alias("edge_id"), x["w"].alias("w"))).alias("out")
+    many = kept(steps.groupBy("near").agg(F.count("*").alias("n")).filter(F.col("n") >= max_nodes).select("near"))
+    few = steps if many.isEmpty() else steps.join(many, "near", "left_anti")
+    lists = few.select("near", F.struct(*STEP).alias("step")).groupBy("near").agg(out).withColumn("hub", F.lit(False))
+    if many.isEmpty():
+        return lists
+    far = steps.join(many, "near", "left_semi").select("near", "far").distinct()
+    hubs = kept(far.groupBy("near").agg(F.count("*").alias("n")).filter(F.col("n") >= max_nodes).select("near"))
+    parallel = many.join(hubs, "near", "left_anti")
+    if not parallel.isEmpty():
+        firsts = first_steps(steps.join(parallel, "near", "left_semi"))
+        lists = lists.unionByName(firsts.groupBy("near").agg(out).withColumn("hub", F.lit(False)))
+    return lists.unionByName(hubs.select("near", F.lit(None).cast(lists.schema["out"].dataType).alias("out"), F.lit(True).alias("hub")))
+
+
+def one_step(steps: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:
+    """Walks of one step from an only start each (root, id): the start, then all of its neighbours."""
+    near = steps.join(start.select(F.col("id").alias("near")).distinct(), "near", "left_semi").filter("near <> far")
+    out = start.withColumnRenamed("id", "near").join(first_steps(to_nodes(near, nodes)), "near")
+    nth = F.row_number().over(Window.partitionBy("root").orderBy("step"))
+    more = out.select("root", F.col("far").alias("id"), F.lit(1).alias("depth"), F.col("step.w").alias("score"), F.array("step.edge_id").alias("path"), nth.alias("seq"))
+    none = F.array().cast("array<string>")
+    return start.select("root", "id", F.lit(0).alias("depth"), F.lit(1.0).alias("score"), none.alias("path"), F.lit(0).alias("seq")).unionByName(more)
 
 
 def traverse(
@@ -129,38 +194,50 @@ def traverse(
     neighbours of a hub are joined to the finished walks.  Frontier joins find the lists
     within max_depth steps, and go on from a node only if what is certainly found before
     it (the starts, and the neighbours of an only start) and its own neighbours are too
-    few to end the walk.
+    few to end the walk.  Joins by node move pairs of ids; what is known of a walk stays
+    with its root.
     """
-    steps = cut(first_steps(edges, nodes, direction, kinds, weights))
-    degree = steps.groupBy("near").agg(F.count("*").alias("n"))
-    short = steps.join(degree.filter(F.col("n") < max_nodes), "near", "left_semi").groupBy("near").agg(F.sort_array(F.collect_list("step")).alias("out"))
-    hubs = degree.filter(F.col("n") >= max_nodes).select("near", F.lit(None).cast(short.schema["out"].dataType).alias("out"), F.lit(True).alias("hub"))
-    lists = cut(short.withColumn("hub", F.lit(False)).unionByName(hubs))
-
+    steps = weighted_steps(edges, direction, kinds, weights)
     walk_id = F.col("walk") if "walk" in roots.columns else F.col("id")
     start = roots.select(walk_id.cast("string").alias("root"), "id").distinct().join(nodes.select("id"), "id", "left_semi")
-    starts = start.groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("starts"))
-    front = start.join(starts, "root").join(lists, start["id"] == lists["near"], "left").select("root", F.col("id").alias("near"), "out", F.coalesce("hub", F.lit(False)).alias("hub"), "starts")
-    sure = F.when(F.size("starts") == 1, F.array_union("starts", F.col("out.far"))).otherwise(F.col("starts"))
-    front = seen = cut(front.withColumn("base", F.coalesce(sure, F.col("starts"))))
+    if max_depth == 1 and "walk" not in roots.columns and max_nodes > 1 and min_score <= 1:
+        return one_step(steps, nodes, start.select("root", "id"))
+    steps = to_nodes(kept(steps), nodes)
+    lists = kept(step_lists(steps, max_nodes))
+
+    if "walk" in roots.columns:
+        start = start.join(start.groupBy("root").agg(F.array_sort(F.collect_set("id")).alias("starts")), "root")
+    else:
+        start = start.withColumn("starts", F.array("id"))
+    front = kept(start.join(lists, start["id"] == lists["near"], "left").select("root", F.col("id").alias("near"), "out", F.coalesce("hub", F.lit(False)).alias("hub"), "starts"))
+    sure = F.when(F.size("starts") == 1, F.array_union("starts", F.coalesce(F.col("out.far"), F.array()))).otherwise(F.col("starts"))
+    walk = front.select("root", "starts", sure.alias("base")).dropDuplicates(["root"])
+    seen = front = front.drop("starts")
     for _ in range(max(0, max_depth - 1)):
         around = F.array_union(F.array_union("base", F.array("near")), F.col("out.far"))
-        onward = front.filter(~F.col("hub") & (F.size(around) < max_nodes)).select("root", "starts", "base", F.explode("out.far").alias("near"))
-        onward = onward.dropDuplicates(["root", "near"]).join(seen.select("root", "near"), ["root", "near"], "left_anti")
-        front = cut(onward.join(lists, "near").select(*seen.columns))
+        onward = front.filter(~F.col("hub") & F.col("out").isNotNull()).join(walk.select("root", "base"), "root").filter(F.size(around) < max_nodes)
+        onward = onward.select("root", F.explode("out.far").alias("near")).distinct().join(seen.select("root", "near"), ["root", "near"], "left_anti")
+        front = kept(onward.join(lists, "near").select(*seen.columns))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
 
-    def walk(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return best_first(rows, key[0], max_depth, max_nodes, min_score)
-
-    walked = cut(seen.drop("base").groupBy("root").applyInPandas(walk, WALK))
-    ends = walked.filter("open").withColumnRenamed("id", "near").join(steps, "near")
-    ends = ends.select("root", F.col("far").alias("id"), (F.col("depth") + 1).alias("depth"), (F.col("score") * F.col("step.w")).alias("score"), F.array_append("path", F.col("step.edge_id")).alias("path"), "step")
-    more = ends.join(walked.select("root", "id"), ["root", "id"], "left_anti")
-    had = walked.groupBy("root").agg(F.count("*").alias("_had"))
+    def walked(lists: DataFrame) -> DataFrame:
+        return walks(lists.join(walk.select("root", "starts"), "root"), max_depth, max_nodes, min_score)
+
+    ending = kept(seen.filter("hub").select("root").distinct())
+    if ending.isEmpty():
+        return walked(seen).drop("open")
+    ended = kept(walked(seen.join(ending, "root", "left_semi")))
+    last = ended.filter("open").select("root", F.col("id").alias("near"), "depth", "score", "path")
+    firsts = first_steps(steps.join(last.select("near").distinct(), "near", "left_semi"))
+    ends = last.join(firsts, "near").select("root", F.col("far").alias("id"), (F.col("depth") + 1).alias("depth"), (F.col("score") * F.col("step.w")).alias("score"), F.array_append("path", F.col("step.edge_id")).alias("path"), "step")
+    more = ends.join(ended.select("root", "id"), ["root", "id"], "left_anti")
+    had = ended.groupBy("root").agg(F.count("*").alias("_had"))
     nth = F.row_number().over(Window.partitionBy("root").orderBy("step"))
     more = more.withColumn("_nth", nth).join(had, "root").withColumn("seq", (F.col("_had") + F.col("_nth") - 1).cast("int"))
-    return walked.drop("open").unionByName(more.select(*walked.drop("open").columns))
+    whole = walked(seen.join(ending, "root", "left_anti")).unionByName(ended).drop("open")
+    return whole.unionByName(more.select(*whole.columns))
 
 
 def dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,6 +18,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """Computes df once and reads it back from Parquet files in the shared folder.
+
+    Takes a fraction of a checkpoint's room and later plans know its true size, but it
+    has to be dealt out again where a checkpoint would still lie by its keys.
+    """
+    path = f"{shared_dir(df.sparkSession)}/symgraph/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share."""
     context = spark.sparkContext

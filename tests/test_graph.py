@@ -342,3 +342,20 @@ def test_components_and_views(spark, tables):
     assert ids(kept) == ["n3", "n4"] and ids(among) == ["e4"]
     kept, _ = graph.view(n, e, kinds=["function"], name_part="nothing", component=True)
     assert ids(kept) == ["n1", "n2"]
+
+
+def test_walks_in_batches(spark):
+    """One Python call takes many walks, a single step takes none, and both keep the order of discovery."""
+    rng = random.Random(3)
+    names = [f"v{i:02}" for i in range(12)]
+    edges = [(f"e{i:03}", rng.choice(names), rng.choice([*names, "ghost"]), rng.choice(["calls", "imports"]), 0) for i in range(40)]
+    n = spark.createDataFrame([(x,) for x in names], "id string")
+    e = spark.createDataFrame(edges, "id string, source_id string, target_id string, kind string, line int")
+    for depth in (1, 3):
+        got = graph.traverse(e, n, n, max_depth=depth, max_nodes=6)
+        plan = got._jdf.queryExecution().toString()
+        assert "InPandas" not in plan and ("MapInArrow" in plan) == (depth > 1)
+        rows = got.collect()
+        for root in names:
+            found = sorted((r for r in rows if r.root == root), key=lambda r: r.seq)
+            assert [(r.root, r.id, r.depth, round(r.score, 9), tuple(r.path), r.seq) for r in found] == plain_walk(edges, set(names), root, depth, 6, 0.01, [root])
