@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from symgraph.functions.text import terms, tokens
 from symgraph.schema import EXPORTED_BONUS, KIND_BONUS, PRIVATE_BONUS, SEARCH_WEIGHTS
-from symgraph.sources.shared import cut
+from symgraph.sources.shared import cut, kept
 
 K1, B = 1.2, 0.75
 #: Fixed value: what a term in more than half of the rows weighs.
@@ -42,13 +42,13 @@ def bm25(rows: DataFrame, prefixes: Sequence[str], weights: dict[str, float], ke
     d = d.withColumns(tf | any_ | {"_size": size}).drop(*[f"_t{i}" for i in range(len(weights))])
     counts = Observation()
     d = d.observe(counts, F.count(F.lit(1)).alias("n"), F.sum("_size").alias("size"), *[F.count_if(f"_h{j}").alias(f"df{j}") for j in range(len(prefixes))])
-    kept = list(keep or rows.columns)
+    columns = list(keep or rows.columns)
     found = d.filter(reduce(lambda a, b: a | b, [F.col(f"_h{j}") for j in range(len(prefixes))]))
-    found = cut(found.select(*kept, "_size", *tf))
+    found = cut(found.select(*columns, "_size", *tf))
     got = counts.get
     n, mean = got["n"], (got["size"] or 0) / max(1, got["n"])
     parts = [F.when(F.col(f"_f{j}") > 0, F.lit(idf(n, got[f"df{j}"])) * saturated(F.col(f"_f{j}"), F.col("_size"), mean)).otherwise(0.0) for j in range(len(prefixes))]
-    return found.withColumn("score", reduce(add, parts)).select(*kept, "score")
+    return found.withColumn("score", reduce(add, parts)).select(*columns, "score")
 
 
 def idf(n: int, df: int) -> float:
@@ -136,6 +136,7 @@ def search(nodes: DataFrame, query: str, limit: int = 10, index: Postings | None
 
 def postings(rows: DataFrame, weights: dict[str, float], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
     """token, id, tf (weighted), size (tokens of the row) and the columns to keep: the inverted index of the columns."""
+    rows = rows.repartition(id_col)  # rows move once, before they become many postings
     d = rows.select(id_col, *keep, F.concat(*(weighted(c, w) for c, w in weights.items())).alias("_t"))
     d = d.select(id_col, *keep, F.size("_t").alias("size"), F.explode("_t").alias("_x")).select(id_col, *keep, "size", "_x.token", "_x.w")
     return d.groupBy("token", id_col, "size", *keep).agg(F.sum("w").alias("tf"))
@@ -187,7 +188,7 @@ def bm25_batch(rows: DataFrame, queries: DataFrame, weights: dict[str, float], k
     the terms first meet those, by their first letters (a term of fewer letters than
     HEAD by all of its letters), and each posting then meets its own token only.
     """
-    post = cut(postings(rows, weights, id_col))
+    post = kept(postings(rows, weights, id_col))
     sizes = post.groupBy(id_col).agg(F.first("size").alias("size"))  # rows without tokens add nothing
     n = rows.count()
     mean = (sizes.agg(F.sum("size")).first()[0] or 0) / max(1, n)
@@ -198,7 +199,7 @@ def bm25_batch(rows: DataFrame, queries: DataFrame, weights: dict[str, float], k
     heads = reduce(DataFrame.unionByName, [vocabulary.filter(F.length("token") >= i).select("token", key("token", i).alias("head")) for i in lengths])
     pairs = heads.join(words.withColumn("head", key("term", HEAD)), "head").filter(F.col("token").startswith(F.col("term"))).select("token", "term")
     hit = post.join(pairs, "token").groupBy("term", id_col, "size").agg(F.sum("tf").alias("tf"))
-    hit = cut(hit)
+    hit = kept(hit)
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     value = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(value > 0, value).otherwise(LEAST_IDF) * saturated(F.col("tf"), F.col("size"), mean)
