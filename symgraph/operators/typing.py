@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.sources.shared import cut
+from symgraph.sources.shared import cut, kept
 
 TYPE_KINDS = ("class", "struct", "interface", "trait", "enum")
 FUNCTION_KINDS = ("function", "method")
@@ -28,11 +28,11 @@ MOST_TYPES = 16
 
 def spread(facts: DataFrame, flows: DataFrame) -> DataFrame:
     """key, value: all values that reach a key from facts (key, value) along flows (source, target)."""
-    flows = cut(flows.select(F.col("source").alias("key"), "target").distinct())
-    seen = new = cut(facts.select("key", "value").distinct())
+    flows = kept(flows.select(F.col("source").alias("key"), "target"))
+    seen = new = kept(facts.select("key", "value").distinct())
     while not new.isEmpty():
         onward = new.join(flows, "key").select(F.col("target").alias("key"), "value").distinct()
-        new = cut(onward.join(seen, ["key", "value"], "left_anti").select("key", "value"))
+        new = kept(onward.join(seen, ["key", "value"], "left_anti").select("key", "value"))
         seen = seen.unionByName(new)
     return seen
 
