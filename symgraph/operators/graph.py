@@ -65,12 +65,12 @@ def neighbours(edges: DataFrame, nodes: DataFrame, roots: DataFrame, direction:
 
 def best_path_score(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "forward", kinds: Sequence[str] = ()) -> DataFrame:
     """root, id, score: largest product of edge weights over walks of at most depth steps."""
-    step = adjacency(edges, direction, kinds).withColumn("w", weight(F.col("kind"))).groupBy("near", "far").agg(F.max("w").alias("w"))
+    step = kept(adjacency(edges, direction, kinds).select("near", "far", weight(F.col("kind")).alias("w")))
     best = roots.select(F.col("id").alias("root"), "id", F.lit(1.0).alias("score"))
     front = best
     for _ in range(depth):
         far = front.join(step, front["id"] == step["near"]).select("root", F.col("far").alias("id"), (F.col("score") * F.col("w")).alias("score"))
-        front = cut(far.groupBy("root", "id").agg(F.max("score").alias("score")))
+        front = kept(far.groupBy("root", "id").agg(F.max("score").alias("score")))
         best = best.unionByName(front)
     return best.groupBy("root", "id").agg(F.max("score").alias("score"))
 
@@ -262,12 +262,12 @@ def focus(edges: DataFrame, nodes: DataFrame, name_part: str, depth: int) -> Dat
     """
     seeds = nodes.filter(F.lower("name").contains(name_part.lower())).select("id")
     ids = nodes.select("id")
-    step = adjacency(edges, "both").join(ids.withColumnRenamed("id", "far"), "far", "left_semi").select("near", "far").distinct()
+    step = to_nodes(kept(adjacency(edges, "both").select("near", "far")), nodes)
     seen = seeds.withColumn("hop", F.lit(0))
     front = seen
     for h in range(1, depth + 1):
         front = front.join(step, F.col("id") == F.col("near")).select(F.col("far").alias("id"), F.lit(h).alias("hop")).distinct()
-        front = cut(front.join(seen.select("id"), "id", "left_anti").select("id", "hop"))
+        front = kept(front.join(seen.select("id"), "id", "left_anti").select("id", "hop"))
         seen = seen.unionByName(front)
     none = seeds.agg(F.count("*") == 0).scalar()
     return seen.unionByName(ids.withColumn("hop", F.lit(0)).filter(none))
@@ -312,13 +312,13 @@ def view(
     The focus keeps what is within depth undirected steps of the nodes whose name holds
     name_part, or their whole components; if no name matches, all nodes stay.
     """
-    kept = lookup.filter_nodes(nodes, kinds, languages, globs)
+    shown = lookup.filter_nodes(nodes, kinds, languages, globs)
     if name_part:
-        inside = lookup.induced_edges(edges, kept)
-        seeds = lookup.filter_nodes(kept, name_part=name_part).select("id")
-        near = component_focus(inside, kept, seeds) if component and not seeds.isEmpty() else focus(inside, kept, name_part, depth)
-        kept = kept.join(near.select("id").distinct(), "id", "left_semi")
-    return kept, lookup.induced_edges(edges, kept)
+        edges = kept(lookup.induced_edges(edges, shown))
+        seeds = lookup.filter_nodes(shown, name_part=name_part).select("id")
+        near = component_focus(edges, shown, seeds) if component and not seeds.isEmpty() else focus(edges, shown, name_part, depth)
+        shown = shown.join(near.select("id").distinct(), "id", "left_semi")
+    return shown, lookup.induced_edges(edges, shown)
 
 
 def explore(edges: DataFrame, nodes: DataFrame, results: DataFrame, entries: int = 5, depth: int = 2, max_nodes: int = 30) -> DataFrame:

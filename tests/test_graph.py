@@ -359,3 +359,26 @@ def test_walks_in_batches(spark):
         for root in names:
             found = sorted((r for r in rows if r.root == root), key=lambda r: r.seq)
             assert [(r.root, r.id, r.depth, round(r.score, 9), tuple(r.path), r.seq) for r in found] == plain_walk(edges, set(names), root, depth, 6, 0.01, [root])
+
+
+def test_edges_are_read_once(spark, tables):
+    """Rounds over the edges read what was stored of them; they are not computed again for each."""
+    n, e = tables
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        read.add(1)
+        return x
+
+    counted_edges = e.withColumn("kind", counted.asNondeterministic()("kind"))
+    got = {(r.root, r.id, round(r.score, 9)) for r in graph.best_path_score(counted_edges, n.filter("id = 'n5'"), 3).collect()}
+    assert got == {("n5", "n5", 1.0), ("n5", "n1", 1.0), ("n5", "n2", 1.0)} and read.value == len(EDGES)
+
+
+def test_postings_move_rows_once(spark):
+    rows = spark.createDataFrame([("a", "one two one"), ("b", "two")], "id string, name string")
+    post = search.postings(rows, {"name": 2.0})
+    assert {(r.token, r.id, r.size, r.tf) for r in post.collect()} == {("one", "a", 3, 4.0), ("two", "a", 3, 2.0), ("two", "b", 1, 2.0)}
+    plan = post._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan and "hashpartitioning(token" not in plan
