@@ -56,9 +56,12 @@ def hops(edges: DataFrame, roots: DataFrame, depth: int, direction: str = "both"
 
 
 def neighbours(edges: DataFrame, nodes: DataFrame, roots: DataFrame, direction: str = "forward", kinds: Sequence[str] = ()) -> DataFrame:
-    """root, id, score: nodes one step away with the weight of the first edge that leads there."""
-    step = adjacency(edges, direction, kinds).join(nodes.select(F.col("id").alias("far")), "far", "left_semi")
-    hit = step.join(roots.select(F.col("id").alias("near")), "near", "left_semi").filter("near <> far")
+    """root, id, score: nodes one step away with the weight of the first edge that leads there.
+
+    The roots come first: only what leaves them moves again to meet the nodes.
+    """
+    near = adjacency(edges, direction, kinds).filter("near <> far").join(roots.select(F.col("id").alias("near")), "near", "left_semi")
+    hit = near.join(nodes.select(F.col("id").alias("far")), "far", "left_semi")
     first = hit.groupBy("near", "far").agg(F.min_by("kind", F.struct("side", "edge_id")).alias("kind"))
     return first.select(F.col("near").alias("root"), F.col("far").alias("id"), weight(F.col("kind")).alias("score"))
 

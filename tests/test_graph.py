@@ -2,6 +2,7 @@
 
 import heapq
 import random
+import re
 import sqlite3
 
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from symgraph.functions import text as T
 from symgraph.operators import context, graph, imports, lookup, resolve, search, stats
+from symgraph.plans import queries
 from symgraph.schema import EDGE_WEIGHTS, OTHER_WEIGHT, SEARCH_WEIGHTS
-from symgraph.sources import code
+from symgraph.sources import code, star
 from symgraph.streaming import sync
 
 NODES = [
@@ -382,3 +384,32 @@ def test_postings_move_rows_once(spark):
     assert {(r.token, r.id, r.size, r.tf) for r in post.collect()} == {("one", "a", 3, 4.0), ("two", "a", 3, 2.0), ("two", "b", 1, 2.0)}
     plan = post._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan and "hashpartitioning(token" not in plan
+
+
+STAR = "/root/testdata/sf0.001"
+
+
+def test_numbered_ids(spark):
+    """Numbers stand for the ids, also for null and negative keys."""
+    every = spark.createDataFrame([(k,) for k in (0, 7, -1, -8, (1 << 60) - 1, None)], "k long")
+    got = every.select("k", *(F.expr(star.numbered(f"concat('{c}:', k)")).alias(c) for c in star.LETTERS))
+    rows = got.select("k", *(star.named(c).alias(c) for c in star.LETTERS)).collect()
+    assert all(r[c] == (None if r.k is None else f"{c}:{r.k}") for r in rows for c in star.LETTERS)
+    assert sorted(star.named_edges(star.numbered_edges(spark, STAR)).collect()) == sorted(star.edges(spark, STAR).collect())
+    nodes = star.numbered_nodes(spark, STAR).withColumn("id", star.named("id"))
+    assert sorted(nodes.collect()) == sorted(star.nodes(spark, STAR).collect())
+
+
+def moves_numbers(df):
+    """Whether the joins of df's plan move numbers: no id is put together in or below one."""
+    path = []  # column and operator of what lies above a line
+    for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        at = re.search(r"\w", line).start()
+        path = [(c, op) for c, op in path if c < at] + [(at, line[at:].split()[0])]
+        if "concat(" in line and any(op == "Join" for _, op in path):
+            return False
+    return True
+
+
+def test_traverse_depth1_moves_numbers(spark):
+    assert moves_numbers(queries.QUERIES["traverse_depth1"](spark, STAR))
