@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -50,18 +51,20 @@ class Codec:
         crosses = any(MARK in p.lstrip(MARK) or "\n" in p and len(p) > 1 for p in pieces)
         guard = self.sp.encode("\n")
         self.whole = crosses or not plain or len(guard) != 2 or self.sp.id_to_piece(guard[0]) != MARK
-        self.table = table
-        self.reset()
-
-    def reset(self) -> None:
-        """Knows the chunks of the table only."""
         self.ids: dict[str, bytes] = {}
         self.text: dict[bytes, str] = {}
-        for b in self.table.to_batches(max_chunksize=10_000) if self.table else ():
+        self.rare: tuple[list[str], list[bytes]] = [], []  # what is known besides the table
+        for b in table.to_batches(max_chunksize=10_000) if table else ():
             chunks, ids, decoded = (c.to_pylist() for c in b.columns)
             self.ids.update(zip(chunks, ids, strict=True))
             self.text.update(zip(ids, decoded, strict=True))
-        self.known = len(self.ids)
+
+    def forget(self) -> None:
+        """Knows the chunks of the table only."""
+        for known, new in zip((self.ids, self.text), self.rare, strict=True):
+            for key in new:
+                del known[key]
+            new.clear()
 
     def chunks(self, text: str) -> list[str]:
         return (WHOLE if self.whole else CHUNK).findall(text if self.whole or not text else " " + text)
@@ -79,19 +82,30 @@ class Codec:
         texts = self.sp.decode(found, num_threads=1)
         return [(np.array(x[2:], "<u4").tobytes(), y[1:]) for x, y in zip(found, texts, strict=True)]
 
-    def learn(self, lists: list[list[str]]) -> None:
-        if len(self.ids) > self.known + RARE:
-            self.reset()
-        new = list(set().union(*lists).difference(self.ids)) if lists else []
-        for c, (ids, text) in zip(new, self.segment(new) if new else [], strict=True):
+    def learn(self, chunks: list[str]) -> None:
+        """Segments chunks that are not known yet."""
+        for c, (ids, text) in zip(chunks, self.segment(chunks), strict=True):
             self.ids[c] = ids
-            self.text[ids] = text
+            self.rare[0].append(c)
+            if ids not in self.text:
+                self.text[ids] = text
+                self.rare[1].append(ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         bos, eos = (np.array([x], "<u4").tobytes() for x in (self.sp.bos_id(), self.sp.eos_id()))
-        lists = [self.chunks(t) for t in texts]
-        self.learn(lists)
-        self.parts = [list(map(self.ids.__getitem__, x)) for x in lists]
+        if len(self.rare[0]) > RARE:
+            self.forget()
+        chunks, ends = [], [0]
+        for t in texts:
+            chunks += self.chunks(t)
+            ends.append(len(chunks))
+        found = list(map(self.ids.get, chunks))
+        late = [i for i, x in enumerate(found) if x is None]
+        if late:
+            self.learn(list({chunks[i] for i in late}))
+            for i in late:
+                found[i] = self.ids[chunks[i]]
+        self.parts = [found[a:b] for a, b in pairwise(ends)]
         return [bos + b"".join(x) + eos for x in self.parts]
 
     def decode_last(self) -> list[str]:

@@ -49,6 +49,27 @@ def test_sentencepiece_random_texts(processor):
         assert back == processor.decode(want), repr(text)
 
 
+def test_sentencepiece_forgets_rare_chunks_only(processor, monkeypatch):
+    import pyarrow as pa
+
+    codec, reads = sentencepiece_codec.Codec(piece_model()), []
+
+    class Table:
+        def to_batches(self, **_):
+            reads.append(1)
+            return pa.table([[" the", " \x01"], *zip(*codec.segment([" the", " \x01"]), strict=True)], names=["chunk", "ids", "decoded"]).to_batches()
+
+    monkeypatch.setattr(sentencepiece_codec, "RARE", 2)
+    codec = sentencepiece_codec.Codec(piece_model(), Table())
+    for i in range(20):
+        texts = [f"the a{i} b{i} \x01", f"\x01 a{i} c{i % 3} the the", ""]
+        want = [processor.encode(t, add_bos=True, add_eos=True) for t in texts]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)] == want
+        assert codec.decode_last() == [processor.decode(x) for x in want]
+        assert len(codec.ids) <= 2 + 2 + 4  # the table, what RARE allows and one call's
+    assert len(reads) == 1
+
+
 # 2 Substring dedup
 
 
