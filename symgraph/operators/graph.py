@@ -141,6 +141,37 @@ def to_nodes(steps: DataFrame, nodes: DataFrame) -> DataFrame:
     return steps if missing.isEmpty() else steps.join(missing, "far", "left_anti")
 
 
+#: Starts up to which only steps near them are stored.
+FEW = 1000
+
+
+def among(rows: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+    """rows, few and stored, whose column is a node: their ids go to the nodes, not the nodes to them."""
+    there = nodes.select(F.col("id").alias(column)).join(rows.select(column).distinct(), column, "left_semi")
+    return rows.join(kept(there), column, "left_semi")
+
+
+def steps_near(steps: DataFrame, nodes: DataFrame, start: DataFrame, max_depth: int, max_nodes: int) -> DataFrame:
+    """All steps to nodes from those that walks from few starts (column id) may expand.
+
+    Each round asks the edges for the steps from the nodes it has come to, which are
+    stored and hence sent to the edges while they are few.  A hub leads no further.
+    """
+    seen = front = kept(start.select(F.col("id").alias("near")).distinct())
+    found = None
+    for depth in range(1, max(1, max_depth) + 1):
+        out = kept(among(kept(steps.join(front, "near", "left_semi")), "far", nodes))
+        found = out if found is None else found.unionByName(out)
+        if depth < max_depth:
+            onward = out.groupBy("near").agg(F.count_distinct("far").alias("n")).filter(F.col("n") < max_nodes)
+            onward = out.join(onward, "near", "left_semi").select(F.col("far").alias("near")).distinct()
+            front = kept(onward.join(seen, "near", "left_anti"))
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
+    return found
+
+
 #: What orders the steps from a node, and then what a walk needs of one.
 STEP = ("side", "edge_id", "w", "far")
 
@@ -198,14 +229,18 @@ def traverse(
     within max_depth steps, and go on from a node only if what is certainly found before
     it (the starts, and the neighbours of an only start) and its own neighbours are too
     few to end the walk.  Joins by node move pairs of ids; what is known of a walk stays
-    with its root.
+    with its root.  Of few starts, only the steps near them are stored.
     """
     steps = weighted_steps(edges, direction, kinds, weights)
     walk_id = F.col("walk") if "walk" in roots.columns else F.col("id")
     start = roots.select(walk_id.cast("string").alias("root"), "id").distinct().join(nodes.select("id"), "id", "left_semi")
     if max_depth == 1 and "walk" not in roots.columns and max_nodes > 1 and min_score <= 1:
         return one_step(steps, nodes, start.select("root", "id"))
-    steps = to_nodes(kept(steps), nodes)
+    if roots.limit(FEW + 1).count() <= FEW:
+        start = kept(among(kept(roots.select(walk_id.cast("string").alias("root"), "id").distinct()), "id", nodes))
+        steps = steps_near(steps, nodes, start, max_depth, max_nodes)
+    else:
+        steps = to_nodes(kept(steps), nodes)
     lists = kept(step_lists(steps, max_nodes))
 
     if "walk" in roots.columns:

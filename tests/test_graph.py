@@ -421,3 +421,33 @@ def test_delete_nodes_edges_moves_numbers(spark):
 
 def test_view_filter_moves_numbers(spark):
     assert moves_numbers(queries.QUERIES["view_filter"](spark, STAR))
+
+
+def test_structural_search_stores_near_steps(spark, monkeypatch):
+    """Few starts store what is near them only, and find what many starts do."""
+    rng = random.Random(12)
+    names = [f"v{i:02}" for i in range(60)]
+    edges = [(f"e{i:03}", rng.choice(names), rng.choice([*names, "ghost"]), rng.choice(["calls", "imports", "reads"]), 0) for i in range(120)]
+    edges += [(f"h{i:03}", rng.choice(names[:2]), rng.choice(names), "calls", 0) for i in range(60)]
+    edges += [(f"z{i:03}", f"z{i}", f"z{i + 1}", "calls", 0) for i in range(500)]  # far from all starts
+    n = spark.createDataFrame([(x,) for x in [*names, *(f"z{i}" for i in range(501))]], "id string")
+    e = spark.createDataFrame(edges, "id string, source_id string, target_id string, kind string, line int")
+    roots = spark.createDataFrame([(x,) for x in ["v00", *names[5:12], "none"]], "id string")
+    rows, store = [], graph.kept
+
+    def counted(df):
+        out = store(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "kept", counted)
+    for depth, cap in ((2, 30), (3, 8)):
+        want = set().union(*(plain_walk(edges, set(names), x, depth, cap, 0.01, [x]) for x in ["v00", *names[5:12]]))
+        for few in (graph.FEW, 0):
+            rows.clear()
+            monkeypatch.setattr(graph, "FEW", few)
+            got = graph.traverse(e, n, roots, max_depth=depth, max_nodes=cap)
+            assert {(r.root, r.id, r.depth, round(r.score, 9), tuple(r.path), r.seq) for r in got.collect()} == want
+            assert (max(rows) < 200) == (few > 0)
+        monkeypatch.undo()
+        monkeypatch.setattr(graph, "kept", counted)
