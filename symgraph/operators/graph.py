@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,19 +79,20 @@ def best_path_score(edges: DataFrame, roots: DataFrame, depth: int, direction: s
     return best.groupBy("root", "id").agg(F.max("score").alias("score"))
 
 
-WALK = "root string, id string, depth int, score double, path array<string>, seq int, open boolean"
-WALK_TYPES = {"root": pa.string(), "id": pa.string(), "depth": pa.int32(), "score": pa.float64(), "path": pa.list_(pa.string()), "seq": pa.int32(), "open": pa.bool_()}
 #: Walks that are held as Python objects at once.
-WALKS_AT_ONCE = 64
+WALKS_AT_ONCE = 256
+#: Types of ids.
+ID_TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}
 
 
-def best_first(starts: list[str], lists: dict[str, list[dict]], hubs: set[str], max_depth: int, max_nodes: int, min_score: float) -> tuple[dict, str | None]:
-    """One walk over adjacency lists from all of its starts: highest score first, then smallest id.
+def best_first(starts: list, lists: dict, hubs: set, max_depth: int, max_nodes: int, min_score: float) -> tuple[dict, object]:
+    """One walk over adjacency lists ((far, edge_id, w) by node) from all of its starts: highest score first, then smallest id.
 
     What is found, in the order of discovery, as id: (depth, score, path).  A hub (without
-    a list here) ends the walk when its turn comes; it is returned beside.
+    a list here) ends the walk when its turn comes; it is returned beside.  Nodes that
+    lead nowhere get no turn.
     """
-    found = {x: (0, 1.0, []) for x in sorted(starts)}
+    found = {x: (0, 1.0, ()) for x in sorted(starts)}
     heap = [(-1.0, x) for x in found]
     while heap and len(found) < max_nodes:
         score, at = heapq.heappop(heap)
@@ -99,29 +101,61 @@ def best_first(starts: list[str], lists: dict[str, list[dict]], hubs: set[str],
             continue
         if at in hubs:
             return found, at
-        for step in lists.get(at, ()):
-            far, w = step["far"], step["w"]
+        for far, edge, w in lists.get(at, ()):
             if far not in found:
-                found[far] = (depth + 1, score * w, [*path, step["edge_id"]])
-                heapq.heappush(heap, (-score * w, far))
+                found[far] = (depth + 1, score * w, (*path, edge))
+                if depth + 1 < max_depth and (far in lists or far in hubs):
+                    heapq.heappush(heap, (-score * w, far))
     return found, None
 
 
-def walks(lists: DataFrame, max_depth: int, max_nodes: int, min_score: float) -> DataFrame:
-    """The rows of WALK for lists (root, starts, near, out, hub): many walks to a batch, one at a time."""
+def plain(values: pa.Array) -> list:
+    """Python values of a column, many times faster than to_pylist where nothing is null."""
+    return values.to_pylist() if values.null_count else values.to_numpy(zero_copy_only=False).tolist()
+
+
+def laid_out(lists: pa.ListArray) -> tuple[pa.Array, list[int]]:
+    """The values of a column of lists one after the other, and where each list begins and the last ends."""
+    at = lists.offsets.to_numpy()
+    return lists.values.slice(at[0], at[-1] - at[0]), (at - at[0]).tolist()
+
+
+def walks(lists: DataFrame, max_depth: int, max_nodes: int, min_score: float, paths: bool = True) -> DataFrame:
+    """root, id, depth, score, path, seq, open for lists (root, starts, near, out, hub): many walks to a batch, one at a time."""
+    types = dict(lists.dtypes) | {"edge": lists.schema["out"].dataType.elementType["edge_id"].dataType.simpleString()}
+    root_type, id_type, edge_type = (ID_TYPES[types[c]] for c in ("root", "near", "edge"))
     rows = lists.groupBy("root").agg(F.first("starts").alias("starts"), F.collect_list(F.struct("near", "out", "hub")).alias("lists"))
 
+    def some(batch: pa.RecordBatch) -> pa.RecordBatch:
+        (starts, start_at), (own, own_at) = laid_out(batch.column("starts")), laid_out(batch.column("lists"))
+        starts, near, hub = plain(starts), plain(own.field("near")), plain(own.field("hub"))
+        out, out_at = laid_out(own.field("out"))
+        steps = list(zip(*(plain(out.field(c)) for c in ("far", "edge_id", "w")), strict=True))
+        root, ids, depth, score, path, seq, last = [], [], [], [], [], [], []
+        for r, x in enumerate(plain(batch.column("root"))):
+            mine = range(own_at[r], own_at[r + 1])
+            hubs = {near[i] for i in mine if hub[i]}
+            of = {near[i]: steps[out_at[i] : out_at[i + 1]] for i in mine if out_at[i] < out_at[i + 1]}
+            found, end = best_first(starts[start_at[r] : start_at[r + 1]], of, hubs, max_depth, max_nodes, min_score)
+            root += [x] * len(found)
+            ids += found
+            for d, s, p in found.values():
+                depth.append(d)
+                score.append(s)
+                path.append(p if paths else ())
+            seq += range(len(found))
+            last += [i == end for i in found] if hubs else [False] * len(found)
+        ends = np.cumsum([0, *(len(p) for p in path)], dtype=np.int32)
+        path = pa.ListArray.from_arrays(ends, pa.array([e for p in path for e in p], edge_type))
+        columns = [pa.array(root, root_type), pa.array(ids, id_type), pa.array(depth, pa.int32()), pa.array(score, pa.float64()), path, pa.array(seq, pa.int32()), pa.array(last, pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, names=["root", "id", "depth", "score", "path", "seq", "open"])
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, WALKS_AT_ONCE):
-                out = []
-                for r in batch.slice(at, WALKS_AT_ONCE).to_pylist():
-                    hubs = {x["near"] for x in r["lists"] if x["hub"]}
-                    found, last = best_first(r["starts"], {x["near"]: x["out"] or () for x in r["lists"]}, hubs, max_depth, max_nodes, min_score)
-                    out += [(r["root"], i, d, s, p, n, i == last) for n, (i, (d, s, p)) in enumerate(found.items())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), WALK_TYPES.values(), strict=True)], names=list(WALK_TYPES))
+                yield some(batch.slice(at, WALKS_AT_ONCE))
 
-    return rows.mapInArrow(walk, WALK)
+    return rows.mapInArrow(walk, f"root {types['root']}, id {types['near']}, depth int, score double, path array<{types['edge']}>, seq int, open boolean")
 
 
 def weighted_steps(edges: DataFrame, direction: str, kinds: Sequence[str], weights: dict[str, float] | None) -> DataFrame:
@@ -208,15 +242,15 @@ def one_step(steps: DataFrame, nodes: DataFrame, start: DataFrame) -> DataFrame:
     out = start.withColumnRenamed("id", "near").join(first_steps(to_nodes(near, nodes)), "near")
     nth = F.row_number().over(Window.partitionBy("root").orderBy("step"))
     more = out.select("root", F.col("far").alias("id"), F.lit(1).alias("depth"), F.col("step.w").alias("score"), F.array("step.edge_id").alias("path"), nth.alias("seq"))
-    none = F.array().cast("array<string>")
+    none = F.array().cast(more.schema["path"].dataType)
     return start.select("root", "id", F.lit(0).alias("depth"), F.lit(1.0).alias("score"), none.alias("path"), F.lit(0).alias("seq")).unionByName(more)
 
 
 def traverse(
     edges: DataFrame, nodes: DataFrame, roots: DataFrame, max_depth: int = 3, max_nodes: int = 50, min_score: float = 0.01,
-    direction: str = "forward", kinds: Sequence[str] = (), weights: dict[str, float] | None = None,
+    direction: str = "forward", kinds: Sequence[str] = (), weights: dict[str, float] | None = None, paths: bool = True,
 ) -> DataFrame:
-    """root, id, depth, score, path, seq of best-first walks.
+    """root, id, depth, score, path, seq of best-first walks; ids are strings, or numbers that stand for them in their order.
 
     roots: id, each the start of a walk of its own, or walk and id, where the starts of
     a walk share one heap and one count of found nodes (root is the walk then).  Starts
@@ -229,15 +263,17 @@ def traverse(
     within max_depth steps, and go on from a node only if what is certainly found before
     it (the starts, and the neighbours of an only start) and its own neighbours are too
     few to end the walk.  Joins by node move pairs of ids; what is known of a walk stays
-    with its root.  Of few starts, only the steps near them are stored.
+    with its root.  Of few starts, only the steps near them are stored.  Whoever needs no
+    paths gets some or all of them empty, without paths.
     """
     steps = weighted_steps(edges, direction, kinds, weights)
     walk_id = F.col("walk") if "walk" in roots.columns else F.col("id")
-    start = roots.select(walk_id.cast("string").alias("root"), "id").distinct().join(nodes.select("id"), "id", "left_semi")
+    given = roots.select((walk_id.cast("string") if "walk" in roots.columns else walk_id).alias("root"), "id").distinct()
+    start = given.join(nodes.select("id"), "id", "left_semi")
     if max_depth == 1 and "walk" not in roots.columns and max_nodes > 1 and min_score <= 1:
         return one_step(steps, nodes, start.select("root", "id"))
     if roots.limit(FEW + 1).count() <= FEW:
-        start = kept(among(kept(roots.select(walk_id.cast("string").alias("root"), "id").distinct()), "id", nodes))
+        start = kept(among(kept(given), "id", nodes))
         steps = steps_near(steps, nodes, start, max_depth, max_nodes)
     else:
         steps = to_nodes(kept(steps), nodes)
@@ -253,7 +289,11 @@ def traverse(
     seen = front = front.drop("starts")
     for _ in range(max(0, max_depth - 1)):
         around = F.array_union(F.array_union("base", F.array("near")), F.col("out.far"))
-        onward = front.filter(~F.col("hub") & F.col("out").isNotNull()).join(walk.select("root", "base"), "root").filter(F.size(around) < max_nodes)
+        expanded = front.filter(~F.col("hub") & F.col("out").isNotNull())
+        ahead = expanded.select(F.explode("out.far").alias("near")).distinct()
+        if ahead.join(lists.select("near"), "near", "left_semi").isEmpty():
+            break  # seen from the ids alone, before pairs of them move
+        onward = expanded.join(walk.select("root", "base"), "root").filter(F.size(around) < max_nodes)
         onward = onward.select("root", F.explode("out.far").alias("near")).distinct().join(seen.select("root", "near"), ["root", "near"], "left_anti")
         front = kept(onward.join(lists, "near").select(*seen.columns))
         if front.isEmpty():
@@ -261,7 +301,7 @@ def traverse(
         seen = seen.unionByName(front)
 
     def walked(lists: DataFrame) -> DataFrame:
-        return walks(lists.join(walk.select("root", "starts"), "root"), max_depth, max_nodes, min_score)
+        return walks(lists.join(walk.select("root", "starts"), "root"), max_depth, max_nodes, min_score, paths)
 
     ending = kept(seen.filter("hub").select("root").distinct())
     if ending.isEmpty():
@@ -278,8 +318,8 @@ def traverse(
     return whole.unionByName(more.select(*whole.columns))
 
 
-def dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
-    return traverse(edges, nodes, roots, depth, direction="backward", kinds=DEPENDENT_KINDS)
+def dependents(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3, paths: bool = True) -> DataFrame:
+    return traverse(edges, nodes, roots, depth, direction="backward", kinds=DEPENDENT_KINDS, paths=paths)
 
 
 def dependencies(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
@@ -288,7 +328,7 @@ def dependencies(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: in
 
 def impact(edges: DataFrame, nodes: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
     """What may break if a root changes, by file."""
-    found = dependents(edges, nodes, roots, depth).join(nodes.select("id", "file_path", "kind", "name"), "id")
+    found = dependents(edges, nodes, roots, depth, paths=False).select("root", "id").join(nodes.select("id", "file_path", "kind", "name"), "id")
     item = F.concat_ws(" ", "kind", "name")
     return found.groupBy("root", "file_path").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(item)).alias("symbols"))
 

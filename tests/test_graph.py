@@ -459,3 +459,43 @@ def test_structural_search_stores_near_steps(spark, monkeypatch):
             assert (max(rows) < 200) == (few > 0)
         monkeypatch.undo()
         monkeypatch.setattr(graph, "kept", counted)
+
+
+def test_ordered_ids(spark):
+    """Numbers in the order of the ids, and of the edges of one end; a key of too many digits is an error."""
+    keys = (0, 7, 1, 8, 10, 100, 105, 1099, 109, 99, 9, -1, -8, -10, -105, 10**16 - 1, 10**15, None)
+    every = spark.createDataFrame([(k,) for k in keys], "k long")
+    for c in star.LETTERS:
+        rows = every.selectExpr("k", f"{star.ordered(f"concat('{c}:', k)")} AS n").withColumn("name", F.expr(star.ordered_name("n"))).collect()
+        assert all(r.name == (None if r.k is None else f"{c}:{r.k}") for r in rows)
+        there = [r for r in rows if r.k is not None]
+        assert [r.name for r in sorted(there, key=lambda r: r.n)] == sorted(r.name for r in there)
+    with pytest.raises(Exception, match="INVALID_ARRAY_INDEX"):
+        spark.createDataFrame([(10**16,)], "k long").selectExpr(star.ordered("concat('c:', k)")).collect()
+    for far, near in (("source_id", "target_id"), ("target_id", "source_id")):
+        edges = star.ordered_edges(spark, STAR, far)
+        ends = edges.select(near, "id", *(F.expr(star.ordered_name(x)).alias(x[0]) for x in ("source_id", "target_id")), "kind", F.expr(star.ordered_name("id", edge=True)).alias("far"))
+        of = {}
+        for r in ends.collect():
+            assert r.far == r[far[0]]
+            of.setdefault(r[near], []).append((r.id, f"{r.s}>{r.t}>{r.kind}"))
+        assert all([i for _, i in sorted(x)] == sorted(i for _, i in x) for x in of.values())
+
+
+def test_walks_go_by_numbers(spark, monkeypatch):
+    """dependents, impact_traverse and dependencies walk over numbers and find what walks over strings do."""
+    n, e = star.nodes(spark, STAR), star.edges(spark, STAR)
+    parts, both, classes = n.filter("kind = 'interface'"), n.filter("kind IN ('interface', 'struct')"), n.filter("kind = 'class'")
+    want = {"dependents": graph.dependents(e, n, both), "impact_traverse": graph.impact(e, n, parts, 5), "dependencies": graph.dependencies(e, n, classes)}
+    want = {q: sorted(map(str, x.collect())) for q, x in want.items()}
+    stored, store = [], graph.kept
+
+    def seen(df):
+        stored.append({t for c, t in df.dtypes if c in ("root", "id", "near", "far", "edge_id")})
+        return store(df)
+
+    monkeypatch.setattr(graph, "kept", seen)
+    for q, rows in want.items():
+        got = queries.QUERIES[q](spark, STAR)
+        assert sorted(map(str, got.select(*got.columns).collect())) == rows and rows
+    assert stored and all(x <= {"bigint"} for x in stored)
