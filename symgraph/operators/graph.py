@@ -376,8 +376,39 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ids.join(now.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
 
+#: Rounds that a search from some nodes takes at most, and how many nodes it may come to in one, before all components are told apart.
+REACH_ROUNDS, REACH_NODES = 12, 1 << 20
+
+
+def reached(edges: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame | None:
+    """The nodes (column id) connected with any of the ids, found from there; None if they are far or very many.
+
+    A round sends the few nodes it stands at to the edges, which neither move nor are stored.
+    """
+    ends = edges.select(F.col("source_id").alias("near"), F.col("target_id").alias("far"))
+    step = ends.union(ends.select("far", "near"))
+    front = kept(among(kept(ids.select("id").distinct()), "id", nodes))
+    seen = front
+    for _ in range(REACH_ROUNDS):
+        if front.limit(REACH_NODES + 1).count() > REACH_NODES:
+            return None
+        far = step.join(front.withColumnRenamed("id", "near"), "near", "left_semi").select(F.col("far").alias("id")).distinct()
+        front = kept(among(kept(far.join(seen, "id", "left_anti")), "id", nodes))
+        if front.isEmpty():
+            return seen
+        seen = seen.unionByName(front)
+    return None
+
+
 def component_focus(edges: DataFrame, nodes: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, component of all nodes connected with any of the ids (column id)."""
+    """id, component of all nodes connected with any of the ids (column id).
+
+    What is near is found from the ids; else the components of all nodes are told apart.
+    """
+    near = reached(edges, nodes, ids)
+    if near is not None:
+        near = kept(near)
+        return components(kept(lookup.induced_edges(edges.select("source_id", "target_id"), near)), near)
     all_ = cut(components(edges, nodes))
     return all_.join(all_.join(ids.select("id").distinct(), "id", "left_semi").select("component").distinct(), "component", "left_semi").select("id", "component")
 
@@ -391,12 +422,16 @@ def view(
     name_part, or their whole components; if no name matches, all nodes stay.
     """
     shown = lookup.filter_nodes(nodes, kinds, languages, globs)
-    if name_part:
+    if not name_part:
+        return shown, lookup.induced_edges(edges, shown)
+    seeds = lookup.filter_nodes(shown, name_part=name_part).select("id")
+    if component and not seeds.isEmpty():
+        near = component_focus(edges, shown, seeds)
+    else:
         edges = kept(lookup.induced_edges(edges, shown))
-        seeds = lookup.filter_nodes(shown, name_part=name_part).select("id")
-        near = component_focus(edges, shown, seeds) if component and not seeds.isEmpty() else focus(edges, shown, name_part, depth)
-        shown = shown.join(near.select("id").distinct(), "id", "left_semi")
-    return shown, lookup.induced_edges(edges, shown)
+        near = focus(edges, shown, name_part, depth)
+    near = kept(near.select("id").distinct())
+    return shown.join(near, "id", "left_semi"), lookup.induced_edges(edges, near)
 
 
 def explore(edges: DataFrame, nodes: DataFrame, results: DataFrame, entries: int = 5, depth: int = 2, max_nodes: int = 30) -> DataFrame:

@@ -499,3 +499,34 @@ def test_walks_go_by_numbers(spark, monkeypatch):
         got = queries.QUERIES[q](spark, STAR)
         assert sorted(map(str, got.select(*got.columns).collect())) == rows and rows
     assert stored and all(x <= {"bigint"} for x in stored)
+
+
+def test_component_view_goes_from_its_seeds(spark, monkeypatch):
+    """The components of few nodes are found from there: no edge far away is stored or moves; far or many nodes give the same."""
+    edges = [(f"c{i}", f"v{i}", f"v{i + 1}", "calls", 0) for i in range(6)] + [("g", "v2", "ghost", "calls", 0), ("p", "v3", "w", "calls", 0), ("q", "w", "x", "calls", 0)]
+    edges += [(f"z{i:03}", f"z{i}", f"z{i + 1}", "calls", 0) for i in range(40)]
+    names = [*(f"v{i}" for i in range(7)), "x", *(f"z{i}" for i in range(41))]  # w is shown by no view
+    n = spark.createDataFrame([(x, "class", "seed" if x in ("v1", "x") else "other") for x in names], "id string, kind string, name string")
+    n = n.unionByName(spark.createDataFrame([("w", "file", "w")], n.schema))
+    e = spark.createDataFrame(edges, "id string, source_id string, target_id string, kind string, line int")
+    rows, store = [], graph.kept
+
+    def counted(df):
+        out = store(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "kept", counted)
+    for rounds, nodes in ((12, 1 << 20), (3, 1 << 20), (12, 1)):
+        rows.clear()
+        monkeypatch.setattr(graph, "REACH_ROUNDS", rounds)
+        monkeypatch.setattr(graph, "REACH_NODES", nodes)
+        shown, among = graph.view(n, e, kinds=["class"], name_part="seed", component=True)
+        assert ids(shown) == [*(f"v{i}" for i in range(7)), "x"] and ids(among) == [f"c{i}" for i in range(6)]
+        assert max(rows) <= 8
+    got = graph.component_focus(e, n.filter("kind = 'class'"), n.filter("name = 'seed'"))
+    assert {(r.id, r.component) for r in got.collect()} == {*((f"v{i}", "v0") for i in range(7)), ("x", "x")}
+
+
+def test_component_view_moves_numbers(spark):
+    assert moves_numbers(queries.QUERIES["component_view"](spark, STAR))
