@@ -186,7 +186,9 @@ def bm25_batch(rows: DataFrame, queries: DataFrame, weights: dict[str, float], k
 
     Rows are tokenised once.  The corpus has few distinct tokens beside its postings, so
     the terms first meet those, by their first letters (a term of fewer letters than
-    HEAD by all of its letters), and each posting then meets its own token only.
+    HEAD by all of its letters), and each posting then meets its own token only.  A word
+    of many rows and queries gives a score to each pair of them: scores move by row once,
+    are added up where they lie, and only the k best of each part move on.
     """
     post = kept(postings(rows, weights, id_col))
     sizes = post.groupBy(id_col).agg(F.first("size").alias("size"))  # rows without tokens add nothing
@@ -203,7 +205,7 @@ def bm25_batch(rows: DataFrame, queries: DataFrame, weights: dict[str, float], k
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
     value = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(value > 0, value).otherwise(LEAST_IDF) * saturated(F.col("tf"), F.col("size"), mean)
-    scored = hit.join(df, "term").select("term", id_col, part.alias("part"))
+    scored = hit.join(df, "term").select("term", id_col, part.alias("part")).repartition(id_col)
     per = queries.join(scored, "term").groupBy("q", id_col).agg(F.sum("part").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), id_col))
     return per.withColumn("rank", rank).filter(F.col("rank") <= k)

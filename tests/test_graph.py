@@ -530,3 +530,12 @@ def test_component_view_goes_from_its_seeds(spark, monkeypatch):
 
 def test_component_view_moves_numbers(spark):
     assert moves_numbers(queries.QUERIES["component_view"](spark, STAR))
+
+
+def test_bm25_multi_query_takes_all_words(spark, tmp_path):
+    """Short words of a query count too, also one of two letters by its beginning."""
+    spark.createDataFrame([(0, "Sun by"), (1, "longwords")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = ["the sun", "bystander went", "longwordsmith", "moon", "sunny bye", "x", "y", "z", "u v", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = queries.QUERIES["bm25_multi_query"](spark, str(tmp_path)).collect()
+    assert {(r.q, r.doc_id) for r in found} == {(0, 0), (0, 1), (0, 4), (1, 2)} and next(r for r in found if r.q == 0 and r["rank"] == 1).doc_id == 4
