@@ -136,12 +136,17 @@ def search(nodes: DataFrame, query: str, limit: int = 10, index: Postings | None
 
 def postings(rows: DataFrame, weights: dict[str, float], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
     """token, id, tf (weighted), size (tokens of the row) and the columns to keep: the inverted index of the columns."""
-    rows = rows.repartition(id_col)  # rows move once, before they become many postings
-    d = rows.select(id_col, *keep, F.concat(*(weighted(c, w) for c, w in weights.items())).alias("_t"))
-    d = d.select(id_col, *keep, F.size("_t").alias("size"), F.explode("_t").alias("_x")).select(id_col, *keep, "size", "_x.token", "_x.w")
+    d = tokenised(rows, weights, id_col, keep).select(id_col, *keep, "size", F.explode("_t").alias("_x")).select(id_col, *keep, "size", "_x.token", "_x.w")
     return d.groupBy("token", id_col, "size", *keep).agg(F.sum("w").alias("tf"))
 
 
+def tokenised(rows: DataFrame, weights: dict[str, float], id_col: str, keep: Sequence[str] = ()) -> DataFrame:
+    """id, the columns to keep, size and _t (token, w): rows move once, before they become many postings."""
+    rows = rows.repartition(id_col)
+    d = rows.select(id_col, *keep, F.concat(*(weighted(c, w) for c, w in weights.items())).alias("_t"))
+    return d.withColumn("size", F.size("_t"))
+
+
 def weighted(column: str, weight: float) -> Column:
     return F.transform(tokens(F.col(column)), lambda t: F.struct(t.alias("token"), F.lit(float(weight)).alias("w")))
 
@@ -177,35 +182,30 @@ class Postings:
         return hit.join(F.broadcast(df), "prefix").groupBy("id").agg(F.sum(part).alias("score"))
 
 
-#: Letters of a prefix that a join of many queries goes by, and the shortest prefix that it finds.
-HEAD = 3
-
-
 def bm25_batch(rows: DataFrame, queries: DataFrame, weights: dict[str, float], k: int = 10, id_col: str = "id") -> DataFrame:
     """q, id, score, rank: the k best rows for each of many queries (q, term).
 
-    Rows are tokenised once.  The corpus has few distinct tokens beside its postings, so
-    the terms first meet those, by their first letters (a term of fewer letters than
-    HEAD by all of its letters), and each posting then meets its own token only.  A word
-    of many rows and queries gives a score to each pair of them: scores move by row once,
-    are added up where they lie, and only the k best of each part move on.
+    Rows are tokenised once and move once.  Each token of a row meets the terms by all of
+    its beginnings, where it lies as long as the terms are few enough to be sent to it,
+    and only what it meets is stored.  A term of many rows and queries gives a score to
+    each pair of them: these are added up by row, and only the k best of each part move on.
     """
-    post = kept(postings(rows, weights, id_col))
-    sizes = post.groupBy(id_col).agg(F.first("size").alias("size"))  # rows without tokens add nothing
-    n = rows.count()
-    mean = (sizes.agg(F.sum("size")).first()[0] or 0) / max(1, n)
-    words = queries.select("term").distinct()
-    lengths = list(range(1, HEAD + 1))
-    key = lambda c, i: F.substring(c, 1, i)
-    vocabulary = post.select("token").distinct()
-    heads = reduce(DataFrame.unionByName, [vocabulary.filter(F.length("token") >= i).select("token", key("token", i).alias("head")) for i in lengths])
-    pairs = heads.join(words.withColumn("head", key("term", HEAD)), "head").filter(F.col("token").startswith(F.col("term"))).select("token", "term")
-    hit = post.join(pairs, "token").groupBy("term", id_col, "size").agg(F.sum("tf").alias("tf"))
-    hit = kept(hit)
-    df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    counts = Observation()
+    d = tokenised(rows, weights, id_col).observe(counts, F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    words = kept(queries.select("term").distinct().filter("term <> ''").withColumn("word", F.monotonically_increasing_id()))
+    longest = words.agg(F.max(F.length("term"))).first()[0] or 0
+    d = d.select(id_col, "size", F.explode("_t").alias("_x")).select(id_col, "size", "_x.token", "_x.w")
+    post = d.groupBy("token", id_col, "size").agg(F.sum("w").alias("tf"))
+    begins = post.withColumn("_n", F.explode(F.sequence(F.lit(1), F.least(F.length("token"), F.lit(max(1, longest))))))
+    hit = begins.withColumn("term", F.expr("substring(token, 1, _n)")).join(words, "term")
+    hit = kept(hit.groupBy("word", id_col, "size").agg(F.sum("tf").alias("tf")))
+    got = counts.get
+    n, mean = got["n"], (got["size"] or 0) / max(1, got["n"])
+    df = hit.groupBy("word").agg(F.count("*").alias("df"))
     value = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = F.when(value > 0, value).otherwise(LEAST_IDF) * saturated(F.col("tf"), F.col("size"), mean)
-    scored = hit.join(df, "term").select("term", id_col, part.alias("part")).repartition(id_col)
-    per = queries.join(scored, "term").groupBy("q", id_col).agg(F.sum("part").alias("score"))
+    scored = hit.join(df, "word").select("word", id_col, part.alias("part")).repartition(id_col)
+    asked = kept(queries.join(words, "term").select("q", "word"))
+    per = asked.join(scored, "word").groupBy("q", id_col).agg(F.sum("part").alias("score"))
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc(F.round("score", 9)), id_col))
     return per.withColumn("rank", rank).filter(F.col("rank") <= k)
